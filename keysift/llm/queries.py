@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import quality, sharding
+from keysift.llm import quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
+        "op3_simhash": simhash.query,
     }
 
 
