@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import quality, sharding, simhash
+from keysift.llm import packing, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
         "op3_simhash": simhash.query,
+        "op7_best_fit_packing": packing.query,
+        "op9_token_ids": tokens.query,
     }
 
 

@@ -72,27 +72,28 @@ def number_within(df: DataFrame, group: str, block: Column, order: list[Column],
     return df.withColumn(out, F.col("_before") + F.col("_own")).drop("_block", "_g", "_b", "_size", "_before", "_own")
 
 
-def running_total(df: DataFrame, by: str, amount: str, out: str, *, splits: int = 64) -> DataFrame:
+def running_total(df: DataFrame, sizes: DataFrame, by: str, amount: str, out: str, *, splits: int = 64) -> DataFrame:
     """Adds ``out``, the sum of ``amount`` over all rows before this one in the order of the integer ``by``.
 
-    Cut points (at most ``splits``) are approximate quantiles of ``by``; each range
-    is summed by itself and begins where the ranges before it end.  Null comes
-    first.  Rows that share a key are ordered by ``amount``; a key's rows stay
-    in one range, so the ranges are even as long as keys are near unique.
+    ``sizes`` has the same ``by`` and ``amount`` at less cost.  Cut points (fewer
+    than ``splits``) are approximate quantiles of ``by``; each range is summed by
+    itself and begins where the ranges before it end.  Null comes first.  Rows
+    that share a key are ordered by ``amount`` and stay in one range, so ranges
+    are even as long as keys are near unique.
     """
-    cuts = df.agg(F.percentile_approx(by, F.lit([i / splits for i in range(1, splits)]), 10 * splits).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c < F.col(by))), F.lit(0))
-        bucket = F.when(F.col(by).isNull(), F.lit(0)).otherwise(bucket)
-    df = df.withColumn("_bucket", bucket)
-    sums = df.groupBy(F.col("_bucket").alias("_b")).agg(F.sum(amount).alias("_sum"))
+    shares = F.lit([i / splits for i in range(1, splits)])
+    cuts = sizes.agg(F.percentile_approx(by, shares, 10 * splits).alias("c")).first()["c"] or []
+
+    def bucket(table: DataFrame) -> DataFrame:
+        place = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(by))) if cuts else F.lit(0)
+        return table.withColumn("_bucket", F.when(F.col(by).isNull(), F.lit(0)).otherwise(place))
+
+    sums = bucket(sizes).groupBy(F.col("_bucket").alias("_b")).agg(F.sum(amount).alias("_sum"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     own = Window.partitionBy("_bucket").orderBy(F.col(by).asc_nulls_first(), F.col(amount)).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_own", F.coalesce(F.sum(amount).over(own), F.lit(0)))
-    df = df.join(sums, F.col("_bucket") == F.col("_b"))
+    df = bucket(df).withColumn("_own", F.coalesce(F.sum(amount).over(own), F.lit(0)))
+    df = df.join(F.broadcast(sums), F.col("_bucket") == F.col("_b"))  # at most ``splits`` rows
     return df.withColumn(out, (F.col("_before") + F.col("_own")).cast("long")).drop("_bucket", "_b", "_sum", "_before", "_own")
 
 
