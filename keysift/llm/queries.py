@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import lines, packing, quality, sharding, simhash, tokens
+from keysift.llm import decontamination, lines, packing, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": packing.query,
         "op8_line_dedup": lines.query,
         "op9_token_ids": tokens.query,
+        "op10_decontamination": decontamination.query,
     }
 
 
