@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import decontamination, lines, packing, quality, sharding, simhash, tokens
+from keysift.llm import decontamination, lines, packing, paragraphs, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.query,
         "op2_sharding": sharding.query,
         "op3_simhash": simhash.query,
+        "op4_paragraph_dedup": paragraphs.query,
         "op7_best_fit_packing": packing.query,
         "op8_line_dedup": lines.query,
         "op9_token_ids": tokens.query,
