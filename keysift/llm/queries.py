@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import decontamination, lines, packing, paragraphs, quality, sharding, simhash, tokens, warc
+from keysift.llm import decontamination, lines, packing, paragraphs, quality, sharding, simhash, tokens, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.query,
         "op4_paragraph_dedup": paragraphs.query,
         "op5_warc": warc.query,
+        "op6_url_reputation": urls.query,
         "op7_best_fit_packing": packing.query,
         "op8_line_dedup": lines.query,
         "op9_token_ids": tokens.query,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.SQL,
         "op2_sharding": sharding.SQL,
         "op5_warc": warc.SQL,
+        "op6_url_reputation": urls.SQL,
         "op8_line_dedup": lines.SQL,
     }
