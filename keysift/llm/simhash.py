@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm.scratch import components, remove, stash
@@ -207,15 +207,26 @@ def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFram
 
 
 def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of each document; the component id is the smallest doc_id reachable."""
+    """(doc_id, fp, component, component_id) of each document; the component id is the smallest doc_id reachable."""
     prints = stash(fingerprints(docs, shingle), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct, bits))
     joined = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     joined = stash(joined, "classes")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = joined.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = joined.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id any one."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits)
+    order = F.struct(F.col("doc_id.doc_id").isNull().alias("n"), F.col("doc_id.doc_id").alias("i"), F.col("doc_id._row").alias("r"))
+    first = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.r").alias("_row")).distinct()
+    same = Window.partitionBy("_row").orderBy(F.lit(1))
+    kept = keyed.join(first, "_row", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
+    return kept.select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:
