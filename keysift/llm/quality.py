@@ -167,7 +167,10 @@ def measure(docs: DataFrame, *, min_words: int = MIN_WORDS, max_loss_percent: in
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``."""
-    df = measure(docs).filter("kept").withColumn("text", F.col("cleaned"))
+    # The optimizer would push a plain filter below, and there put each measure's whole expression into those that use
+    # it, again and again; it leaves a filter above a column that isn't deterministic.
+    df = measure(docs).withColumn("_row", F.monotonically_increasing_id())
+    df = df.filter(F.col("kept") & (F.col("_row") >= 0)).withColumn("text", F.col("cleaned"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast("long"))
     return df.select(*docs.columns)
