@@ -1,15 +1,573 @@
-"""The engine's own queries by name, and the SQL that returns the same rows."""
+"""The engine's own queries by name, over the test tables, and the SQL that returns the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from keysift.functions import text, vector
+from keysift.functions.matching import best_match
+from keysift.operators import bow, domains, prepare
+from keysift.operators.index import fit_pca, tree_counts as count_trees
+from keysift.operators.search import CLIP, DOMAIN, OBJECT, budgets, first_seen, fuse, nearest
+from keysift.plans.standin import QUERY_ID, ROUTED, frames, prototypes, query_vector, table
+from keysift.sources.dataset import package_group, parse_detections
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TOP, NEAR, CANDIDATES = 20, 15, 90
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# The frames of the SQL: unit vectors in double precision, and one of them as the query.
+_FRAMES = f"""
+e as (select vec_id as position, 'L' || (21 + vec_id % 3) as collection_id, label, embedding::double[] as x from embeddings),
+f as (select position, collection_id, label,
+             list_transform(x, lambda v: v / greatest(sqrt(list_dot_product(x, x)), 1e-12)) as vector from e),
+q as (select vector as q from f where position = {QUERY_ID})
+"""
+_PROTOTYPES = """
+pm as (select label, i, avg(vector[i]) as m from f, range(1, 65) t(i) group by label, i),
+pl as (select label, list(m order by i) as m from pm group by label),
+p as (select label, list_transform(m, lambda v: v / greatest(sqrt(list_dot_product(m, m)), 1e-12)) as p from pl),
+s as (select f.position, f.collection_id, p.label, (least(greatest(list_dot_product(f.vector, p.p), -1), 1) + 1) / 2 as score from f, p),
+best as (select *, row_number() over (partition by position order by score desc, label) as place from s qualify place <= 2)
+"""
+_DISTANCE = "sqrt(list_sum(list_transform(list_zip(vector, q), lambda z: (z[1] - z[2]) ** 2)))"
+
+
+@query(f"""
+with {_FRAMES}
+select position, round((least(greatest(list_dot_product(vector, q), -1), 1) + 1) / 2, 6) as score
+from f, q order by list_dot_product(vector, q) desc, position limit {TOP}
+""")
+def cosine_topk(spark, sf_dir):
+    df = frames(spark, sf_dir)
+    score = vector.cosine01(F.col("vector"), vector.constant(query_vector(df)))
+    return df.select("position", score.alias("score")).orderBy(F.desc("score"), "position").limit(TOP).select("position", r6("score").alias("score"))
+
+
+@query(f"""
+with {_FRAMES},
+n as (select collection_id, position, {_DISTANCE} as d from f, q)
+select collection_id, position, round(d, 6) as distance, rank() over (partition by collection_id order by d) as place
+from n qualify place <= {NEAR}
+""")
+def l2_knn_per_collection(spark, sf_dir):
+    df = frames(spark, sf_dir)
+    near = nearest(df.withColumn("reduced", F.col("vector")), query_vector(df), "collection_id", NEAR)
+    return near.select("collection_id", "position", r6("distance").alias("distance"), F.col("place").cast("long").alias("place"))
+
+
+@query("""
+with n as (select vec_id, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
+select vec_id as position, round(n, 6) as norm, n > 1e-12 and isfinite(n) as is_valid from n
+""")
+def vector_norms_validity(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    e = F.col("embedding")
+    return df.select(F.col("vec_id").alias("position"), r6(vector.norm(e)).alias("norm"), vector.valid(e).alias("is_valid"))
+
+
+@query(f"with {_FRAMES}, {_PROTOTYPES} select label, i - 1 as place, round(p[i], 6) as value from p, range(1, 65) t(i)")
+def label_prototypes(spark, sf_dir):
+    df = frames(spark, sf_dir)
+    size = df.select(F.size("vector")).first()[0]
+    means = vector.mean_by(df, "label", "vector", size).select("label", F.posexplode(vector.unit(F.col("mean"))).alias("place", "value"))
+    return means.select("label", F.col("place").cast("long").alias("place"), r6("value").alias("value"))
+
+
+def _scores(spark, sf_dir):
+    """(position, collection_id, domain, score) of each frame and label."""
+    df = frames(spark, sf_dir)
+    known = prototypes(df)
+    scores = domains.semantic_domain_scores(F.col("vector"), [p for _, p in known])
+    named = F.transform(scores, lambda s, i: F.struct(F.get(F.array(*[F.lit(x) for x, _ in known]), i).alias("domain"), s.alias("score")))
+    return df.select("position", "collection_id", F.inline(named))
+
+
+@query(f"with {_FRAMES}, {_PROTOTYPES} select position, label as domain, round(score, 6) as score from s")
+def frame_domain_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("position", "domain", r6("score").alias("score"))
+
+
+def _members(spark, sf_dir):
+    """(position, collection_id, domain, score, place): each frame in its two best domains, picked within its row."""
+    df = frames(spark, sf_dir)
+    known = prototypes(df)
+    scores = domains.semantic_domain_scores(F.col("vector"), [p for _, p in known])
+    labels = F.array(*[F.lit(x) for x, _ in known])
+    best = domains.best_of_array(F.col("scores"), 2)
+    df = df.withColumn("scores", scores).select("*", F.posexplode(best).alias("_k", "_i"))
+    return df.select(
+        "position", "collection_id", "vector", F.get(labels, F.col("_i")).alias("domain"), F.get("scores", F.col("_i")).alias("score"),
+        (F.col("_k") + 1).cast("long").alias("place"),
+    )
+
+
+@query(f"with {_FRAMES}, {_PROTOTYPES} select position, label as domain, round(score, 6) as score, place from best")
+def top2_domains(spark, sf_dir):
+    return _members(spark, sf_dir).select("position", "domain", r6("score").alias("score"), "place")
+
+
+@query(f"""
+with {_FRAMES}, {_PROTOTYPES}
+select coalesce(collection_id, '*') as collection_id, coalesce(label, -1) as domain_id, count(distinct position) as entries
+from best group by grouping sets ((), (collection_id), (label), (collection_id, label))
+""")
+def tree_counts(spark, sf_dir):
+    members = _members(spark, sf_dir).select("collection_id", F.col("domain").alias("domain_id"), "position")
+    counts = count_trees(members)
+    return counts.select(F.coalesce("collection_id", F.lit("*")).alias("collection_id"), F.coalesce("domain_id", F.lit(-1)).alias("domain_id"), "entries")
+
+
+def _found(spark, sf_dir):
+    """Candidates of one collection by three domains and the collection as a whole: (ord, position, place, is_new)."""
+    members = _members(spark, sf_dir).filter("collection_id = 'L21'")
+    q = query_vector(frames(spark, sf_dir))
+    routed, fallback = budgets(CANDIDATES, len(ROUTED))
+    parts = members.filter(F.col("domain").isin(*ROUTED)).select("position", F.col("domain").alias("ord"), F.col("vector").alias("reduced"))
+    whole = frames(spark, sf_dir).filter("collection_id = 'L21'").select("position", F.lit(len(ROUTED)).alias("ord"), F.col("vector").alias("reduced"))
+    most = F.when(F.col("ord") == len(ROUTED), fallback).otherwise(routed)
+    return first_seen(nearest(parts.unionByName(whole), q, "ord", most).select("ord", "position", "place"))
+
+
+_CANDIDATES = f"""
+{_FRAMES}, {_PROTOTYPES},
+part as (select label as ord, position from best where collection_id = 'L21' and label in {ROUTED}
+         union all select {len(ROUTED)}, position from f where collection_id = 'L21'),
+near as (select ord, part.position, rank() over (partition by ord order by {_DISTANCE}) as place from part join f using (position), q
+         qualify place <= case when ord = {len(ROUTED)} then {max(CANDIDATES // 3, 50)} else {CANDIDATES // len(ROUTED)} end),
+found as (select *, row_number() over (partition by position order by ord, place) = 1 as is_new from near)
+"""
+
+
+@query(f"with {_CANDIDATES} select ord, count(*) as returned, count(*) filter (is_new) as new_unique_candidates from found group by ord")
+def candidate_trace(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    return found.groupBy("ord").agg(F.count(F.lit(1)).alias("returned"), F.count_if("is_new").alias("new_unique_candidates"))
+
+
+@query(f"with {_CANDIDATES} select position, ord as first_part, place from found where is_new")
+def fallback_union_dedupe(spark, sf_dir):
+    return _found(spark, sf_dir).filter("is_new").select("position", F.col("ord").alias("first_part"), F.col("place").cast("long").alias("place"))
+
+
+# Text of documents as the engine normalises it.
+_NORMAL = "trim(regexp_replace(strip_accents(replace(replace(lower({}), 'đ', 'd'), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _normal_sql(column: str) -> str:
+    return _NORMAL.format(f"coalesce({column}, '')")
+
+
+def _normal(column: str):
+    return text.normalize(F.coalesce(F.col(column), F.lit("")))
+
+
+@query(f"select doc_id, length({_normal_sql('text')}) as n_chars, md5({_normal_sql('text')}) as normalized_md5 from documents")
+def text_normalize(spark, sf_dir):
+    n = _normal("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(n).cast("long").alias("n_chars"), F.md5(n).alias("normalized_md5"))
+
+
+_BAG = f"""
+w as (select doc_id, unnest(string_split({_normal_sql('text')}, ' ')) as term from documents),
+c as (select doc_id, term, count(*) as n from w where term <> '' group by doc_id, term),
+m as (select doc_id, term, n::double / max(n) over (partition by doc_id) as weight from c),
+bag as (select doc_id, term, weight from m where weight >= {bow.MIN_SCORE}
+        qualify row_number() over (partition by doc_id order by weight desc, term) <= {bow.MAX_TERMS})
+"""
+
+
+def _detections(spark, sf_dir):
+    """(doc_id, term, score): a term's share of its document's most frequent term, as a detector's score."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(_normal("text"))).alias("term"))
+    counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("doc_id", "term", (F.col("n") / F.max("n").over(Window.partitionBy("doc_id"))).alias("score"))
+
+
+@query(f"with {_BAG} select doc_id, term, round(weight, 6) as weight from bag")
+def top_terms_per_doc(spark, sf_dir):
+    return bow.bags(_detections(spark, sf_dir), "doc_id").select("doc_id", "term", r6("weight").alias("weight"))
+
+
+@query(f"with {_BAG} select doc_id, term, round(weight, 6) as weight from m where weight >= {bow.MIN_SCORE}")
+def token_bag(spark, sf_dir):
+    return bow.bags(_detections(spark, sf_dir), "doc_id", max_terms=1 << 30).select("doc_id", "term", r6("weight").alias("weight"))
+
+
+_IDF = f"""
+{_BAG},
+df as (select term, count(*) as df from bag group by term),
+raw as (select term, df, ln(((select count(*) from documents) + 1.0::double) / (df + 1)) + 1 as raw from df),
+idf as (select term, df, raw / (select max(raw) from raw) as idf from raw)
+"""
+
+
+@query(f"with {_IDF} select term, df from df")
+def term_df(spark, sf_dir):
+    return bow.document_frequency(bow.bags(_detections(spark, sf_dir), "doc_id"))
+
+
+def _idf(spark, sf_dir, bag):
+    return bow.idf(bow.document_frequency(bag), table(spark, sf_dir, "documents").count())
+
+
+@query(f"with {_IDF} select term, df, round(idf, 6) as idf from idf")
+def term_idf(spark, sf_dir):
+    return _idf(spark, sf_dir, bow.bags(_detections(spark, sf_dir), "doc_id")).select("term", "df", r6("idf").alias("idf"))
+
+
+# Fixed terms in the role of the vocabulary that a query has matched.
+_WANTED = (("the", 1.0), ("of", 0.97), ("and", 0.86), ("la", 1.0), ("que", 0.97))
+_WANTED_SQL = ", ".join(f"('{t}', {s}::double)" for t, s in _WANTED)
+_OBJECTS = f"""
+{_IDF},
+wanted(term, score) as (values {_WANTED_SQL}),
+hit as (select doc_id, term, weight * idf * score as w from bag join idf using (term) join wanted using (term)),
+obj as (select doc_id, least(1, max(w) + 0.1::double * (count(*) - 1)) as object_score, list_sort(list(distinct term)) as matched from hit group by doc_id)
+"""
+
+
+def _objects(spark, sf_dir):
+    bag = bow.bags(_detections(spark, sf_dir), "doc_id")
+    wanted = spark.createDataFrame(list(_WANTED), "term string, score double")
+    return bow.object_scores(bag, _idf(spark, sf_dir, bag), wanted, "doc_id")
+
+
+@query(f"with {_OBJECTS} select doc_id, round(object_score, 6) as object_score, array_to_string(matched, ' ') as matched from obj")
+def object_scores(spark, sf_dir):
+    return _objects(spark, sf_dir).select("doc_id", r6("object_score").alias("object_score"), F.array_join("matched", " ").alias("matched"))
+
+
+@query(f"""
+with {_CANDIDATES}, {_OBJECTS.replace("m as (", "bm as (").replace("from m where", "from bm where").replace("s as (select f.", "s as (select f.")},
+d as (select position, max(score * (1 - label / 20.0::double)) as domain_score from s group by position),
+j as (select f.position, (least(greatest(list_dot_product(vector, q), -1), 1) + 1) / 2 as clip_score,
+             coalesce(object_score, 0) as object_score, domain_score
+      from found join f using (position) join d using (position) left join obj on doc_id = f.position, q where is_new)
+select position, round({CLIP} * clip_score + {OBJECT} * object_score + {DOMAIN} * domain_score, 6) as score,
+       round(clip_score, 6) as clip_score, round(object_score, 6) as object_score, round(domain_score, 6) as domain_score
+from j order by {CLIP} * clip_score + {OBJECT} * object_score + {DOMAIN} * domain_score desc, position limit {TOP}
+""")
+def hybrid_rerank(spark, sf_dir):
+    df = frames(spark, sf_dir)
+    known = prototypes(df)
+    scores = domains.semantic_domain_scores(F.col("vector"), [p for _, p in known])
+    weights = vector.constant([1 - label / 20 for label, _ in known])
+    df = df.join(_found(spark, sf_dir).filter("is_new").select("position"), "position", "left_semi")
+    df = df.withColumn("clip_score", vector.cosine01(F.col("vector"), vector.constant(query_vector(frames(spark, sf_dir)))))
+    df = df.withColumn("domain_score", F.array_max(F.zip_with(scores, weights, lambda s, w: s * w)))
+    df = df.join(_objects(spark, sf_dir).withColumnRenamed("doc_id", "position"), "position", "left")
+    df = df.withColumn("object_score", F.coalesce("object_score", F.lit(0.0)))
+    df = df.withColumn("score", fuse(F.col("clip_score"), F.col("object_score"), F.col("domain_score")))
+    top = df.orderBy(F.desc("score"), "position").limit(TOP)
+    return top.select("position", *[r6(c).alias(c) for c in ("score", "clip_score", "object_score", "domain_score")])
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_STOP, _KEEP = _list(text.STOPWORDS), _list(text.PROTECTED)
+
+
+def _each_sql(v: str, change: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split({v}, ' '), lambda t: t <> ''), lambda t: {change}), ' ')"
+
+
+def _telex_sql() -> str:
+    out = "regexp_replace(t, '[sfrxj]$', '')"
+    for typed, meant in text.TELEX:
+        out = f"replace({out}, '{typed}', '{meant}')"
+    return f"case when not list_contains({_KEEP}, t) and regexp_matches(t, '{'|'.join(x for x, _ in text.TELEX)}') then {out} else t end"
+
+
+_VARIANTS = f"""
+n as (select conv_id, turn, {_normal_sql('text')} as v from conversations),
+v as (select conv_id, turn, v as v0, regexp_replace(v, '\\b([a-z]+)\\d+\\b', '\\1', 'g') as v1,
+        {_each_sql("v", f"case when not list_contains({_KEEP}, t) and length(t) >= 3 and regexp_matches(t, '^[a-z]+$') and t[-1] = t[-2] then t[:-2] else t end")} as v2,
+        {_each_sql("v", f"case when not list_contains({_KEEP}, t) and regexp_matches(t, '^[a-z]{{3,}}[sfrxj]$') then t[:-2] else t end")} as v3,
+        {_each_sql("v", _telex_sql())} as v4
+      from n)
+"""
+
+
+@query(f"with {_VARIANTS} select conv_id, turn, md5(v1) as no_digits, md5(v2) as single_final, md5(v3) as no_tone, md5(v4) as telex from v")
+def telex_variants(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").withColumn("v", _normal("text"))
+    v = F.col("v")
+    return df.select(
+        "conv_id", "turn", F.md5(text.drop_word_digits(v)).alias("no_digits"), F.md5(text.single_final_letter(v)).alias("single_final"),
+        F.md5(text.drop_tone_letter(v)).alias("no_tone"), F.md5(text.resolve_telex(v)).alias("telex"),
+    )
+
+
+def _grams_sql(size: int) -> str:
+    grams = f"list_transform(range(1, greatest(len(ws) - {size - 2}, 1)), lambda i: ws[i:i + {size - 1}])"
+    return f"list_transform(list_filter({grams}, lambda g: len(list_filter(g, lambda t: not list_contains({_STOP}, t))) > 0), lambda g: array_to_string(g, ' '))"
+
+
+@query(f"""
+with {_VARIANTS},
+x as (select conv_id, turn, i, vv, list_filter(string_split(vv, ' '), lambda t: t <> '') as ws
+      from (select conv_id, turn, unnest([v0, v1, v2, v3, v4]) as vv, unnest(range(5)) as i from v)
+      where vv <> '' qualify row_number() over (partition by conv_id, turn, vv order by i) = 1),
+g as (select conv_id, turn, i, list_concat(list_concat([vv], {_grams_sql(3)}), list_concat({_grams_sql(2)},
+        list_filter(ws, lambda t: not list_contains({_STOP}, t) and length(t) > 1))) as cs from x),
+u as (select conv_id, turn, i, unnest(cs) as c, generate_subscripts(cs, 1) as k from g),
+o as (select conv_id, turn, c, row_number() over (partition by conv_id, turn order by min(i * 1000000 + k)) as place from u group by conv_id, turn, c)
+select conv_id, turn, place, c as candidate from o where place <= {text.MAX_CANDIDATES}
+""")
+def ngram_candidates(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    df = domains.analyses(df.withColumn("query", F.coalesce("query", F.lit(""))))
+    return df.select("conv_id", "turn", F.posexplode("candidates").alias("p", "candidate")).select(
+        "conv_id", "turn", (F.col("p") + 1).cast("long").alias("place"), "candidate"
+    )
+
+
+_TAGGED = "coalesce(text, '') || ' #L' || (21 + conv_id % 3) || ' #word #l' || (20 + turn % 4)"
+
+
+@query(f"""
+with t as (select conv_id, turn, {_TAGGED} as q from conversations),
+x as (select conv_id, turn, q, list_transform(regexp_extract_all(q, '(?i)#(L\\d+)\\b', 1), lambda x: upper(x)) as tags from t)
+select conv_id, turn, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), ' ') as tags,
+       md5(trim(regexp_replace(regexp_replace(regexp_replace(q, '(?i)#L\\d+\\b', ' ', 'g'), '#(\\w)', '\\1', 'g'), '\\s+', ' ', 'g'))) as clean_md5
+from x
+""")
+def parse_collection_tags(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations")
+    tagged = F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" #L"), (21 + F.col("conv_id") % 3).cast("string"), F.lit(" #word #l"), (20 + F.col("turn") % 4).cast("string")
+    )
+    return df.select("conv_id", "turn", F.array_join(text.collection_tags(tagged), " ").alias("tags"), F.md5(text.untagged(tagged)).alias("clean_md5"))
+
+
+_PHRASES = ("green", "large brushed", "steel", "small", "burnished")
+
+
+@query(f"""
+with p as (select p_partkey, {_normal_sql('p_name')} as c from part), t as (select unnest({_list(_PHRASES)}) as target),
+m as (select p_partkey, target, case when c = '' then 0 when c = target then 1 when contains(' ' || c || ' ', ' ' || target || ' ') then 0.97
+        when len(string_split(c, ' ')) >= 2 and contains(' ' || target || ' ', ' ' || c || ' ')
+             and len(string_split(c, ' ')) / len(string_split(target, ' ')) >= 0.6
+        then 0.88 * least(1, len(string_split(c, ' ')) / len(string_split(target, ' '))) else 0 end as score from p, t)
+select p_partkey, target, round(score::double, 6) as score from m where score >= 0.8
+""")
+def phrase_match_vocab(spark, sf_dir):
+    from keysift.functions.matching import MINIMUM, exact_part
+
+    df = table(spark, sf_dir, "part").select("p_partkey", _normal("p_name").alias("candidate"))
+    df = df.withColumn("target", F.explode(F.array(*[F.lit(p) for p in _PHRASES])))
+    df = df.withColumn("score", exact_part(F.col("candidate"), F.col("target"))).filter(F.col("score") >= MINIMUM)
+    return df.select("p_partkey", "target", r6("score").alias("score"))
+
+
+@query()
+def fuzzy_vocab_match(spark, sf_dir):
+    """The part names that each misspelt phrase matches; difflib's ratio is beyond SQL."""
+    names = table(spark, sf_dir, "part").select(_normal("p_name").alias("candidate")).distinct()
+    typed = ["greeen", "burnnished", "brushd stel", "anodizd", "polishedd"]
+    pairs = names.withColumn("target", F.explode(F.array(*[F.lit(p) for p in typed])))
+    return best_match(pairs.withColumn("name", F.col("candidate")), ["name", "target"])
+
+
+@query("select source, count(*) as n_docs, md5(array_to_string(list(doc_id order by doc_id), ' ')) as ids_md5 from (select distinct source, doc_id from documents) group by source")
+def collection_sets(spark, sf_dir):
+    df = prepare.collections(table(spark, sf_dir, "documents").select(F.col("source").alias("collection_id"), F.col("doc_id").alias("video_id")))
+    ids = F.array_join(F.transform("videos", lambda v: v.cast("string")), " ")
+    return df.select(F.col("collection_id").alias("source"), F.size("videos").cast("long").alias("n_docs"), F.md5(ids).alias("ids_md5"))
+
+
+def _sources(spark, sf_dir):
+    parts = [("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"), ("embeddings", "vec_id")]
+    out = None
+    for name, key in parts:
+        part = table(spark, sf_dir, name).select(F.col(key).alias("id"), F.lit(name).alias("source"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_IDS = """ids as (select distinct doc_id as id, 'documents' as source from documents union select doc_id, 'labels' from labels
+                union select page_id, 'pages' from pages union select vec_id, 'embeddings' from embeddings)"""
+
+
+@query(f"with {_IDS} select s.source, a.id from (select distinct source from ids) s, (select distinct id from ids) a except select source, id from ids")
+def missing_ids_anti(spark, sf_dir):
+    return prepare.missing_ids(_sources(spark, sf_dir))
+
+
+@query(f"with {_IDS} select id from ids group by id having count(*) = 4")
+def common_ids(spark, sf_dir):
+    return prepare.common_ids(_sources(spark, sf_dir), 4)
+
+
+@query("""
+with l as (select distinct source, doc_id from documents where doc_id % 3 <> 0),
+r as (select distinct source, doc_id from documents join labels using (doc_id)),
+k as (select source from l union select source from r)
+select source, (select coalesce(array_to_string(list(doc_id order by doc_id), ' '), '') from (select doc_id from l where l.source = k.source except select doc_id from r where r.source = k.source)) as only_left,
+       (select coalesce(array_to_string(list(doc_id order by doc_id), ' '), '') from (select doc_id from r where r.source = k.source except select doc_id from l where l.source = k.source)) as only_right
+from k
+""")
+def set_compare_full_outer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    left, right = docs.filter("doc_id % 3 <> 0"), docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    df = prepare.compare_sets(left, right, "source", "doc_id")
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return df.select("source", joined("only_left"), joined("only_right"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return prepare.repeated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+_LINE = "l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by {_LINE}) - 1 as clip_vector_index from lineitem")
+def fallback_index_rownumber(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE.split(", "))) - 1
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", place.cast("long").alias("clip_vector_index"))
+
+
+@query("select o_orderkey, 'L' || (o_custkey % 9) || '_V' || o_custkey || '_' || printf('%06d', o_orderkey) as keyframe_id, 'L' || (o_custkey % 9) as collection_id, o_orderkey as number from orders")
+def frame_id_format(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    video = F.concat(F.lit("L"), (F.col("o_custkey") % 9).cast("string"), F.lit("_V"), F.col("o_custkey").cast("string"))
+    df = df.select("o_orderkey", text.frame_id(video, F.col("o_orderkey")).alias("keyframe_id"))
+    return df.select("o_orderkey", "keyframe_id", text.collection_of(F.col("keyframe_id")).alias("collection_id"), text.number_of(F.col("keyframe_id")).cast("long").alias("number"))
+
+
+@query("select event_id, round_even(value * 1000, 0)::bigint as timestamp_ms from events")
+def half_even_ms(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", vector.half_even_ms(F.col("value")).alias("timestamp_ms"))
+
+
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_props_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query("select event_id, lower(event_type) as term, round(least(value, 1), 6) as score from events where event_type is not null and value is not null and not isnan(value)")
+def detector_json(spark, sf_dir):
+    """Each event as a detector's JSON, in one of four layouts by turns, and parsed."""
+    df = table(spark, sf_dir, "events").filter("event_type is not null and value is not null and not isnan(value)")
+    n, s = F.col("event_type"), F.col("value").cast("string")
+    one = F.concat(F.lit('{"label": "'), n, F.lit('", "confidence": '), s, F.lit("}"))
+    official = F.concat(F.lit('{"detection_scores": ["'), s, F.lit('"], "detection_class_entities": ["'), n, F.lit('", "cut"]}'))
+    layouts = F.when(F.col("event_id") % 4 == 0, official).when(F.col("event_id") % 4 == 1, F.concat(F.lit("["), one, F.lit("]")))
+    layouts = layouts.when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"objects": ['), one, F.lit("]}")))
+    layouts = layouts.otherwise(F.concat(F.lit('{"results": [{"entity": "", "name": "'), n, F.lit('", "score": "'), s, F.lit('"}]}')))
+    return df.select("event_id", F.inline(parse_detections(layouts))).select("event_id", "term", r6(F.least("score", F.lit(1.0))).alias("score"))
+
+
+@query("""
+with u as (select page_id, replace(case when page_id % 5 = 0 then '/../' || url when page_id % 5 = 1 then chr(92) || url else url end, chr(92), '/') as p from pages)
+select page_id, regexp_replace(p, '^/+', '') as path from u where not list_contains(string_split(regexp_replace(p, '^/+', ''), '/'), '..')
+""")
+def safe_path_filter(spark, sf_dir):
+    df = table(spark, sf_dir, "pages")
+    path = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("/../"), "url")).when(F.col("page_id") % 5 == 1, F.concat(F.lit("\\"), "url")).otherwise(F.col("url"))
+    return df.select("page_id", text.safe_path(path).alias("path")).filter("path is not null")
+
+
+@query("""
+select p_partkey, case when starts_with(lower(p_name), 'keyframes') then 'keyframes' when starts_with(lower(p_name), 'videos') then 'videos'
+  when starts_with(lower(p_name), 'clip-features-32') then 'clip-features-32' when starts_with(lower(p_name), 'map-keyframes') then 'map-keyframes'
+  when starts_with(lower(p_name), 'media-info') then 'media-info' when starts_with(lower(p_name), 'objects') then 'objects' else 'other' end as package_group
+from (select p_partkey, case p_partkey % 4 when 0 then 'Keyframes_' || p_name when 1 then 'MAP-keyframes' || p_name when 2 then 'objects.zip' else p_name end as p_name from part)
+""")
+def package_classify(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("Keyframes_"), "p_name")).when(k == 1, F.concat(F.lit("MAP-keyframes"), "p_name")).when(k == 2, "objects.zip").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", package_group(name).alias("package_group"))
+
+
+@query()
+def pca_project(spark, sf_dir):
+    """Each frame in the space of eight principal components; their signs are arbitrary, so magnitudes are returned."""
+    df = frames(spark, sf_dir).select("position", "vector")
+    pca = fit_pca(df, df.count(), dimensions=8)
+    return df.select("position", F.posexplode(pca.reduce(F.col("vector"))).alias("component", "value")).select("position", "component", r6(F.abs("value")).alias("magnitude"))
+
+
+def _toy(spark, sf_dir):
+    """An index over the test tables at a new place of the session's, and the encoder of its queries."""
+    import tempfile
+
+    from keysift.operators.index import Index, build
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keysift-")
+    df = frames(spark, sf_dir)
+    known = np.asarray([p for _, p in prototypes(df)])
+
+    def encode(texts: list[str]) -> np.ndarray:
+        """A text's vector: the prototype of its domain's number, or one drawn by its length."""
+        return np.asarray([known[i % len(known)] if len(texts) > 1 else known[len(t) % len(known)] for i, t in enumerate(texts)])
+
+    video = F.concat("collection_id", F.lit("_V"), F.lpad((F.col("position") % 5).cast("string"), 3, "0"))
+    rows = df.select(
+        "position", text.frame_id(video, F.col("position")).alias("keyframe_id"), "collection_id", video.alias("video_id"),
+        F.col("position").cast("int").alias("keyframe_number"), F.col("position").cast("int").alias("clip_vector_index"),
+        (F.col("position") * 30).cast("int").alias("frame_number"), vector.half_even_ms(F.col("position") * 1.0).alias("timestamp_ms"),
+        F.concat(F.lit("keyframes/"), video, F.lit("/"), F.lpad(F.col("position").cast("string"), 3, "0"), F.lit(".jpg")).alias("image_path"), F.lit("").alias("video_path"),
+    )
+    vectors = df.select(video.alias("video_id"), F.col("position").cast("int").alias("clip_vector_index"), "vector")
+    terms = F.array(*[F.lit(t) for t in ("person", "bicycle", "car", "dog", "tree", "chair", "book")])
+    found = df.select(video.alias("video_id"), F.col("position").cast("int").alias("keyframe_number"), F.get(terms, (F.col("position") % 7).cast("int")).alias("term"), F.lit(0.9).alias("score"))
+    path = f"{base.rstrip('/')}/index-{np.random.default_rng().integers(1 << 62)}"
+    build(rows, vectors, found, path, encode)
+    return Index.open(spark, path), encode
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """The flagship: an index is built over the tables and searched by a Vietnamese query within two collections."""
+    from keysift.operators.search import search
+
+    index, encode = _toy(spark, sf_dir)
+    rows = search(index, "Tìm người đi xe đạp", encode, collections=["L21", "L22"], top_k=TOP)
+    return rows.select("rank", "keyframe_id", "collection_id", "video_id", "timestamp_ms", r6("score").alias("score"), "domains", "matched_objects", "routed_domains")
+
+
+@query()
+def inspect_route(spark, sf_dir):
+    """How that query is routed: each domain with its scores."""
+    from keysift.operators.search import inspect
+
+    index, encode = _toy(spark, sf_dir)
+    found = inspect(index, "nguowif ddi xe ddapj", encode, top_k=TOP)["routing"]["domains"]
+    return spark.createDataFrame([(d["domain_id"], d["selected"], round(d["score"], 6), round(d["lexical_score"], 6)) for d in found], "domain_id string, selected boolean, score double, lexical_score double")
