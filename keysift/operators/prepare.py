@@ -96,13 +96,14 @@ def scan(spark: SparkSession, root: str, *, deep: bool = False) -> Report:
 
 def unequal(spark: SparkSession, root: str, videos: DataFrame) -> DataFrame:
     """(error) of each video whose images, key map and vectors don't agree in number, or whose images and map in names."""
-    images = dataset.images(spark, f"{root}/keyframes").groupBy("video_id").agg(F.sort_array(F.collect_list("n")).alias("images"))
+    images = dataset.image_files(spark, f"{root}/keyframes").groupBy("video_id")
+    images = images.agg(F.sort_array(F.collect_list("n")).alias("images"), F.count(F.lit(1)).alias("files"))
     maps = dataset.key_maps(spark, f"{root}/map-keyframes").groupBy("video_id").agg(F.sort_array(F.collect_list("n")).alias("maps"))
     vectors = dataset.vectors(spark, f"{root}/clip-features-32").groupBy("video_id").agg(F.count(F.lit(1)).alias("vectors"))
     df = videos.withColumnRenamed("id", "video_id")
     for part in (images, maps, vectors):
         df = df.join(part, "video_id", "left")
-    i, m, v = F.coalesce(F.array_size("images"), F.lit(0)), F.coalesce(F.array_size("maps"), F.lit(0)), F.coalesce("vectors", F.lit(0))
+    i, m, v = F.coalesce("files", F.lit(0)), F.coalesce(F.array_size("maps"), F.lit(0)), F.coalesce("vectors", F.lit(0))
     counts = F.when((i != m) | (m != v), F.format_string("%s: %d images, %d map rows, %d vectors", "video_id", i, m, v))
     names = F.when(~F.col("images").eqNullSafe(F.col("maps")), F.format_string("%s: image names and the map's numbers differ", "video_id"))
     return df.select(F.explode(F.array_compact(F.array(counts, names))).alias("error"))
@@ -113,10 +114,11 @@ def build_manifest(spark: SparkSession, root: str, out: str | None = None) -> Da
     folders = dataset.children(spark, f"{root}/keyframes", folders=True).withColumnRenamed("id", "video_id")
     clips = dataset.children(spark, f"{root}/clip-features-32", suffix=".npy").withColumnRenamed("id", "video_id")
     films = dataset.children(spark, f"{root}/videos", suffix=".mp4").select(F.col("id").alias("video_id"), F.format_string("videos/%s.mp4", "id").alias("video_path"))
-    maps = dataset.key_maps(spark, f"{root}/map-keyframes")
-    have = maps.select("video_id").distinct().intersect(clips)
+    listed = dataset.children(spark, f"{root}/map-keyframes", suffix=".csv").withColumnRenamed("id", "video_id")
+    have = listed.intersect(clips)
     if bad := [r[0] for r in folders.join(have, "video_id", "left_anti").orderBy("video_id").take(5)]:
         raise ValueError(f"videos without a key map or vectors, such as {bad}")
+    maps = dataset.key_maps(spark, f"{root}/map-keyframes")
     rows = maps.join(folders, "video_id", "left_semi").join(dataset.images(spark, f"{root}/keyframes"), ["video_id", "n"], "left")
     rows = rows.join(films, "video_id", "left")
     if bad := [tuple(r) for r in rows.filter("image_path is null").select("video_id", "n").take(5)]:

@@ -398,7 +398,7 @@ def phrase_match_vocab(spark, sf_dir):
 def fuzzy_vocab_match(spark, sf_dir):
     """The part names that each misspelt phrase matches; difflib's ratio is beyond SQL."""
     names = table(spark, sf_dir, "part").select(_normal("p_name").alias("candidate")).distinct()
-    typed = ["greeen", "burnnished", "brushd stel", "anodizd", "polishedd"]
+    typed = ["smal ring", "larg plate", "blu bolt", "red widgt", "hot geer", "gizmos"]
     pairs = names.withColumn("target", F.explode(F.array(*[F.lit(p) for p in typed])))
     return best_match(pairs.withColumn("name", F.col("candidate")), ["name", "target"])
 

@@ -174,6 +174,13 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
     return one.select("video_id", "keyframe_number", F.inline(parse_detections(F.col("value"))))
 
 
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, n): every image file of a folder's subfolders, with its number; null if its name is none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    found = files.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    return found.select(_folder(F.col("path")).alias("video_id"), _stem(F.col("path")).try_cast("int").alias("n"))
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, n, image_path): the file of each keyframe; of several three digits come before four and six, jpg before jpeg and png."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
