@@ -7,7 +7,8 @@ so that two paragraphs of the least similarity share a key all but surely.  With
 a key, every class is compared with three pivots drawn by hash, which covers all
 pairs of up to four classes and links a large group of near copies in linear work;
 then, in keys whose classes still lie in different components, each class outside
-the largest component meets all classes of other components.  So no pair that
+the largest component meets the classes of other components that an exact bound
+on their overlap leaves.  So no pair that
 collides is lost to its component, and no hot key is expanded into all its pairs.
 Jaccard is exact, on sets of 64-bit shingle hashes.  Of each component of paragraphs
 the first occurrence (by doc_id, then place) stays and the others are marked.
@@ -153,6 +154,32 @@ def _pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a key's classes in different components that may still reach the similarity.
+
+    Shingles that only one class has can't be common to two.  So a class's other
+    shingles bound its overlap with any partner, and with that the partner's size;
+    classes meet by key and size range, and no pair that the bound rules out is formed.
+    """
+    least = similarity / (1 + similarity)  # of both sizes, what two sets of that Jaccard have in common
+    own = open_.select("class").distinct().join(sets, "class").select("class", F.size("s").alias("size"), F.explode("s").alias("t"))
+    alone = own.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.any_value("class").alias("class")).filter("n = 1")
+    alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    size = own.groupBy("class").agg(F.any_value("size").alias("size"))
+    size = size.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    slack = 1e-9
+    low, high = similarity * F.col("size") - slack, F.least(F.col("size") / similarity, F.col("common") / least - F.col("size")) + slack
+    size = stash(size.withColumn("low", low).withColumn("high", high).filter("low <= high"), "sizes")
+    step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1.1)).cast("int")
+    rows = open_.filter("not array_contains(pivots, class)").join(size, "class")
+    few = rows.filter("component <> largest").withColumn("range", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
+    names = ["class", "component", "size", "common", "low", "high"]
+    x = few.select("key", "range", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = rows.select("key", step(F.col("size")).alias("range"), *[F.col(c).alias(f"y_{c}") for c in names])
+    fits = "x_component <> y_component and y_size between x_low and x_high and x_size between y_low and y_high"
+    return x.join(y, ["key", "range"]).filter(fits).select(*_pair(F.col("x_class"), F.col("y_class"))).distinct()
+
+
 def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of all classes that are linked with another."""
     first = F.min(F.struct("doc", "paragraph")).alias("rep")
@@ -175,10 +202,7 @@ def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> D
     open_ = stash(open_.join(split.select("key", F.col("largest.component").alias("largest")), "key"), "open")
     if not open_.take(1):
         return found
-    rest = "not array_contains(pivots, class)"
-    few = open_.filter("component <> largest").filter(rest).select("key", F.col("class").alias("x"), F.col("component").alias("cx"))
-    many = open_.filter(rest).select("key", F.col("class").alias("y"), F.col("component").alias("cy"))
-    more = few.join(many, (few["key"] == many["key"]) & (F.col("cx") != F.col("cy"))).select(*_pair(F.col("x"), F.col("y"))).distinct()
+    more = _unmet(open_, sets, similarity)
     more = stash(_verified(more, sets, similarity), "more")
     return components(edges.unionByName(more)) if more.take(1) else found
 
