@@ -2,11 +2,14 @@
 
 Fingerprints that differ in at most ``BITS`` bits are links; documents joined by
 links form a component.  Equal fingerprints are collapsed first.  Then, of four
-blocks of a fingerprint, at least one is equal in any linked pair: each distinct
-fingerprint is dealt four times by the value of one block.  A group of more than
-``GROUP`` fingerprints is dealt anew by four blocks of its remaining bits, and so
-on; after six steps at most 2^12 distinct fingerprints can still agree, which
-bounds every group whatever the data.  Within a group a binary trie over the
+blocks of a fingerprint (one more than the bits that may differ), at least one is
+equal in any linked pair: each distinct fingerprint is dealt four times by the
+value of one block.  A group of more than ``GROUP`` fingerprints is dealt anew by
+four blocks of its remaining bits, and so on; after six steps at most 2^12
+distinct fingerprints can still agree, which bounds every group whatever the
+data.  :func:`dedup` allows ``NEAR_BITS`` bits on five-word shingles, as near
+copies with a few changed words mostly differ in four or five; there groups may be
+larger, since each step costs more copies.  Within a group a binary trie over the
 remaining bits is joined with itself: node pairs are descended together, their
 differing bits are added up, and a pair of nodes over the budget is pruned.  A
 group returns a forest over its links, never all its pairs, and the forests of
@@ -34,7 +37,9 @@ from keysift.ship import ship
 BITS = 3
 SHINGLE = 3
 SEED = 42
+NEAR_BITS = 5
 GROUP = 1024
+NEAR_GROUP = 8192
 LEAF = 32  # node pairs of at most so many fingerprint pairs are compared outright
 SLICE = 1 << 20
 STEPS = 6
@@ -69,12 +74,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _deal(df: DataFrame, width: int) -> DataFrame:
-    """Deals (fp, key, rest) four times: by the value of each block of ``rest``, of which ``width`` bits are left."""
-    block = width // 4
+def _deal(df: DataFrame, width: int, blocks: int) -> DataFrame:
+    """Deals (fp, key, rest) once for each block: by the block's value in ``rest``, of which ``width`` bits are left."""
+    block = width // blocks
     cut = lambda c, a, n: F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else c
     copies = []
-    for i in range(4):
+    for i in range(blocks):
         low = i * block
         above = width - low - block
         rest = cut(F.col("rest"), 0, low) if low else F.lit(0).cast("long")
@@ -175,14 +180,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """(a, b): a forest over the pairs of distinct fingerprints ``fp`` within ``bits`` differing bits."""
-    if bits > 3:
-        raise ValueError("four blocks find pairs of at most three differing bits")
+    blocks = bits + 1
+    longest = 64 - 64 // blocks
     paths: list[str] = []
     ready, width = None, 64
     df = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     for step in range(STEPS):
-        dealt = _deal(df, width)
-        width -= width // 4
+        dealt = _deal(df, width, blocks)
+        width -= width // blocks
         dealt = stash(dealt, "dealt", drop=paths)
         sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         large = sizes.filter(F.col("n") > group) if step < STEPS - 1 else sizes.filter(F.lit(False))
@@ -195,7 +200,7 @@ def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rest, fp in _groups(batches):
-            label = trie_links(key, rest, fp, bits)
+            label = trie_links(key, rest, fp, bits, longest)
             i = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[label[i]])], names=["a", "b"])
 
@@ -206,11 +211,11 @@ def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFram
     return out
 
 
-def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """(doc_id, fp, component, component_id) of each document; the component id is the smallest doc_id reachable."""
     prints = stash(fingerprints(docs, shingle), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct, bits))
+    found = components(links(distinct, bits, group))
     joined = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     joined = stash(joined, "classes")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -218,10 +223,10 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS) -> Dat
     return prints.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
 
 
-def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = BITS) -> DataFrame:
+def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id any one."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits)
+    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits, group=group)
     order = F.struct(F.col("doc_id.doc_id").isNull().alias("n"), F.col("doc_id.doc_id").alias("i"), F.col("doc_id._row").alias("r"))
     first = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.r").alias("_row")).distinct()
     same = Window.partitionBy("_row").orderBy(F.lit(1))

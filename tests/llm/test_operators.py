@@ -180,22 +180,22 @@ def test_simhash_equals_brute_force(odd, none):
     assert all(r["component_id"] == min(least[root[r["fp"] % (1 << 64)]], default=None) for r in rows)
 
 
-@pytest.mark.parametrize("group", [2, 8, 1024])
-def test_trie_join_finds_all_links(spark, group):
+@pytest.mark.parametrize("group,bits", [(2, 3), (8, 3), (1024, 3), (40, 5), (8192, 5)])
+def test_trie_join_finds_all_links(spark, group, bits):
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     prints = set(centre.tolist())
     for _ in range(160):
         x = int(rng.choice(centre))
-        for bit in rng.integers(0, 64, rng.integers(1, 5)):
+        for bit in rng.integers(0, 64, rng.integers(1, bits + 2)):
             x ^= 1 << int(bit)
         prints.add(x)
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, group)
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits, group)
     assert all((a % (1 << 64) ^ b % (1 << 64)).bit_count() <= 64 for a, b in found.collect())
     component = {r["node"]: r["component"] for r in scratch.components(found).collect()}
-    want = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    want = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= bits)
     got = [component.get(s, s) for s in signed]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
@@ -212,7 +212,7 @@ def test_components_of_a_chain_a_hub_and_a_ring(spark):
 def test_near_dedup_keeps_one_of_each_group(odd):
     kept = simhash.dedup(odd)
     assert kept.columns == odd.columns
-    by = {(r["doc_id"], r["fp"]): r["component"] for r in simhash.classes(odd, shingle=5).collect()}
+    by = {(r["doc_id"], r["fp"]): r["component"] for r in simhash.classes(odd, shingle=5, bits=simhash.NEAR_BITS).collect()}
     rows = [(r["doc_id"], np.uint64(plain_fingerprint(r["text"], 5)).view(np.int64).item()) for r in kept.collect()]
     assert sorted(by[r] for r in rows) == sorted(set(by.values()))
 
