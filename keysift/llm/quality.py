@@ -12,6 +12,8 @@ replaced in :func:`measure` and kept out of the query's result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +51,14 @@ def _squeezed(text: Column) -> Column:
 def line_fails(line: Column, doc: dict[str, Column]) -> Column:
     """Whether a line breaks a rule; a line without words never does.
 
-    ``doc`` has what is known of the whole document (``n_symbols, exclaims,
+    ``doc`` has what is known of the whole document (``symbols, exclaims,
     separated, furniture, repeats``), so that rules that can't apply cost nothing.
     """
     n = F.regexp_count(line, F.lit(WORD))
     parts = F.split(F.trim(line), " ")
     punctuation = (
         ~line.rlike(TERMINAL)
-        | ((doc["n_symbols"] > 0) & (_count(line, SYMBOLS) * 10 > n))
+        | (doc["symbols"] & (_count(line, SYMBOLS) * 10 > n))
         | (doc["exclaims"] & (_count(line, "!") * 5 > n))
     )
     navigation = doc["separated"] & (_count(line, SEPARATORS) >= 3) & (_count(line, SEPARATORS) * 4 >= n)
@@ -145,9 +147,14 @@ def measure(docs: DataFrame, *, min_words: int = MIN_WORDS, max_loss_percent: in
     df = df.withColumn("n_symbols", _count(t, SYMBOLS).cast("long")).withColumn("_lower", lowered)
     df = df.withColumn("_furniture", phrase).withColumn("_separated", separated).withColumn("_lines", F.split(t, "\n", -1))
     known = {
-        "n_symbols": F.col("n_symbols"), "exclaims": t.contains("!"), "separated": F.col("_separated"),
+        "symbols": F.col("n_symbols") > 0, "exclaims": t.contains("!"), "separated": F.col("_separated"),
         "furniture": F.col("_furniture"), "repeats": F.col("n_repeat_words") * 5 >= F.col("_n"),
     }
+    # One column that the rules read several times: the optimizer would put an expression that is read once into the
+    # rules themselves, and judge the whole document anew for each line.
+    flags = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(known.values())]
+    df = df.withColumn("_flags", functools.reduce(Column.__add__, flags))
+    known = {name: F.col("_flags").bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(known)}
     df = df.withColumn("_full", F.filter(F.col("_lines"), lambda x: x.rlike(WORD)))
     df = df.withColumn("_good", F.filter(F.col("_lines"), lambda x: ~line_fails(x, known)))
     df = df.withColumn("cleaned", F.array_join(F.col("_good"), "\n"))
@@ -162,18 +169,20 @@ def measure(docs: DataFrame, *, min_words: int = MIN_WORDS, max_loss_percent: in
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     lost = F.col("word_chars") - F.col("cleaned_chars")
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * lost <= max_loss_percent * F.col("word_chars")))
-    return out.drop("_text", "_bare", "_words", "_n", "_packed", "_pairs", "_clash", "_exact", "_flagged", "_lines", "_full", "_good", "_lower", "_furniture", "_separated")
+    return out.drop("_text", "_bare", "_words", "_n", "_packed", "_pairs", "_clash", "_exact", "_flagged", "_lines", "_full", "_good", "_lower", "_furniture", "_separated", "_flags")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``."""
     # The optimizer would push a plain filter below, and there put each measure's whole expression into those that use
     # it, again and again; it leaves a filter above a column that isn't deterministic.
-    df = measure(docs).withColumn("_row", F.monotonically_increasing_id())
-    df = df.filter(F.col("kept") & (F.col("_row") >= 0)).withColumn("text", F.col("cleaned"))
+    # The input's columns go along as one, so that their names don't meet those of the measures.
+    df = measure(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in")))
+    df = df.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_row") >= 0))
+    new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
