@@ -38,6 +38,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MIN_WORDS = 45  # fifty, less what an edit may take
 PIVOTS = 3
+PARITIES = 4  # words of 64 bits
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 40) -> tuple[int, int]:
@@ -160,23 +161,29 @@ def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     Shingles that only one class has can't be common to two.  So a class's other
     shingles bound its overlap with any partner, and with that the partner's size;
     classes meet by key and size range, and no pair that the bound rules out is formed.
+    A class also has 256 parity bits of its shingles: two sets differ in at least as
+    many shingles as their parities differ in bits, which rules out most other pairs.
     """
     least = similarity / (1 + similarity)  # of both sizes, what two sets of that Jaccard have in common
     own = open_.select("class").distinct().join(sets, "class").select("class", F.size("s").alias("size"), F.explode("s").alias("t"))
     alone = own.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.any_value("class").alias("class")).filter("n = 1")
     alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    size = own.groupBy("class").agg(F.any_value("size").alias("size"))
-    size = size.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    parity = [F.bit_xor(F.expr(f"if(shiftrightunsigned(t, 6) & {PARITIES - 1} = {i}, shiftleft(1L, cast(t & 63 as int)), 0L)")).alias(f"p{i}") for i in range(PARITIES)]
+    size = own.groupBy("class").agg(F.any_value("size").alias("size"), *parity)
+    names = [f"p{i}" for i in range(PARITIES)]
+    size = size.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), *names)
     slack = 1e-9
     low, high = similarity * F.col("size") - slack, F.least(F.col("size") / similarity, F.col("common") / least - F.col("size")) + slack
     size = stash(size.withColumn("low", low).withColumn("high", high).filter("low <= high"), "sizes")
     step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1.1)).cast("int")
     rows = open_.filter("not array_contains(pivots, class)").join(size, "class")
     few = rows.filter("component <> largest").withColumn("range", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
-    names = ["class", "component", "size", "common", "low", "high"]
+    differ = " + ".join(f"bit_count(x_{p} ^ y_{p})" for p in names)
+    names = ["class", "component", "size", "low", "high", *names]
     x = few.select("key", "range", *[F.col(c).alias(f"x_{c}") for c in names])
     y = rows.select("key", step(F.col("size")).alias("range"), *[F.col(c).alias(f"y_{c}") for c in names])
     fits = "x_component <> y_component and y_size between x_low and x_high and x_size between y_low and y_high"
+    fits += f" and {differ} <= {1 - 2 * least}D * (x_size + y_size) + {slack}D"
     return x.join(y, ["key", "range"]).filter(fits).select(*_pair(F.col("x_class"), F.col("y_class"))).distinct()
 
 
