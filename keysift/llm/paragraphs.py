@@ -22,7 +22,7 @@ apart by 64 bits of hash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,18 +96,21 @@ def _split(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
         at += len(line) + 1
 
 
+Split = Callable[[str], Iterator[tuple[int, int, int, list[bytes]]]]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, paragraph, first_char, n_chars, n_words, class, bands) of each paragraph."""
+def paragraphs(docs: DataFrame, split: Split = _split) -> DataFrame:
+    """(doc_id, doc, paragraph, first_char, n_chars, n_words, class, bands) of each paragraph, or other unit that ``split`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, out = [], []
             for r, text in enumerate(b.column(1).to_pylist()):
-                for place, at, size, words in _split(text or ""):
+                for place, at, size, words in split(text or ""):
                     row.append(r)
                     content = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64)
                     out.append((place, at, size, len(words), int(content), band_keys(shingles(words))))
@@ -124,7 +127,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, split: Split = _split) -> DataFrame:
     """(class, s): the shingle hashes of the classes held by the paragraphs ``wanted`` (class, doc, paragraph)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 want = {p["paragraph"]: p["class"] for p in places}
-                out += [(want[p], shingles(w).view(np.int64)) for p, _, _, w in _split(text or "") if p in want]
+                out += [(want[p], shingles(w).view(np.int64)) for p, _, _, w in split(text or "") if p in want]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))], names=["class", "s"]
             )
@@ -187,8 +190,8 @@ def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, ["key", "range"]).filter(fits).select(*_pair(F.col("x_class"), F.col("y_class"))).distinct()
 
 
-def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of all classes that are linked with another."""
+def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY, split: Split = _split, also: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all classes that are linked with another; ``also``: further pairs (a, b) of classes to verify."""
     first = F.min(F.struct("doc", "paragraph")).alias("rep")
     held = stash(marks.groupBy("class").agg(first, F.any_value("bands").alias("bands")), "held")
     keys = held.select("class", F.posexplode("bands").alias("band", "k")).select("class", F.xxhash64("band", "k").alias("key"))
@@ -196,9 +199,14 @@ def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> D
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *draws).filter("n > 1")
     pivots = F.array_distinct(F.array(*[F.col(f"p{i}.c") for i in range(PIVOTS)]))
     members = stash(keys.join(shared.select("key", "n", pivots.alias("pivots")), "key"), "members")
-    wanted = members.select("class").distinct().join(held, "class").select("class", "rep.doc", "rep.paragraph")
-    sets = stash(_sets(docs, wanted), "sets")
+    named = members.select("class")
+    if also is not None:
+        named = named.unionByName(also.select(F.explode(F.array("a", "b")).alias("class")))
+    wanted = named.distinct().join(held, "class").select("class", "rep.doc", "rep.paragraph")
+    sets = stash(_sets(docs, wanted, split), "sets")
     pairs = members.select("class", F.explode("pivots").alias("p")).filter("class <> p").select(*_pair(F.col("class"), F.col("p"))).distinct()
+    if also is not None:
+        pairs = pairs.unionByName(also.select(*_pair(F.col("a"), F.col("b")))).distinct()
     edges = stash(_verified(pairs, sets, similarity), "edges")
     found = stash(components(edges), "components")
     # What the pivots have left open: keys of more than PIVOTS + 1 classes, in more than one component.

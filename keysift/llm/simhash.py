@@ -7,14 +7,18 @@ equal in any linked pair: each distinct fingerprint is dealt four times by the
 value of one block.  A group of more than ``GROUP`` fingerprints is dealt anew by
 four blocks of its remaining bits, and so on; after six steps at most 2^12
 distinct fingerprints can still agree, which bounds every group whatever the
-data.  :func:`dedup` allows ``NEAR_BITS`` bits on five-word shingles, as near
-copies with a few changed words mostly differ in four or five; there groups may be
-larger, since each step costs more copies.  Within a group a binary trie over the
+data.  Within a group a binary trie over the
 remaining bits is joined with itself: node pairs are descended together, their
 differing bits are added up, and a pair of nodes over the budget is pruned.  A
 group returns a forest over its links, never all its pairs, and the forests of
 all groups are joined by distributed connected components.
 
+:func:`dedup` allows ``NEAR_BITS`` bits on five-word shingles; there groups may be
+larger, since each step costs more copies.  :func:`exact_dedup`, the pipeline's
+stage, takes these links as candidates only.  Most texts of Jaccard 0.8 differ in more bits than a trie join
+can allow, so operator 4's MinHash bands over whole documents give the other
+candidates, and every link is confirmed by exact Jaccard before the components.
+
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and
 is linked like any other; fewer words than a shingle has are one shingle; equal
 rows share a component; a null doc_id takes part, and a component of null ids
@@ -31,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.llm import paragraphs
 from keysift.llm.scratch import components, remove, stash
 from keysift.ship import ship
 
@@ -223,15 +228,47 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, group:
     return prints.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
 
 
-def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id any one."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits, group=group)
+def whole(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """A text as one unit: (place, first character, characters, words)."""
+    yield 0, 0, len(text), text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def candidates(docs: DataFrame, marks: DataFrame, shingle: int, bits: int, group: int) -> DataFrame:
+    """(a, b): pairs of classes of ``marks`` that link all classes whose fingerprints are within ``bits`` bits."""
+    held = marks.groupBy("class").agg(F.min("doc").alias("doc"))
+    prints = fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle).distinct()
+    prints = stash(prints.join(held, F.col("doc_id") == F.col("doc")).select("class", "fp"), "prints")
+    first = prints.groupBy("fp").agg(F.min("class").alias("first"))
+    equal = prints.join(first, "fp").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"c{x}")) for x in "ab")
+    near = links(first.select("fp"), bits, group).join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return stash(equal.unionByName(near), "candidates")
+
+
+def _firsts(keyed: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``keyed`` that are the first of a component of ``found`` (doc_id: struct of doc_id and _row, component)."""
     order = F.struct(F.col("doc_id.doc_id").isNull().alias("n"), F.col("doc_id.doc_id").alias("i"), F.col("doc_id._row").alias("r"))
     first = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.r").alias("_row")).distinct()
     same = Window.partitionBy("_row").orderBy(F.lit(1))
     kept = keyed.join(first, "_row", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
-    return kept.select(*docs.columns)
+    return kept.select(*columns)
+
+
+def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id any one."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits, group=group)
+    return _firsts(keyed, found, docs.columns)
+
+
+def exact_dedup(docs: DataFrame, *, similarity: float = paragraphs.SIMILARITY, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
+    """As :func:`dedup`, of components of texts whose exact Jaccard similarity is ``similarity`` at least."""
+    keyed, plain = docs.withColumn("_row", F.xxhash64("doc_id", "text")), docs.select("doc_id", "text")
+    marks = stash(paragraphs.paragraphs(plain, whole), "marks")
+    found = paragraphs.link(plain, marks, similarity, whole, candidates(plain, marks, paragraphs.SHINGLE, bits, group))
+    rows = marks.join(found, F.col("class") == F.col("node"), "left")
+    rows = rows.select(F.struct("doc_id", F.col("doc").alias("_row")).alias("doc_id"), F.coalesce("component", "class").alias("component"))
+    return _firsts(keyed, rows, docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -217,6 +217,28 @@ def test_near_dedup_keeps_one_of_each_group(odd):
     assert sorted(by[r] for r in rows) == sorted(set(by.values()))
 
 
+def test_exact_near_dedup_equals_brute_force(spark, odd, none):
+    rng = random.Random(12)
+    docs = []
+    for _ in range(30):
+        base = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(200)]
+        for edits in (0, 2, 4, 12):
+            p = list(base)
+            for at in rng.sample(range(5, 195), edits):
+                p[at] = f"edit{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(p)))
+    sets = [set(paragraphs.shingles(t.encode().lower().split()).tolist()) for _, t in docs]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    root = plain_components(range(len(docs)), near)
+    prints = [plain_fingerprint(t, 5) for _, t in docs]
+    assert sum(near(i, i + 2) and (prints[i] ^ prints[i + 2]).bit_count() > simhash.NEAR_BITS for i in range(0, len(docs), 4)) > 5
+    assert {r["doc_id"] for r in simhash.exact_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == set(root)
+    same = [(1, "a b c d e " * 40), (2, "a b c d e " * 40 + " ".join(f"x{i}" for i in range(60)))]  # within few bits, not near
+    assert (plain_fingerprint(same[0][1], 5) ^ plain_fingerprint(same[1][1], 5)).bit_count() <= simhash.NEAR_BITS
+    assert simhash.exact_dedup(spark.createDataFrame(same, "doc_id long, text string")).count() == 2
+    assert simhash.exact_dedup(none).count() == 0 and simhash.exact_dedup(odd).columns == odd.columns
+
+
 # 4 paragraphs
 
 
