@@ -10,6 +10,11 @@ by line.  Of a window's positions the first (by doc_id, then place) stays; the
 lines of all later ones go.  Overlapping later windows make up a later run, so a
 repeated run of any length of ``RUN`` lines or more goes whole, and no shorter one.
 
+With ``words``, every run of fewer than ``RUN`` lines that has more than that many
+words is a window as well, so a repeated passage of so many words goes whole even
+where it fills one or two lines of a longer document.  The pipeline's stage cuts
+these too (``WORDS``); the query, whose rows its SQL fixes, does not.
+
 No pair of positions is ever formed: a window's positions meet only the first of
 them, by an aggregate, so a line in a third of all documents costs its rows.
 
@@ -23,13 +28,14 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.quality import WORD
 from keysift.llm.scratch import stash
 
 RUN = 3
+WORDS = 50
 
 
 def _marks(docs: DataFrame, run: int) -> DataFrame:
@@ -49,8 +55,27 @@ def _marks(docs: DataFrame, run: int) -> DataFrame:
     return df.withColumn("at", F.array_distinct(F.transform(starts, least)))
 
 
-def _repeated(marks: DataFrame, run: int) -> DataFrame:
-    """(doc, line) of each line that belongs to a later occurrence of a window."""
+def _long(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """(doc, id, at, hashes) of each run of fewer than ``run`` lines that has more than ``words`` words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    full = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    df = docs.select(
+        F.xxhash64("doc_id", text).alias("doc"),
+        F.col("doc_id").alias("id"),
+        F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(f"{WORD}+")).alias("n"))).alias("lines"),
+    )
+    total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + x["n"])
+
+    def runs(k: int) -> Column:
+        every = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.slice(F.col("lines"), i + 1, F.lit(k)).alias("w")))
+        return F.filter(every, lambda x: (F.size(x["w"]) == k) & (total(x["w"]) > words))
+
+    df = df.select("doc", "id", F.explode(F.concat(*[runs(k) for k in range(1, run)])).alias("x"))
+    return df.select("doc", "id", F.col("x.at").alias("at"), F.col("x.w.h").alias("w"))
+
+
+def _repeated(marks: DataFrame, run: int, long: DataFrame | None = None) -> DataFrame:
+    """(doc, line) of each line that belongs to a later occurrence of a window; ``long``: windows beside those of ``run`` lines."""
     at = marks.select("doc", "id", F.explode("at").alias("at"), "hashes")
     at = at.withColumn("mark", F.get("hashes", F.col("at")))
     often = at.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
@@ -68,10 +93,12 @@ def _repeated(marks: DataFrame, run: int) -> DataFrame:
                 lambda i: F.struct(i.alias("at"), F.slice("near", i - F.col("low") + 1, F.lit(run)).alias("w")),
             )
         ).alias("x"),
-    )
+    ).select("doc", "id", "x.at", "x.w")
+    if long is not None:
+        windows = windows.unionByName(long)
     # A window's key is 96 bits of hash and its size, as a short document is a window of its own.
-    n = F.size("x.w")
-    windows = windows.select("doc", "id", "x.at", F.xxhash64("x.w").alias("w"), F.hash("x.w").alias("v"), n.alias("n")).distinct()
+    n = F.size("w")
+    windows = windows.select("doc", "id", "at", F.xxhash64("w").alias("w"), F.hash("w").alias("v"), n.alias("n")).distinct()
     place = F.struct(F.col("id"), F.col("doc"), F.col("at"))
     key = ["w", "v", "n"]
     firsts = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")).filter("uses > 1").drop("uses")
@@ -79,10 +106,11 @@ def _repeated(marks: DataFrame, run: int) -> DataFrame:
     return later.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).distinct()
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with the later repeated runs cut from ``text``, and ``n_lines, n_removed_lines, n_removed_runs``."""
+def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """``docs`` with the later repeated runs (with ``words``, also the shorter ones of more words than that) cut from ``text``, and ``n_lines, n_removed_lines, n_removed_runs``."""
     marks = stash(_marks(docs, run), "marks")
-    removed = _repeated(marks, run).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_removed"))
+    long = None if words is None else _long(docs, run, words)
+    removed = _repeated(marks, run, long).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_removed"))
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_doc", F.xxhash64("doc_id", text))
     df = df.join(removed.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")

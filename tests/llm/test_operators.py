@@ -439,6 +439,29 @@ def test_lines_equal_brute_force(spark, odd, none):
     assert lines.dedup(none).count() == 0 and lines.dedup(odd).count() == odd.count()
 
 
+def test_long_lines_equal_brute_force(spark, odd, none):
+    rng = random.Random(8)
+    pool = [prose(rng, n) for n in (3, 20, 24, 26, 30, 50, 51, 70)]
+    docs = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randint(1, 60)) for _ in range(rng.randint(0, 9)))) for d in range(60)]
+    out = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string"), words=50).collect()}
+    seen, short = set(), 0
+    for d, t in docs:
+        full, gone, threes = [x for x in t.split("\n") if x], set(), set()
+        for size in range(1, lines.RUN + 1):
+            for k in range(len(full) - size + 1):
+                w = tuple(full[k : k + size])
+                if size == lines.RUN or sum(len(split(x)) for x in w) > 50 or len(full) == size:
+                    if w in seen:
+                        gone.update(range(k, k + size))
+                        threes |= set(range(k, k + size)) if size == lines.RUN else set()
+                    seen.add(w)
+        short += len(gone - threes)
+        assert out[d]["n_removed_lines"] == len(gone), d
+        assert out[d]["text"] == ("\n".join(x for k, x in enumerate(full) if k not in gone) if gone else t)
+    assert short > 20
+    assert lines.dedup(none, words=50).count() == 0 and lines.dedup(odd, words=50).count() == odd.count()
+
+
 # 10 decontamination
 
 
