@@ -13,6 +13,14 @@ collides is lost to its component, and no hot key is expanded into all its pairs
 Jaccard is exact, on sets of 64-bit shingle hashes.  Of each component of paragraphs
 the first occurrence (by doc_id, then place) stays and the others are marked.
 
+A repeated passage need not be a line: it may fill several short lines, or part of a
+long one.  :func:`passages` finds these by winnowing over the words of the whole
+text, line breaks or not.  Of each ``PASSAGE - GRAM + 1`` neighbouring runs of
+``GRAM`` words the one of least hash is a mark, so every copied run of ``PASSAGE``
+words holds a mark at the same place of it.  Of a mark's places the first (by
+doc_id, then place) stays and all later ones go, by an aggregate, so no pair of
+places is formed; overlapping marks make up a passage.
+
 Defined cases: null and empty texts have no paragraph; repeated rows with one
 doc_id and text count as one document, so their paragraphs are marked alike; a
 null doc_id comes first; an empty table gives an empty result.  Classes are told
@@ -21,7 +29,10 @@ apart by 64 bits of hash.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keysift.llm.scratch import components, stash
 from keysift.ship import ship
@@ -37,6 +49,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MIN_WORDS = 45  # fifty, less what an edit may take
+PASSAGE = 50
+GRAM = 40  # words: a shorter run has more marks in common, a longer one costs more of them
 PIVOTS = 3
 PARITIES = 4  # words of 64 bits
 
@@ -238,16 +252,139 @@ def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
+_TOKEN = re.compile(r"[^\x09-\x0d\x20]+")  # what bytes.split() gives
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(maxsize=None)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ``_BASE`` and of its inverse modulo 2^64."""
+    run = lambda x: np.r_[np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))]
+    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the marks of a text's words; none if it has fewer words than a passage."""
+    n = len(words)
+    if n < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    power, inverse = _powers(1 << n.bit_length())
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, n)
+    total = np.r_[np.uint64(0), np.cumsum(h * power[:n], dtype=np.uint64)]
+    g = (total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    g ^= g >> np.uint64(32)
+    width = PASSAGE - GRAM + 1
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1))
+    return at, g[at].view(np.int64)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, at, line, gram) of each mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], []
+            for r, text in enumerate(b.column(1).to_pylist()):
+                lines = [x.lower().split() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
+                at, g = grams([w for x in lines for w in x])
+                if len(at):
+                    line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
+                    row.append(np.full(len(at), r))
+                    out.append((at, line, g))
+            if out:
+                take = pa.array(np.concatenate(row))
+                at, line, g = (np.concatenate(x) for x in zip(*out))
+                columns = [b.column(0).take(take), b.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(g)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc", "at", "line", "gram"])
+
+    ship(docs.sparkSession)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return _keyed(docs).mapInArrow(run, f"doc_id {key}, doc bigint, at int, line int, gram bigint")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Each repeated passage of a text, in the columns of :func:`duplicates` and ``last_line``.
+
+    ``paragraph`` is the line in which it begins, ``component`` and ``first_*`` are those of its first mark.
+    """
+    marks = stash(_marked(docs.select("doc_id", "text")), "grams")
+    place, spot = F.struct("doc_id", "doc", "at", "line"), F.xxhash64("doc", "at")
+    firsts = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.min(spot).alias("low"), F.max(spot).alias("high"))
+    firsts = firsts.filter("low <> high").drop("low", "high")  # repeated rows are one place
+    found = marks.join(firsts, "gram").withColumn("removed", ~place.eqNullSafe(F.col("first")))
+    mark = F.struct("at", "gram", "copies", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "removed")
+    found = found.groupBy("doc").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    found = stash(found, "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], []
+            for r, (text, marks) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
+                spans = [m.span() for m in _TOKEN.finditer(text)]
+                runs = []
+                for removed in (False, True):
+                    last = None
+                    for m in (m for m in marks if m["removed"] == removed):
+                        if last is not None and m["at"] <= last[1]:
+                            last[1] = m["at"] + GRAM
+                        else:
+                            last = [m["at"], m["at"] + GRAM, m]
+                            runs.append(last)
+                late = [x for x in runs if x[2]["removed"]]
+                ends = [x[0] for x in late]
+                # A first place inside a later one tells nothing more.
+                runs = late + [x for x in runs if not x[2]["removed"] and not ((i := bisect.bisect_right(ends, x[0])) and late[i - 1][1] >= x[1])]
+                breaks = [i for i, c in enumerate(text) if c == "\n"]
+                for a, z, m in runs:
+                    start, end = spans[a][0], spans[z - 1][1]
+                    line, last_line = bisect.bisect_left(breaks, start), bisect.bisect_left(breaks, end)
+                    row.append(r)
+                    out.append((line, last_line, start, end - start, z - a, m["gram"], m["copies"], m["first_doc_id"], m["first_line"], m["removed"]))
+            if out:
+                take = pa.array(row, pa.int64())
+                columns = [b.column(0).take(take), b.column(2).take(take), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int32(), pa.bool_()]
+    names = ["doc_id", "doc", "paragraph", "last_line", "first_char", "n_chars", "n_words", "component", "copies", "first_doc_id", "first_paragraph", "removed"]
+    key = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, doc bigint, paragraph int, last_line int, first_char bigint, n_chars bigint, n_words bigint, component bigint, copies bigint, first_doc_id {key}, first_paragraph int, removed boolean"
+    ship(docs.sparkSession)
+    texts = _keyed(docs).withColumnRenamed("doc", "_doc").join(found, F.col("_doc") == F.col("doc")).select("doc_id", "text", "doc", "marks")
+    return texts.mapInArrow(run, schema)
+
+
+def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of :func:`duplicates`, and of :func:`passages` those that have a line which is no such row."""
+    whole = stash(duplicates(docs, similarity), "whole")
+    found = stash(passages(docs), "passages")
+    lines = whole.groupBy(F.col("doc").alias("_of"), F.col("removed").alias("_removed")).agg(F.collect_set("paragraph").alias("_lines"))
+    found = found.join(lines, (F.col("doc") == F.col("_of")) & (F.col("removed") == F.col("_removed")), "left")
+    rest = F.array_except(F.sequence("paragraph", "last_line"), F.coalesce("_lines", F.array().cast("array<int>")))
+    return whole.unionByName(found.filter(F.size(rest) > 0).select(*whole.columns))
+
+
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the paragraphs marked as removed."""
+    """``docs`` without the paragraphs and passages marked as removed; a passage's line breaks stay."""
     gone = duplicates(docs, similarity).filter("removed").groupBy("doc").agg(F.collect_set("paragraph").alias("_gone"))
-    df = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
+    cuts = passages(docs).filter("removed").groupBy(F.col("doc").alias("_cut")).agg(F.collect_set(F.struct("first_char", "n_chars")).alias("_cuts"))
+    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
+    df = keyed.join(gone.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left").join(cuts, F.col("_doc") == F.col("_cut"), "left")
+    part = lambda t, a, n: F.substring(t, a.cast("int"), n.cast("int"))
+    end = lambda c: c["first_char"] + c["n_chars"] + 1
+    cut = lambda t, c: F.concat(
+        part(t, F.lit(1), c["first_char"]), F.regexp_replace(part(t, c["first_char"] + 1, c["n_chars"]), "[^\n]+", ""), part(t, end(c), F.length(t).cast("long"))
+    )
+    full = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.aggregate(F.reverse(F.sort_array("_cuts")), F.col("text"), cut))
+    df = df.withColumn("text", full)
     lines = F.split("text", "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     df = df.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")))
-    return df.drop("_doc", "_of", "_gone")
+    return df.drop("_doc", "_of", "_gone", "_cut", "_cuts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return duplicates(docs).drop("doc")
+    return repeats(docs).drop("doc")

@@ -276,6 +276,35 @@ def test_paragraph_removal_and_tuning(spark, odd, none):
     assert {r["doc_id"]: r["text"] for r in paragraphs.dedup(df).collect()} == {1: f"{a}\n{p}", 2: b, 3: b}
 
 
+def test_passages_across_and_inside_lines(spark, odd, none):
+    rng = random.Random(21)
+    texts = []
+    for d in range(40):
+        own = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(rng.randrange(20, 200))]
+        texts.append(own)
+    base = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(50)]
+    docs = []
+    for d, own in enumerate(texts):
+        at = rng.randrange(len(own))
+        words = own[:at] + (base if d % 2 else base[:39]) + own[at:]
+        docs.append((d, " ".join(w + ("\n" if rng.random() < (0, 0.1)[d // 2 % 2] else "") for w in words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["removed"]): r for r in paragraphs.repeats(df).collect()}
+    assert {d for d, removed in got if removed} == {d for d, _ in docs if d % 2 and d != 1}
+    assert (1, False) in got and all(d % 2 for d, _ in got)
+    for (d, _), r in got.items():
+        text = dict(docs)[d]
+        assert set(text[r["first_char"] : r["first_char"] + r["n_chars"]].split()) <= set(base) and r["n_words"] >= paragraphs.GRAM
+        assert r["first_doc_id"] % 2 and r["first_doc_id"] <= d and r["paragraph"] == text[: r["first_char"]].count("\n")
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.dedup(df).collect()}
+    for d, t in docs:
+        left = kept[d].split()
+        assert left == t.split() if d % 2 == 0 or d == 1 else len(left) <= len(t.split()) - paragraphs.GRAM
+        assert set(t.split()) - set(left) <= set(base)
+    assert paragraphs.passages(df.filter("doc_id = 1").unionAll(df.filter("doc_id = 1"))).count() == 0  # repeated rows are one document
+    assert paragraphs.repeats(none).count() == 0 and paragraphs.repeats(odd).count() > 0
+
+
 # 5 WARC
 
 
