@@ -4,9 +4,9 @@ A paragraph is a line of at least ``MIN_WORDS`` words.  Equal paragraphs (by the
 words, A-Z lowered) are one class, held by its first occurrence.  Each class has
 ``BANDS`` keys of ``ROWS`` MinHashes over its five-word shingles, tuned by :func:`tune`
 so that two paragraphs of the least similarity share a key all but surely.  Within
-a key, every class is compared with three pivots drawn by hash, which covers all
-pairs of up to four classes and links a large group of near copies in linear work;
-then, in keys whose classes still lie in different components, each class outside
+a key, every class is compared with up to three pivots drawn by hash (draws may coincide),
+which links a large group of near copies in linear work; then, in keys with more
+than one class besides the pivots whose classes still lie in different components, each class outside
 the largest component meets the classes of other components that an exact bound
 on their overlap leaves.  So no pair that
 collides is lost to its component, and no hot key is expanded into all its pairs.
@@ -223,8 +223,8 @@ def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY, spli
         pairs = pairs.unionByName(also.select(*_pair(F.col("a"), F.col("b")))).distinct()
     edges = stash(_verified(pairs, sets, similarity), "edges")
     found = stash(components(edges), "components")
-    # What the pivots have left open: keys of more than PIVOTS + 1 classes, in more than one component.
-    open_ = members.filter(F.col("n") > PIVOTS + 1).join(found, F.col("class") == F.col("node"), "left")
+    # What the pivots have left open: keys with pairs of classes that are no pivots, in more than one component.
+    open_ = members.filter(F.col("n") > F.size("pivots") + 1).join(found, F.col("class") == F.col("node"), "left")
     open_ = open_.select("key", "class", "pivots", F.coalesce("component", "class").alias("component"))
     sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")

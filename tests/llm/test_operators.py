@@ -276,6 +276,23 @@ def test_paragraph_removal_and_tuning(spark, odd, none):
     assert {r["doc_id"]: r["text"] for r in paragraphs.dedup(df).collect()} == {1: f"{a}\n{p}", 2: b, 3: b}
 
 
+def test_keys_with_fewer_pivots_are_left_open(spark):
+    rng = random.Random(2)
+    near = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(60)]
+    docs = []
+    for d in range(160):  # keys of four classes: one pair of near copies and two strangers each
+        p = [w + f"g{d // 4}" for w in near] if d % 4 < 2 else prose(rng, 60).split()
+        if d % 4 == 1:
+            p[30] = "edit"
+        docs.append((d, " ".join(p)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = paragraphs.paragraphs(df).withColumn("bands", F.array(F.floor(F.col("doc_id") / 4).cast("long")))
+    found = {r["node"]: r["component"] for r in paragraphs.link(df, scratch.stash(marks, "marks")).collect()}
+    ids = {r["doc_id"]: r["class"] for r in marks.collect()}
+    lost = [d for d in range(0, 160, 4) if ids[d] not in found or found[ids[d]] != found.get(ids[d + 1])]
+    assert lost == []
+
+
 def test_passages_across_and_inside_lines(spark, odd, none):
     rng = random.Random(21)
     texts = []
