@@ -110,6 +110,11 @@ def _split(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
         at += len(line) + 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a task holds the Python values of few rows at a time."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 Split = Callable[[str], Iterator[tuple[int, int, int, list[bytes]]]]
 
 
@@ -121,7 +126,7 @@ def paragraphs(docs: DataFrame, split: Split = _split) -> DataFrame:
     """(doc_id, doc, paragraph, first_char, n_chars, n_words, class, bands) of each paragraph, or other unit that ``split`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             row, out = [], []
             for r, text in enumerate(b.column(1).to_pylist()):
                 for place, at, size, words in split(text or ""):
@@ -145,7 +150,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, split: Split = _split) -> DataFram
     """(class, s): the shingle hashes of the classes held by the paragraphs ``wanted`` (class, doc, paragraph)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 want = {p["paragraph"]: p["class"] for p in places}
@@ -283,7 +288,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, at, line, gram) of each mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             row, out = [], []
             for r, text in enumerate(b.column(1).to_pylist()):
                 lines = [x.lower().split() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
@@ -318,7 +323,7 @@ def passages(docs: DataFrame) -> DataFrame:
     found = stash(found, "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             row, out = [], []
             for r, (text, marks) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
                 spans = [m.span() for m in _TOKEN.finditer(text)]
