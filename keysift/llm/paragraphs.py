@@ -1,58 +1,66 @@
 """Operator 4, substring dedup: paragraphs by MinHash banding, verified by exact Jaccard, removed by component.
 
-A paragraph is a line of at least ``MIN_WORDS`` words.  Equal paragraphs (by their
-words, A-Z lowered) are one class, held by its first occurrence.  Each class has
-``BANDS`` keys of ``ROWS`` MinHashes over its five-word shingles, tuned by :func:`tune`
-so that two paragraphs of the least similarity share a key all but surely.  Within
-a key, every class is compared with up to three pivots drawn by hash (draws may coincide),
-which links a large group of near copies in linear work; then, in keys with more
-than one class besides the pivots whose classes still lie in different components, each class outside
-the largest component meets the classes of other components that an exact bound
-on their overlap leaves.  So no pair that
-collides is lost to its component, and no hot key is expanded into all its pairs.
-Jaccard is exact, on sets of 64-bit shingle hashes.  Of each component of paragraphs
-the first occurrence (by doc_id, then place) stays and the others are marked.
-
-A repeated passage need not be a line: it may fill several short lines, or part of a
-long one.  :func:`passages` finds these by winnowing over the words of the whole
-text, line breaks or not.  Of each ``PASSAGE - GRAM + 1`` neighbouring runs of
-``GRAM`` words the one of least hash is a mark, so every copied run of ``PASSAGE``
-words holds a mark at the same place of it.  Of a mark's places the first (by
-doc_id, then place) stays and all later ones go, by an aggregate, so no pair of
-places is formed; overlapping marks make up a passage.
-
-Defined cases: null and empty texts have no paragraph; repeated rows with one
-doc_id and text count as one document, so their paragraphs are marked alike; a
-null doc_id comes first; an empty table gives an empty result.  Classes are told
-apart by 64 bits of hash.
+Units are cut from the word stream of a whole text at two scales, so that both
+copies of a repeated passage are cut alike whatever surrounds them:
+
+* a paragraph: a line of ``MIN_WORDS`` words or more, or neighbouring shorter lines
+  (up to a blank line) joined until they have as many;
+* a window of ``WINDOW`` words that begins at an anchor.  Anchors are chosen by
+  content: of each ``REACH`` neighbouring places the one whose five-word shingle
+  hashes lowest, unless a lower one is within ``SPACING`` words (windows closer than
+  that would be near copies of each other).  A passage of 50 words has such a
+  window in all its copies all but surely, be it part of a line or several lines.
+
+A paragraph has ``BANDS`` keys of ``ROWS`` MinHashes over its five-word shingles,
+tuned by :func:`tune` so that two of the least similarity share a key all but
+surely.  A window is so short that a change anywhere but at its end leaves less than
+the least similarity, so its one band has all its words as rows: windows match as
+they are, and a near copy of a passage shares the windows between its changes.
+Units that share a key are candidates.
+Equal units (by their words, A-Z lowered, told apart by 128 bits) are one class.
+Within a key every class is compared with up to three pivots drawn by hash, which
+links a large group of near copies in linear work; then, in keys whose other
+classes still lie in different components, each class outside the largest
+component meets the classes of other components that an exact bound on their
+overlap leaves.  So no pair that collides is lost to its component, and no hot key
+is expanded into all its pairs.  Jaccard is exact, on sets of 64-bit shingle
+hashes.  Of each component the first occurrence (by doc_id, then place) stays and
+the others are removed; removed units that overlap make up one passage.
+
+Defined cases: null and empty texts have no unit; a unit of fewer words than a
+shingle is one shingle; repeated rows with one doc_id and text count as one
+document, so their units are marked alike; a null doc_id comes first; repeats of
+fewer than ``WINDOW`` words are no passages; in a text that repeats a few words over
+and over each place is a copy of the first; an empty table gives an empty result;
+columns of the input besides doc_id and text play no part.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from keysift.llm.scratch import components, stash
+from keysift.llm.scratch import components, remove, stash, tidy
 from keysift.ship import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MIN_WORDS = 45  # fifty, less what an edit may take
-PASSAGE = 50
-GRAM = 40  # words: a shorter run has more marks in common, a longer one costs more of them
+WINDOW = 25
+REACH = 17
+SPACING = 3
 PIVOTS = 3
 PARITIES = 4  # words of 64 bits
+_PARITY = [f"p{i}" for i in range(PARITIES)]
+SLACK = 1e-9
+SLICE = 512 << 10  # bytes of text that a task looks at together
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 40) -> tuple[int, int]:
@@ -76,97 +84,264 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _A, _B = _multipliers(BANDS * ROWS)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BYTES, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDABA0B6EB09322E3  # odd bases of the rolling hashes
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] = _LOWER[97:123]
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct 64-bit hashes of a paragraph's five-word shingles; fewer words are one shingle."""
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    k = min(SHINGLE, len(words))
-    starts = [0, *(ends[: len(words) - k] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64))
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of ``base`` and of its inverse modulo 2^64."""
+    run = lambda x: np.r_[np.uint64(1), np.cumprod(np.full((1 << bits) - 1, x, np.uint64))]
+    return run(base), run(pow(base, -1, 1 << 64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key for each band of MinHashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[i : i + 4096, None] * _A + _B).min(axis=0))
-    raw = least.astype("<u8").tobytes()
-    width = 8 * ROWS
-    keys = [xxhash.xxh64_intdigest(raw[i * width : (i + 1) * width], i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _split(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(place, first character, characters, words) of each paragraph of a text."""
-    at = 0
-    for place, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * MIN_WORDS - 1:
-            words = line.encode("utf-8", "surrogatepass").lower().split()
-            if len(words) >= MIN_WORDS:
-                yield place, at, len(line), words
-        at += len(line) + 1
+class _Rolling:
+    """Hashes of any run of a sequence of numbers from its prefix sums."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.power, self.inverse = _powers(base, max(16, len(values).bit_length()))
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[: len(values)], out=self.total[1:])
 
+    def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[end] - self.total[start]) * self.inverse[start])
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, so that a task holds the Python values of few rows at a time."""
-    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
+class Texts:
+    """The words of some texts, one after another.
 
-Split = Callable[[str], Iterator[tuple[int, int, int, list[bytes]]]]
+    ``start, end``: each word's bytes; ``doc``: its text; ``first``: each text's first
+    word, and one more; ``line``: the line breaks before it; ``shingles``: the hash of the
+    five words that begin there, whether or not all are of one text.
+    """
+
+    def __init__(self, column: pa.Array):
+        self.rows = len(column)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + self.rows + 1].astype(np.int64)
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        self.raw, cuts = raw, offsets - offsets[0]
+        space = _SPACE[raw]
+        before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        before[cuts[:-1][cuts[:-1] < len(raw)]] = True
+        after[cuts[1:][cuts[1:] > 0] - 1] = True
+        self.start, self.end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        self.first = np.searchsorted(self.start, cuts)
+        self.doc = np.repeat(np.arange(self.rows), np.diff(self.first))
+        self.cuts = cuts
+        word = _Rolling(_LOWER[raw], _BYTES).run(self.start, self.end)
+        self.one, self.two = _Rolling(word, _FIRST), _Rolling(word, _SECOND)
+        n = len(word)
+        self.shingles = np.zeros(n, np.uint64)
+        at = np.arange(max(0, n - SHINGLE + 1))
+        self.shingles[: len(at)] = self.one.run(at, at + SHINGLE)
+
+    @functools.cached_property
+    def characters(self) -> np.ndarray:
+        """The characters before each byte."""
+        return np.r_[0, np.cumsum((self.raw & 0xC0) != 0x80)]
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word and the number of words of each paragraph."""
+        line = np.searchsorted(np.flatnonzero(self.raw == 10), self.start)
+        fresh = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (self.doc[1:] != self.doc[:-1])]) if len(line) else line
+        sizes = np.diff(np.r_[fresh, len(line)])
+        apart = np.r_[True, (line[fresh[1:]] - line[fresh[:-1]] > 1) | (self.doc[fresh[1:]] != self.doc[fresh[:-1]])]
+        out, begin, held = [], 0, 0
+        for at, n, new in zip(fresh.tolist(), sizes.tolist(), apart.tolist()):
+            if new or n >= MIN_WORDS:
+                held = 0
+            if not held:
+                begin = at
+            held += n
+            if held >= MIN_WORDS:
+                out.append((begin, held))
+                held = 0
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def anchors(self) -> np.ndarray:
+        """The first word of each window."""
+        n = len(self.start)
+        place = np.arange(n) + (self.doc + 1) * REACH  # zeros between texts keep one from deciding on another's anchors
+        fits = np.arange(n) + WINDOW <= self.first[1:][self.doc]
+        h = np.zeros(n + (self.rows + 2) * REACH, np.uint64)
+        h[place[fits]] = self.shingles[fits]
+        least = _sliding(h, REACH, np.minimum)  # zero where it reaches beyond the text
+        best = _sliding(np.r_[np.zeros(REACH - 1, np.uint64), least], REACH, np.maximum)  # of all stretches that hold a place
+        own = h[place]
+        chosen = fits & (own == best[place])
+        for k in range(1, SPACING + 1):
+            for near in (h[place - k], h[place + k]):
+                chosen &= (near == 0) | (own <= near)
+        return np.flatnonzero(chosen)
+
+    def keys(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The keys of units, one row each: bands of MinHashes over their shingles."""
+        shingled = size >= SHINGLE
+        short = ~shingled & (size > 0)
+        alone = self.one.run(begin[short], begin[short] + size[short])
+        edges = np.c_[begin[shingled], begin[shingled] + size[shingled] - SHINGLE + 1].ravel()
+        out = np.empty((len(begin), BANDS), np.uint64)
+        padded = np.r_[self.shingles, _MOST]  # so that an edge may lie behind the last word
+        for i in range(BANDS):
+            key = np.full(len(begin), i, np.uint64)
+            for j in range(i * ROWS, (i + 1) * ROWS):
+                least = np.full(len(begin), _MOST, np.uint64)
+                if len(edges):
+                    least[shingled] = np.minimum.reduceat(padded * _A[j] + _B[j], edges)[::2]
+                least[short] = alone * _A[j] + _B[j]
+                key = _mixed(key + least)
+            out[:, i] = key
+        return out
+
+    def sets(self, begin: int, size: int) -> np.ndarray:
+        """The distinct shingle hashes of a unit."""
+        if size >= SHINGLE:
+            return np.unique(self.shingles[begin : begin + size - SHINGLE + 1])
+        return self.one.run(np.array([begin]), np.array([begin + size])) if size else np.empty(0, np.uint64)
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of each ``width`` neighbours, by doubling."""
+    k = 1
+    while 2 * k <= width:
+        x = best(x[:-k], x[k:])
+        k *= 2
+    return best(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
+
+
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``SLICE`` bytes of text, one row at least."""
+    column = batch.column(text)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
+    """(doc_id, doc, text): a document is known by its doc_id and a hash of its text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("doc"), text.alias("text"))
 
 
-def paragraphs(docs: DataFrame, split: Split = _split) -> DataFrame:
-    """(doc_id, doc, paragraph, first_char, n_chars, n_words, class, bands) of each paragraph, or other unit that ``split`` gives."""
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def units(docs: DataFrame, *, whole: bool = False) -> DataFrame:
+    """(doc_id, doc, at, n_words, first_char, n_chars, one, two, keys) of each unit; ``whole``: each text is one unit.
+
+    ``at`` is the unit's first word; ``one`` and ``two`` are two hashes of its words, of a window ``two`` is null as its key can stand in.
+    """
+    names = ["doc_id", "doc", "at", "n_words", "first_char", "n_chars", "one", "two", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            row, out = [], []
-            for r, text in enumerate(b.column(1).to_pylist()):
-                for place, at, size, words in split(text or ""):
-                    row.append(r)
-                    content = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64)
-                    out.append((place, at, size, len(words), int(content), band_keys(shingles(words))))
-            if out:
-                take = pa.array(row, pa.int64())
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                columns = [b.column(0).take(take), b.column(2).take(take), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = ["doc_id", "doc", "paragraph", "first_char", "n_chars", "n_words", "class", "bands"]
+        for batch in batches:
+            for b in _slices(batch, 2):
+                texts = Texts(b.column(2))
+                if whole:
+                    begin, size, n = texts.first[:-1], np.diff(texts.first), texts.rows
+                    row = np.arange(n)
+                else:
+                    (begin, size), windows = texts.paragraphs(), texts.anchors()
+                    n = len(begin)
+                    begin, size = np.r_[begin, windows], np.r_[size, np.full(len(windows), WINDOW)]
+                    row = texts.doc[begin]
+                ends = np.cumsum(np.r_[0, np.full(n, BANDS), np.ones(len(begin) - n, np.int64)]).astype(np.int32)
+                if len(texts.start):
+                    last = np.maximum(begin + size - 1, 0)
+                    low = texts.characters[texts.start[np.minimum(begin, len(texts.start) - 1)]] - texts.characters[texts.cuts[row]]
+                    high = texts.characters[texts.end[np.minimum(last, len(texts.end) - 1)]] - texts.characters[texts.cuts[row]]
+                    low, high = np.where(size > 0, low, 0), np.where(size > 0, high, 0)
+                else:
+                    low = high = np.zeros(len(begin), np.int64)
+                take = pa.array(row)
+                numbers = (pa.array(x.astype(np.int64)) for x in (begin - texts.first[row], size, low, high - low))
+                one, two = (_mixed(x.run(begin, begin + size) + size.astype(np.uint64)) for x in (texts.one, texts.two))
+                keys = [texts.keys(begin[:n], size[:n]).ravel(), two[n:]]
+                hashes = (_signed(one), pa.array(two.view(np.int64), mask=np.arange(len(begin)) >= n))
+                lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *numbers, *hashes, lists], names=names)
+
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, doc bigint, paragraph int, first_char bigint, n_chars bigint, n_words bigint, class bigint, bands array<bigint>"
+    schema = f"doc_id {key}, doc bigint, at bigint, n_words bigint, first_char bigint, n_chars bigint, one bigint, two bigint, keys array<bigint>"
     return _keyed(docs).mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, split: Split = _split) -> DataFrame:
-    """(class, s): the shingle hashes of the classes held by the paragraphs ``wanted`` (class, doc, paragraph)."""
+def _same_doc(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """``a`` with the columns of ``b`` for the same document."""
+    b = b.withColumnsRenamed({"doc_id": "_doc_id", "doc": "_doc"})
+    return a.join(b, a["doc_id"].eqNullSafe(F.col("_doc_id")) & (a["doc"] == F.col("_doc")), how).drop("_doc_id", "_doc")
+
+
+def _parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """``PARITIES`` words of parity bits of each set: two sets differ in at least as many members as their parities in bits."""
+    out = np.zeros((PARITIES, len(sets)), np.uint64)
+    full = np.flatnonzero([len(s) > 0 for s in sets])
+    if len(full):
+        every, starts = np.concatenate(sets), np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
+        bit, word = np.uint64(1) << (every & np.uint64(63)), (every >> np.uint64(6)) & np.uint64(PARITIES - 1)
+        for i in range(PARITIES):
+            out[i, full] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), starts)
+    return [_signed(x) for x in out]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, size, p0, p1, ..., s): the shingle hashes of the units ``wanted`` (class, doc_id, doc, at, n_words), their number and parities."""
+    names = ["class", "size", *_PARITY, "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            out = []
-            for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                want = {p["paragraph"]: p["class"] for p in places}
-                out += [(want[p], shingles(w).view(np.int64)) for p, _, _, w in split(text or "") if p in want]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))], names=["class", "s"]
-            )
+        for batch in batches:
+            for b in _slices(batch, 0):
+                texts, places = Texts(b.column(0)), b.column(1)
+                row = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))
+                rows = places.flatten()
+                at, size = (rows.field(c).to_numpy() for c in ("at", "n_words"))
+                out = [texts.sets(x, n) for x, n in zip((at + texts.first[row]).tolist(), size.tolist())]
+                sizes = np.array([len(x) for x in out], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, sizes]).astype(np.int32)), _signed(np.concatenate([np.empty(0, np.uint64), *out])))
+                yield pa.RecordBatch.from_arrays([rows.field("class"), pa.array(sizes), *_parities(out), lists], names=names)
 
     ship(docs.sparkSession)
-    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("paragraph", "class")).alias("places"))
-    texts = _keyed(docs).join(places, "doc").dropDuplicates(["doc"]).select("text", "places")
-    return texts.mapInArrow(run, "class bigint, s array<bigint>")
+    key = F.struct("doc_id", "doc").alias("key")  # one column, so that the join's dealing serves the aggregate as well
+    places = wanted.groupBy(key).agg(F.collect_list(F.struct("at", "n_words", "class")).alias("places"))
+    texts = _keyed(docs).select(key, "text").join(places, "key").dropDuplicates(["key"]).select("text", "places")
+    return texts.mapInArrow(run, ", ".join([f"{c} bigint" for c in names[:-1]] + ["s array<bigint>"]))
+
+
+def _sized(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities leave that Jaccard similarity open."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *_PARITY)]), side)
+    fits = f"a_size >= {similarity}D * b_size - {SLACK} and b_size >= {similarity}D * a_size - {SLACK} and {_differ('a', 'b', similarity)}"
+    return pairs.filter(fits).select("a", "b")
+
+
+def _differ(a: str, b: str, similarity: float) -> str:
+    """Whether the parities leave the similarity open, as SQL: sets of it have at least ``similarity / (1 + similarity)`` of both sizes in common."""
+    bits = " + ".join(f"bit_count({a}_{p} ^ {b}_{p})" for p in _PARITY)
+    return f"{bits} <= {1 - 2 * similarity / (1 + similarity)}D * ({a}_size + {b}_size) + {SLACK}"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have that Jaccard similarity at least."""
+    pairs = stash(_sized(pairs, sets, similarity), "pairs")  # few beside the candidates, so few sets go along
     left, right = (sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -187,209 +362,145 @@ def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     many shingles as their parities differ in bits, which rules out most other pairs.
     """
     least = similarity / (1 + similarity)  # of both sizes, what two sets of that Jaccard have in common
-    own = open_.select("class").distinct().join(sets, "class").select("class", F.size("s").alias("size"), F.explode("s").alias("t"))
+    size = open_.select("class").distinct().join(sets, "class")
+    own = size.select("class", F.explode("s").alias("t"))
     alone = own.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.any_value("class").alias("class")).filter("n = 1")
     alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    parity = [F.bit_xor(F.expr(f"if(shiftrightunsigned(t, 6) & {PARITIES - 1} = {i}, shiftleft(1L, cast(t & 63 as int)), 0L)")).alias(f"p{i}") for i in range(PARITIES)]
-    size = own.groupBy("class").agg(F.any_value("size").alias("size"), *parity)
-    names = [f"p{i}" for i in range(PARITIES)]
-    size = size.join(alone, "class", "left").select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), *names)
-    slack = 1e-9
-    low, high = similarity * F.col("size") - slack, F.least(F.col("size") / similarity, F.col("common") / least - F.col("size")) + slack
-    size = stash(size.withColumn("low", low).withColumn("high", high).filter("low <= high"), "sizes")
+    size = size.drop("s").join(alone, "class", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    low, high = similarity * F.col("size") - SLACK, F.least(F.col("size") / similarity, F.col("common") / least - F.col("size")) + SLACK
+    size = stash(size.withColumn("low", low).withColumn("high", high).filter("low <= high").drop("alone", "common"), "sizes")
     step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1.1)).cast("int")
     rows = open_.filter("not array_contains(pivots, class)").join(size, "class")
     few = rows.filter("component <> largest").withColumn("range", F.explode(F.sequence(step(F.col("low")), step(F.col("high")))))
-    differ = " + ".join(f"bit_count(x_{p} ^ y_{p})" for p in names)
-    names = ["class", "component", "size", "low", "high", *names]
+    names = ["class", "component", "size", "low", "high", *_PARITY]
     x = few.select("key", "range", *[F.col(c).alias(f"x_{c}") for c in names])
     y = rows.select("key", step(F.col("size")).alias("range"), *[F.col(c).alias(f"y_{c}") for c in names])
-    fits = "x_component <> y_component and y_size between x_low and x_high and x_size between y_low and y_high"
-    fits += f" and {differ} <= {1 - 2 * least}D * (x_size + y_size) + {slack}D"
+    fits = f"x_component <> y_component and y_size between x_low and x_high and x_size between y_low and y_high and {_differ('x', 'y', similarity)}"
     return x.join(y, ["key", "range"]).filter(fits).select(*_pair(F.col("x_class"), F.col("y_class"))).distinct()
 
 
-def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY, split: Split = _split, also: DataFrame | None = None) -> DataFrame:
-    """(node, component) of all classes that are linked with another; ``also``: further pairs (a, b) of classes to verify."""
-    first = F.min(F.struct("doc", "paragraph")).alias("rep")
-    held = stash(marks.groupBy("class").agg(first, F.any_value("bands").alias("bands")), "held")
-    keys = held.select("class", F.posexplode("bands").alias("band", "k")).select("class", F.xxhash64("band", "k").alias("key"))
-    draws = [F.min(F.struct(F.xxhash64("class", "key", F.lit(i)).alias("h"), F.col("class").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *draws).filter("n > 1")
-    pivots = F.array_distinct(F.array(*[F.col(f"p{i}.c") for i in range(PIVOTS)]))
-    members = stash(keys.join(shared.select("key", "n", pivots.alias("pivots")), "key"), "members")
-    named = members.select("class")
-    if also is not None:
-        named = named.unionByName(also.select(F.explode(F.array("a", "b")).alias("class")))
-    wanted = named.distinct().join(held, "class").select("class", "rep.doc", "rep.paragraph")
-    sets = stash(_sets(docs, wanted, split), "sets")
-    pairs = members.select("class", F.explode("pivots").alias("p")).filter("class <> p").select(*_pair(F.col("class"), F.col("p"))).distinct()
-    if also is not None:
-        pairs = pairs.unionByName(also.select(*_pair(F.col("a"), F.col("b")))).distinct()
-    edges = stash(_verified(pairs, sets, similarity), "edges")
-    found = stash(components(edges), "components")
-    # What the pivots have left open: keys with pairs of classes that are no pivots, in more than one component.
-    open_ = members.filter(F.col("n") > F.size("pivots") + 1).join(found, F.col("class") == F.col("node"), "left")
-    open_ = open_.select("key", "class", "pivots", F.coalesce("component", "class").alias("component"))
-    sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = stash(open_.join(split.select("key", F.col("largest.component").alias("largest")), "key"), "open")
-    if not open_.take(1):
-        return found
-    more = _unmet(open_, sets, similarity)
-    more = stash(_verified(more, sets, similarity), "more")
-    return components(edges.unionByName(more)) if more.take(1) else found
-
-
-def duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Each paragraph that has a copy or near copy elsewhere, with its component's first occurrence and ``removed``."""
-    marks = stash(paragraphs(docs), "paragraphs")
-    found = link(docs, marks, similarity)
-    place = F.struct("doc_id", "doc", "paragraph")
-    rows = marks.drop("bands").join(found, F.col("class") == F.col("node"), "left")
-    rows = rows.withColumn("component", F.coalesce("component", "class")).drop("node", "class")
-    firsts = rows.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    rows = rows.join(firsts, "component")
-    return rows.select(
-        "doc_id", "doc", "paragraph", "first_char", "n_chars", "n_words", "component", "copies",
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
-        (~place.eqNullSafe(F.col("first"))).alias("removed"),
+def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(one, two, component) of the classes of ``marks`` (from :func:`units`) that share a key with another unit."""
+    with tidy(docs.sparkSession):
+        spark, early = docs.sparkSession, []  # tables that nothing reads any more go early
+        identity = [F.col("one"), F.coalesce("two", F.get("keys", F.lit(0))).alias("two")]
+        keyed = marks.select(*identity, F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        shared = stash(shared, "shared", drop=early)
+        hits = stash(keyed.join(shared, "key", "left_semi"), "hits", drop=early)
+        # A number for each class; it is written with the class, so it never changes.
+        numbered = stash(hits.select("one", "two").distinct().withColumn("class", F.monotonically_increasing_id()), "numbered")
+        ends = [f(F.col(c)).alias(f"{c}_{n}") for c in ("one", "two") for n, f in (("low", F.min), ("high", F.max))]
+        several = hits.groupBy("key").agg(*ends).filter("one_low <> one_high or two_low <> two_high").select("key")
+        several = stash(several, "several", drop=early)  # by itself, so that a hot key's rows can be split
+        open_keys = hits.join(several, "key", "left_semi").join(numbered, ["one", "two"])
+        members = stash(open_keys.select("key", "class").distinct(), "members", drop=early)
+        draws = [F.min(F.struct(F.xxhash64("class", "key", F.lit(i)).alias("h"), F.col("class").alias("c"))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = F.array_distinct(F.array(*[F.col(f"p{i}.c") for i in range(PIVOTS)]))
+        drawn = stash(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *draws).select("key", "n", pivots.alias("pivots")), "pivots", drop=early)
+        members = stash(members.join(drawn, "key"), "drawn")
+        remove(spark, early)
+        # One occurrence of each class, whose text gives its set.
+        place = F.min(F.struct("doc_id", "doc", "at", "n_words")).alias("p")
+        several = numbered.join(members.select("class").distinct(), "class")
+        wanted = marks.select("doc_id", "doc", "at", "n_words", *identity).join(several, ["one", "two"]).groupBy("class").agg(place).select("class", "p.*")
+        sets = stash(_sets(docs, stash(wanted, "wanted")), "sets")
+        pairs = members.select("class", F.explode("pivots").alias("p")).filter("class <> p").select(*_pair(F.col("class"), F.col("p"))).distinct()
+        edges = stash(_verified(pairs, sets, similarity), "edges")
+        found = stash(components(edges), "components")
+        # What the pivots have left open: keys with pairs of classes that are no pivots, in more than one component.
+        open_ = members.filter(F.col("n") > F.size("pivots") + 1).join(found, F.col("class") == F.col("node"), "left")
+        open_ = open_.select("key", "class", "pivots", F.coalesce("component", "class").alias("component"))
+        sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        open_ = stash(open_.join(split.select("key", F.col("largest.component").alias("largest")), "key"), "open")
+        if open_.take(1):
+            more = stash(_verified(_unmet(open_, sets, similarity), sets, similarity), "more")
+            if more.take(1):  # these join components
+                of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+                ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+                larger = stash(components(ends), "larger").withColumnsRenamed({"node": "_node", "component": "_larger"})
+                alone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+                found = found.unionByName(alone).join(larger, F.col("component") == F.col("_node"), "left")
+                found = stash(found.select("node", F.coalesce("_larger", "component").alias("component")), "components")
+        joined = numbered.join(found, F.col("class") == F.col("node"), "left")
+        return stash(joined.select("one", "two", F.coalesce("component", "class").alias("component")), "classes", keep=True)
+
+
+def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Each unit that has a copy or near copy elsewhere, with its component's first occurrence and ``removed``."""
+    with tidy(docs.sparkSession):
+        marks = stash(units(docs), "units")
+        found = link(docs, marks, similarity)
+        marks = marks.withColumn("two", F.coalesce("two", F.get("keys", F.lit(0)))).drop("keys")
+        rows = stash(marks.join(found, ["one", "two"]).drop("one", "two"), "rows", keep=True)
+        spot = F.xxhash64("doc_id", "doc", "at", "n_words")
+        place = F.struct("doc_id", "doc", "at", "n_words")
+        firsts = rows.groupBy("component").agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.min(spot).alias("low"), F.max(spot).alias("high")
+        )
+        firsts = stash(firsts.filter("low <> high").drop("low", "high"), "firsts", keep=True)  # by itself, so that a hot component's rows can be split
+    return rows.join(firsts, "component").select(
+        "doc_id", "doc", "at", "n_words", "first_char", "n_chars", "component", "copies",
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"), (~place.eqNullSafe(F.col("first"))).alias("removed"),
     )
 
 
-_TOKEN = re.compile(r"[^\x09-\x0d\x20]+")  # what bytes.split() gives
-_BASE = 0x9E3779B97F4A7C15
-
+def passages(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The repeated passages: units of :func:`copies` of one document that meet are one, removed ones apart from first occurrences.
 
-@functools.lru_cache(maxsize=None)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of ``_BASE`` and of its inverse modulo 2^64."""
-    run = lambda x: np.r_[np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))]
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+    ``at`` and ``n_words`` count words, ``first_char`` and ``n_chars`` characters; ``component``, ``copies`` and ``first_*``
+    are those of its first unit.
+    """
+    rows = copies(docs, similarity)
+    order = Window.partitionBy("doc_id", "doc", "removed").orderBy("at", F.desc("n_words"), "component")
+    reach = F.max(F.col("at") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", reach.isNull() | (F.col("at") > reach))
+    rows = rows.withColumn("run", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_first = lambda c: F.max(F.when(F.col("fresh"), F.col(c))).alias(c)
+    runs = rows.groupBy("doc_id", "doc", "removed", "run").agg(
+        F.min("at").alias("at"), F.max(F.col("at") + F.col("n_words")).alias("end"),
+        F.min("first_char").alias("first_char"), F.max(F.col("first_char") + F.col("n_chars")).alias("last_char"),
+        *[of_first(c) for c in ("component", "copies", "first_doc_id", "first_at")],
+    )
+    return runs.select(
+        "doc_id", "doc", "at", (F.col("end") - F.col("at")).alias("n_words"), "first_char", (F.col("last_char") - F.col("first_char")).alias("n_chars"),
+        "component", "copies", "first_doc_id", "first_at", "removed",
+    )
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the marks of a text's words; none if it has fewer words than a passage."""
-    n = len(words)
-    if n < PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    power, inverse = _powers(1 << n.bit_length())
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, n)
-    total = np.r_[np.uint64(0), np.cumsum(h * power[:n], dtype=np.uint64)]
-    g = (total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1]
-    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    g ^= g >> np.uint64(32)
-    width = PASSAGE - GRAM + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1))
-    return at, g[at].view(np.int64)
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """A text without the given ranges of characters (first, number); lines that lose all their words go, other breaks stay."""
+    parts, at = [], 0
+    for first, n in sorted(cuts):
+        parts += [text[at:first], "\n" * text.count("\n", max(at, first), first + n)]
+        at = max(at, first + n)
+    parts.append(text[at:])
+    blank = " \t\x0b\x0c\r"
+    lines = zip("".join(parts).split("\n"), text.split("\n"), strict=True)
+    return "\n".join(now for now, before in lines if now.strip(blank) or not before.strip(blank))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, at, line, gram) of each mark."""
+def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the passages marked as removed."""
+    gone = passages(docs, similarity).filter("removed").groupBy("doc_id", "doc").agg(F.collect_set(F.struct("first_char", "n_chars")).alias("cuts"))
+    # The input's columns go along as one, so that their names don't meet those of this function.
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _same_doc(rows, gone, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            row, out = [], []
-            for r, text in enumerate(b.column(1).to_pylist()):
-                lines = [x.lower().split() for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
-                at, g = grams([w for x in lines for w in x])
-                if len(at):
-                    line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
-                    row.append(np.full(len(at), r))
-                    out.append((at, line, g))
-            if out:
-                take = pa.array(np.concatenate(row))
-                at, line, g = (np.concatenate(x) for x in zip(*out))
-                columns = [b.column(0).take(take), b.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(g)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc", "at", "line", "gram"])
-
-    ship(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"doc_id {key}, doc bigint, at int, line int, gram bigint")
-
-
-def passages(docs: DataFrame) -> DataFrame:
-    """Each repeated passage of a text, in the columns of :func:`duplicates` and ``last_line``.
+        for b in batches:
+            texts, cuts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = [t if c is None else without(t, [(x["first_char"], x["n_chars"]) for x in c]) for t, c in zip(texts, cuts)]
+            yield pa.RecordBatch.from_arrays([*b.column(2).flatten(), pa.array(out, pa.string())], names=names)
 
-    ``paragraph`` is the line in which it begins, ``component`` and ``first_*`` are those of its first mark.
-    """
-    marks = stash(_marked(docs.select("doc_id", "text")), "grams")
-    place, spot = F.struct("doc_id", "doc", "at", "line"), F.xxhash64("doc", "at")
-    firsts = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.min(spot).alias("low"), F.max(spot).alias("high"))
-    firsts = firsts.filter("low <> high").drop("low", "high")  # repeated rows are one place
-    found = marks.join(firsts, "gram").withColumn("removed", ~place.eqNullSafe(F.col("first")))
-    mark = F.struct("at", "gram", "copies", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "removed")
-    found = found.groupBy("doc").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
-    found = stash(found, "marks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            row, out = [], []
-            for r, (text, marks) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
-                spans = [m.span() for m in _TOKEN.finditer(text)]
-                runs = []
-                for removed in (False, True):
-                    last = None
-                    for m in (m for m in marks if m["removed"] == removed):
-                        if last is not None and m["at"] <= last[1]:
-                            last[1] = m["at"] + GRAM
-                        else:
-                            last = [m["at"], m["at"] + GRAM, m]
-                            runs.append(last)
-                late = [x for x in runs if x[2]["removed"]]
-                ends = [x[0] for x in late]
-                # A first place inside a later one tells nothing more.
-                runs = late + [x for x in runs if not x[2]["removed"] and not ((i := bisect.bisect_right(ends, x[0])) and late[i - 1][1] >= x[1])]
-                breaks = [i for i, c in enumerate(text) if c == "\n"]
-                for a, z, m in runs:
-                    start, end = spans[a][0], spans[z - 1][1]
-                    line, last_line = bisect.bisect_left(breaks, start), bisect.bisect_left(breaks, end)
-                    row.append(r)
-                    out.append((line, last_line, start, end - start, z - a, m["gram"], m["copies"], m["first_doc_id"], m["first_line"], m["removed"]))
-            if out:
-                take = pa.array(row, pa.int64())
-                columns = [b.column(0).take(take), b.column(2).take(take), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int32(), pa.bool_()]
-    names = ["doc_id", "doc", "paragraph", "last_line", "first_char", "n_chars", "n_words", "component", "copies", "first_doc_id", "first_paragraph", "removed"]
-    key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, doc bigint, paragraph int, last_line int, first_char bigint, n_chars bigint, n_words bigint, component bigint, copies bigint, first_doc_id {key}, first_paragraph int, removed boolean"
+    names = [*(f"c{i}" for i in range(len(docs.columns))), "text"]
     ship(docs.sparkSession)
-    texts = _keyed(docs).withColumnRenamed("doc", "_doc").join(found, F.col("_doc") == F.col("doc")).select("doc_id", "text", "doc", "marks")
-    return texts.mapInArrow(run, schema)
-
-
-def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of :func:`duplicates`, and of :func:`passages` those that have a line which is no such row."""
-    whole = stash(duplicates(docs, similarity), "whole")
-    found = stash(passages(docs), "passages")
-    lines = whole.groupBy(F.col("doc").alias("_of"), F.col("removed").alias("_removed")).agg(F.collect_set("paragraph").alias("_lines"))
-    found = found.join(lines, (F.col("doc") == F.col("_of")) & (F.col("removed") == F.col("_removed")), "left")
-    rest = F.array_except(F.sequence("paragraph", "last_line"), F.coalesce("_lines", F.array().cast("array<int>")))
-    return whole.unionByName(found.filter(F.size(rest) > 0).select(*whole.columns))
-
-
-def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the paragraphs and passages marked as removed; a passage's line breaks stay."""
-    gone = duplicates(docs, similarity).filter("removed").groupBy("doc").agg(F.collect_set("paragraph").alias("_gone"))
-    cuts = passages(docs).filter("removed").groupBy(F.col("doc").alias("_cut")).agg(F.collect_set(F.struct("first_char", "n_chars")).alias("_cuts"))
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    df = keyed.join(gone.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left").join(cuts, F.col("_doc") == F.col("_cut"), "left")
-    part = lambda t, a, n: F.substring(t, a.cast("int"), n.cast("int"))
-    end = lambda c: c["first_char"] + c["n_chars"] + 1
-    cut = lambda t, c: F.concat(
-        part(t, F.lit(1), c["first_char"]), F.regexp_replace(part(t, c["first_char"] + 1, c["n_chars"]), "[^\n]+", ""), part(t, end(c), F.length(t).cast("long"))
-    )
-    full = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.aggregate(F.reverse(F.sort_array("_cuts")), F.col("text"), cut))
-    df = df.withColumn("text", full)
-    lines = F.split("text", "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    df = df.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")))
-    return df.drop("_doc", "_of", "_gone", "_cut", "_cuts")
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    cut = rows.select("row.text", "cuts", "row").mapInArrow(run, f"{kinds}, text string")
+    return cut.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repeats(docs).drop("doc")
+    return passages(docs).drop("doc")

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of this machine where none is set, as in tests."""
+    """The folder that the driver and all executors share; with a local master one of this machine where none is set, as in tests."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SETTING} is not set: a folder is needed that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keysift-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
@@ -25,16 +31,41 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str, *, drop: list[str] | None = None) -> DataFrame:
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that :func:`stash` wrote inside, but for those with ``keep``, which are left to the surrounding
+    :func:`tidy`, if any; gives the list of paths to delete."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield paths
+    finally:
+        _open.reset(token)
+        remove(spark, paths)
+
+
+def stash(df: DataFrame, name: str, *, keep: bool = False, drop: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: its lineage ends there and no executor is needed for it.
 
-    ``drop``: gets the table's path, for :func:`remove`.
+    ``keep``: it outlives the :func:`tidy` around it.  ``drop``: gets the table's path, for :func:`remove`, and then no
+    :func:`tidy` deletes it.  The shuffle files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    outer = _open.get()[: -1 if keep else None]
     if drop is not None:
         drop.append(path)
+    elif outer:
+        outer[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,8 +133,9 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each links a node's neighbours to the
     smallest of them, until nothing changes.  A round keeps at most one link for
-    each one it got, so a chain or a hub costs no more than its rows; each round
-    is a table in the shared folder.
+    each one it got, so a chain or a hub costs no more than its rows (those of a
+    hub meet its smallest neighbour, whose row can be joined to parts of them);
+    each round is a table in the shared folder.
     """
     spark = links.sparkSession
     paths: list[str] = []
@@ -127,5 +159,7 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         seen = state
     else:
         raise RuntimeError(f"components: links still change after {most_rounds} rounds")
+    if _open.get():
+        _open.get()[-1].extend(old)
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own)

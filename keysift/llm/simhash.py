@@ -15,9 +15,10 @@ all groups are joined by distributed connected components.
 
 :func:`dedup` allows ``NEAR_BITS`` bits on five-word shingles; there groups may be
 larger, since each step costs more copies.  :func:`exact_dedup`, the pipeline's
-stage, takes these links as candidates only.  Most texts of Jaccard 0.8 differ in more bits than a trie join
-can allow, so operator 4's MinHash bands over whole documents give the other
-candidates, and every link is confirmed by exact Jaccard before the components.
+stage, takes their components as candidates only.  Most texts of Jaccard 0.8 differ
+in more bits than a trie join can allow, so MinHash bands over whole documents (see
+:mod:`keysift.llm.paragraphs`) give the other candidates, and every link is confirmed by
+exact Jaccard before the components.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and
 is linked like any other; fewer words than a shingle has are one shingle; equal
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm import paragraphs
-from keysift.llm.scratch import components, remove, stash
+from keysift.llm.scratch import components, remove, stash, tidy
 from keysift.ship import ship
 
 BITS = 3
@@ -218,57 +219,52 @@ def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFram
 
 def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """(doc_id, fp, component, component_id) of each document; the component id is the smallest doc_id reachable."""
-    prints = stash(fingerprints(docs, shingle), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct, bits, group))
-    joined = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    joined = stash(joined, "classes")
+    with tidy(docs.sparkSession):
+        prints = stash(fingerprints(docs, shingle), "prints", keep=True)
+        distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        found = components(links(distinct, bits, group))
+        joined = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        joined = stash(joined, "classes", keep=True)
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = joined.join(least, "component").select("fp", "component", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
 
 
-def whole(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """A text as one unit: (place, first character, characters, words)."""
-    yield 0, 0, len(text), text.encode("utf-8", "surrogatepass").lower().split()
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the documents that ``found`` (key: struct of doc_id and doc, component) has after the first of their component;
+    of rows with one doc_id and text one stays."""
+    order = F.struct(F.col("key.doc_id").isNull().alias("n"), F.col("key").alias("k"))
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = found.join(first, "component").filter(F.col("key") != F.col("first.k")).select("key").distinct()
+    # The input's columns go along as one, so that their names don't meet those of this function.
+    rows = docs.select(document(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = Window.partitionBy("key").orderBy(F.lit(1))
+    rows = rows.join(later, "key", "left_anti").withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def candidates(docs: DataFrame, marks: DataFrame, shingle: int, bits: int, group: int) -> DataFrame:
-    """(a, b): pairs of classes of ``marks`` that link all classes whose fingerprints are within ``bits`` bits."""
-    held = marks.groupBy("class").agg(F.min("doc").alias("doc"))
-    prints = fingerprints(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), shingle).distinct()
-    prints = stash(prints.join(held, F.col("doc_id") == F.col("doc")).select("class", "fp"), "prints")
-    first = prints.groupBy("fp").agg(F.min("class").alias("first"))
-    equal = prints.join(first, "fp").filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
-    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"c{x}")) for x in "ab")
-    near = links(first.select("fp"), bits, group).join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return stash(equal.unionByName(near), "candidates")
-
-
-def _firsts(keyed: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``keyed`` that are the first of a component of ``found`` (doc_id: struct of doc_id and _row, component)."""
-    order = F.struct(F.col("doc_id.doc_id").isNull().alias("n"), F.col("doc_id.doc_id").alias("i"), F.col("doc_id._row").alias("r"))
-    first = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.r").alias("_row")).distinct()
-    same = Window.partitionBy("_row").orderBy(F.lit(1))
-    kept = keyed.join(first, "_row", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
-    return kept.select(*columns)
+def document() -> Column:
+    """What a document is known by: its doc_id and a hash of its text."""
+    return F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("doc")).alias("key")
 
 
 def dedup(docs: DataFrame, *, shingle: int = 5, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id any one."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = classes(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), shingle=shingle, bits=bits, group=group)
-    return _firsts(keyed, found, docs.columns)
+    """``docs`` with one row of each component: that of the smallest doc_id, of rows with one doc_id and text any one."""
+    found = classes(docs.select(document().alias("doc_id"), "text"), shingle=shingle, bits=bits, group=group)
+    return _firsts(docs, found.select(F.col("doc_id").alias("key"), "component").distinct())
 
 
 def exact_dedup(docs: DataFrame, *, similarity: float = paragraphs.SIMILARITY, bits: int = NEAR_BITS, group: int = NEAR_GROUP) -> DataFrame:
     """As :func:`dedup`, of components of texts whose exact Jaccard similarity is ``similarity`` at least."""
-    keyed, plain = docs.withColumn("_row", F.xxhash64("doc_id", "text")), docs.select("doc_id", "text")
-    marks = stash(paragraphs.paragraphs(plain, whole), "marks")
-    found = paragraphs.link(plain, marks, similarity, whole, candidates(plain, marks, paragraphs.SHINGLE, bits, group))
-    rows = marks.join(found, F.col("class") == F.col("node"), "left")
-    rows = rows.select(F.struct("doc_id", F.col("doc").alias("_row")).alias("doc_id"), F.coalesce("component", "class").alias("component"))
-    return _firsts(keyed, rows, docs.columns)
+    with tidy(docs.sparkSession):
+        plain = docs.select("doc_id", "text")
+        near = classes(plain.select(document().alias("doc_id"), "text"), shingle=paragraphs.SHINGLE, bits=bits, group=group)
+        near = near.select(F.col("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component").alias("near")).distinct()
+        marks = paragraphs.units(plain, whole=True).withColumn("key", F.struct("doc_id", "doc")).dropDuplicates(["key"])
+        # A SimHash component is one more key beside the MinHash bands.
+        marks = stash(marks.join(near, "key").withColumn("keys", F.array_append("keys", F.col("near"))).drop("near"), "marks")
+        found = stash(marks.join(paragraphs.link(plain, marks, similarity), ["one", "two"]).select("key", "component"), "found", keep=True)
+    return _firsts(docs, found)
 
 
 def hex_digits(fp: Column) -> Column:
