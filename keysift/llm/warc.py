@@ -4,32 +4,34 @@ Writing: each page is a record whose block is an HTTP response with its payload
 chunked transfer framing.  Of pages with equal payloads of at least ``LEAST`` bytes
 the one with the smallest page_id is the response and the others revisit it.  A
 block of more than ``SEGMENT`` bytes is cut into a first record and continuation
-records.  Spark's text writer puts the records into files, with the end mark of a
+records.  Spark's text writer puts the records into gzipped files, with the end mark of a
 WARC record as its line separator, so a lost executor leaves no half-written file.
 
-Reading: a file is parsed record by record by Content-Length.  Continuation
+Reading: a file is parsed once, record by record by Content-Length.  Continuation
 records are grouped by their origin's id, ordered by segment number and held
 against the total length; then the chunk framing is decoded.  What is grouped is
-one record's segments and never more than one record.
+one record's segments and never more than one record; whole records aren't shuffled.
 
 Defined cases: a null page is an empty payload; a null page_id has no header and
 comes back as null; equal rows each have a record, and where they hold the
 smallest page_id of their payload they are all responses; an empty table gives no record.
-A file is one row of Spark's binary reader, which holds up to 2 GB; the writer
-ends a file after ``FILE_RECORDS`` records.
+A file is one row of Spark's binary reader, which holds up to 2 GB; the writer ends
+a file after ``FILE_RECORDS`` records, each of ``SEGMENT`` bytes and a header at most,
+so before 70 MB as long as URLs are no longer than a kilobyte.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.scratch import place
+from keysift.llm.scratch import place, stash, tidy
 from keysift.ship import ship
 
 LEAST = 100
@@ -73,17 +75,23 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(lines).encode() + b"\r\n" + block
 
 
-def records(page_id: int | None, copy: int, url: str, kind: str, refers_to: int | None, payload: bytes, digest: str) -> Iterator[bytes]:
-    """The records of a page: one, or a first segment and its continuations."""
-    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)  # a line end would begin another header
-    own = f"<urn:uuid:{hashlib.md5(f'{page_id}/{digest}/{copy}'.encode()).hexdigest()}>"
+def _name(page_id: int | None, digest: str, row: int) -> str:
+    return f"<urn:uuid:{hashlib.md5(f'{page_id}/{digest}/{row}'.encode()).hexdigest()}>"
+
+
+def records(page: dict) -> Iterator[bytes]:
+    """The records of a page (page_id, row, url, again, refers_to, refers_row, payload, digest): one, or a first segment and its continuations."""
+    digest, kind = page["digest"], "revisit" if page["again"] else "response"
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", page["url"])  # a line end would begin another header
+    own = _name(page["page_id"], digest, page["row"])
     common = [("WARC-Date", DATE), ("WARC-Target-URI", url)]
-    head = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page_id)]
-    if kind == "revisit":
+    head = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page["page_id"])]
+    if page["again"]:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([*head, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", refers_to)], HTTP)
+        first = _name(page["refers_to"], digest, page["refers_row"])
+        yield record([*head, ("WARC-Profile", profile), ("WARC-Refers-To", first), ("X-Refers-To-Page-ID", page["refers_to"])], HTTP)
         return
-    block = HTTP + chunked(payload)
+    block = HTTP + chunked(page["payload"])
     parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
     if len(parts) == 1:
         yield record(head, block)
@@ -97,6 +105,11 @@ def records(page_id: int | None, copy: int, url: str, kind: str, refers_to: int
         )
 
 
+def unzipped(raw: bytes) -> bytes:
+    """A file's bytes, whether it is gzipped (as a whole or record by record) or plain."""
+    return gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The (headers, block) of each record of a file; header names in lower case."""
     at = 0
@@ -125,114 +138,127 @@ def payload_of(block: bytes) -> bytes:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Writes (page_id, url, html) as WARC files."""
+    """Writes (page_id, url, html) as gzipped WARC files."""
     html = F.coalesce("html", F.lit("")).cast("binary")
-    df = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
+    # The place of a row in the table tells equal rows apart.
+    df = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
     df = df.withColumn("digest", F.sha2("payload", 256))
-    narrow = df.filter(F.octet_length("payload") >= LEAST).select("page_id", "digest")
-    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = narrow.distinct().join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
-    later = later.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first").alias("refers_to"), F.lit(True).alias("again"))
+    # Which pages revisit which is found without the payloads; these are dealt once, to meet the answer.
+    narrow = df.filter(F.octet_length("payload") >= LEAST).select("page_id", "digest", "row")
+    firsts = narrow.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = narrow.select("page_id", "digest").distinct().join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    later = later.select(
+        F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("refers_row"), F.lit(True).alias("again")
+    )
     df = df.join(later, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").drop("_p", "_d")
-    # Equal rows, told apart by a number; a page_id and its payload are one group of a few rows.
-    copies = Window.partitionBy("page_id", "digest").orderBy(F.lit(1))
-    df = df.withColumn("copy", F.row_number().over(copies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[bytes] = []
-            size = 0
-            for x in b.to_pylist():
-                kind = "revisit" if x["again"] else "response"
-                for r in records(x["page_id"], x["copy"], x["url"], kind, x["refers_to"], x["payload"], x["digest"]):
-                    out.append(r)
-                    size += len(r)
-                if size > 16 << 20:
+        for batch in batches:
+            for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                out: list[bytes] = []
+                size = 0
+                for x in b.to_pylist():
+                    for r in records(x):
+                        out.append(r)
+                        size += len(r)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, size = [], 0
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     ship(pages.sparkSession)
-    lines = df.select("page_id", "copy", "url", "again", "refers_to", "payload", "digest").mapInArrow(run, "value binary")
+    lines = df.select("page_id", "row", "url", "again", "refers_to", "refers_row", "payload", "digest").mapInArrow(run, "value binary")
     (
         lines.select(F.col("value").cast("string"))
         .write.option("lineSep", "\r\n\r\n")
         .option("maxRecordsPerFile", FILE_RECORDS)
+        .option("compression", "gzip")
         .text(path)
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, record_type, refers_to, digest, payload) of each record, segments put together; a revisit has no payload."""
+def _whole(kind: str, block: bytes, digests: bool) -> tuple[bytes | None, int | None, str | None]:
+    """The payload of a whole block, or its size and digest instead; nothing of a revisit."""
+    if kind == "revisit":
+        return None, None, None
+    payload = payload_of(block)
+    return (None, len(payload), hashlib.sha256(payload).hexdigest()) if digests else (payload, len(payload), None)
+
+
+def read(spark: SparkSession, path: str, *, digests: bool = False) -> DataFrame:
+    """(record_id, page_id, record_type, refers_to, digest, payload_bytes, payload) of each record, segments put together; a revisit has no payload.
+
+    ``digest`` is the header's.  With ``digests``, ``payload_digest`` of the payload as it was read stands in for
+    ``payload``, which then goes no further than the task that parsed it.
+    """
+    last = ("payload_digest", "string") if digests else ("payload", "binary")
+    fields = "origin string, segment bigint, total bigint, record_type string, page_id bigint, refers_to bigint, digest string, payload_bytes bigint"
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        names = ["origin", "segment", "total", "record_type", "page_id", "refers_to", "digest", "block"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string() if digests else pa.binary(), pa.binary()]
         number = lambda h, k: int(h[k]) if k in h else None
         for b in batches:
             for raw in b.column(0):
                 out, size = [], 0
-                for h, block in parse(raw.as_py()):
-                    if h.get("warc-type") not in ("response", "revisit", "continuation"):
+                for h, block in parse(unzipped(raw.as_py())):
+                    kind, segment = h.get("warc-type"), number(h, "warc-segment-number")
+                    if kind not in ("response", "revisit", "continuation"):
                         continue
-                    origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
+                    payload, n, digest = _whole(kind, block, digests) if segment is None else (None, None, None)
                     out.append((
-                        origin, number(h, "warc-segment-number"), number(h, "warc-segment-total-length"), h["warc-type"],
-                        number(h, "x-page-id"), number(h, "x-refers-to-page-id"), h.get("warc-payload-digest", "").rpartition(":")[2], block,
+                        h.get("warc-segment-origin-id") or h["warc-record-id"], segment, number(h, "warc-segment-total-length"), kind,
+                        number(h, "x-page-id"), number(h, "x-refers-to-page-id"), h.get("warc-payload-digest", "").rpartition(":")[2],
+                        n, digest if digests else payload, None if segment is None else block,
                     ))
                     size += len(block)
-                    if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[*names, last[0], "block"])
                         out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[*names, last[0], "block"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.to_pylist():
-                parts = sorted(x["parts"], key=lambda p: p["segment"])
-                block = b"".join(p["block"] for p in parts)
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
-                    raise Malformed(f"{x['origin']}: segments {[p['segment'] for p in parts]}")
-                if parts[-1]["total"] != len(block):
-                    raise Malformed(f"{x['origin']}: {len(block)} bytes of {parts[-1]['total']}")
-                out.append(payload_of(block))
-            keep = [b.column(b.schema.get_field_index(c)) for c in columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=columns)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds, blocks = b.column(b.schema.get_field_index("record_type")).to_pylist(), b.column(b.schema.get_field_index("block"))
-            out = [None if k == "revisit" else payload_of(x.as_py()) for k, x in zip(kinds, blocks)]
-            keep = [b.column(b.schema.get_field_index(c)) for c in columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=columns)
+        for batch in batches:
+            for b in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
+                sizes, out = [], []
+                for x in b.to_pylist():
+                    parts = sorted(x["parts"], key=lambda p: p["segment"])
+                    block = b"".join(p["block"] for p in parts)
+                    if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
+                        raise Malformed(f"{x['origin']}: segments {[p['segment'] for p in parts]}")
+                    if parts[-1]["total"] != len(block):
+                        raise Malformed(f"{x['origin']}: {len(block)} bytes of {parts[-1]['total']}")
+                    payload, n, digest = _whole("response", block, digests)
+                    sizes.append(n)
+                    out.append(digest if digests else payload)
+                keep = [b.column(b.schema.get_field_index(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes, pa.int64()), pa.array(out, pa.string() if digests else pa.binary())], names=[*columns, "payload_bytes", last[0]])
 
     ship(spark)
-    columns = ["origin", "page_id", "record_type", "refers_to", "digest", "payload"]
+    columns = ["origin", "page_id", "record_type", "refers_to", "digest"]
     files = spark.read.format("binaryFile").load(path).select("content")
-    parts = "origin string, segment bigint, total bigint, record_type string, page_id bigint, refers_to bigint, digest string, block binary"
-    found = files.mapInArrow(split, parts)
-    schema = "origin string, page_id bigint, record_type string, refers_to bigint, digest string, payload binary"
-    single = found.filter("segment is null").drop("segment", "total").mapInArrow(whole, schema)
+    # Kept in the shared folder, so that the archive is parsed once.
+    found = stash(files.mapInArrow(split, f"{fields}, {last[0]} {last[1]}, block binary"), "records")
+    single = found.filter("segment is null").select(*columns, "payload_bytes", last[0])
     head = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     grouped = found.filter("segment is not null").groupBy("origin").agg(
-        *[head(c) for c in ("page_id", "record_type", "refers_to", "digest")], F.collect_list(F.struct("segment", "total", "block")).alias("parts")
+        *[head(c) for c in columns[1:]], F.collect_list(F.struct("segment", "total", "block")).alias("parts")
     )
-    return single.unionByName(grouped.mapInArrow(join, schema)).withColumnRenamed("origin", "record_id")
+    joined = grouped.mapInArrow(join, f"origin string, page_id bigint, record_type string, refers_to bigint, digest string, payload_bytes bigint, {last[0]} {last[1]}")
+    return single.unionByName(joined).withColumnRenamed("origin", "record_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = place(spark, "warc")
-    write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = read(spark, path)
-    # Of the payload as it was read; a revisit has what its digest refers to.
-    digest = F.sha2("payload", 256)
-    found = found.select(
-        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.coalesce(digest, F.col("digest")).alias("payload_digest"),
-    )
+    with tidy(spark) as paths:
+        path = place(spark, "warc")
+        paths.append(path)
+        write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+        # Of the payload as it was read; a revisit has what its digest refers to.
+        found = read(spark, path, digests=True)
+        found = found.select("page_id", "record_type", "refers_to", "payload_bytes", F.coalesce("payload_digest", "digest").alias("payload_digest"))
+        found = stash(found, "pages", keep=True)
     sources = found.filter("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("size"))
     sources = sources.withColumnsRenamed({"page_id": "_p", "payload_digest": "_d"})
     found = found.join(sources, (F.col("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
