@@ -8,10 +8,13 @@ has met, up to a bound, and asks the library for all others.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 MEMO = 600_000  # pieces that a worker remembers
 
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
 _known: dict[tuple[str, str], Callable[[str], bytes]] = {}
 
 
@@ -28,9 +31,10 @@ _ALPHABET = _alphabet()
 class _Memo(dict):
     """The little-endian 32-bit ids of a piece after ``lead``.
 
-    A piece of letters alone is one token of the pre-tokenizer, so the model
-    itself gets it; a mark after a letter begins another.  The whole tokenizer
-    gets every other piece.
+    A piece of Latin letters alone is one token of the pre-tokenizer, so the model
+    itself gets it, and a mark after such a piece begins another; both hold only if it is of
+    letters alone when normalized (a lowered dotted I is not).  The whole tokenizer gets
+    every other piece.
     """
 
     def __init__(self, tokenizer, lead: str, kind: str):
@@ -45,17 +49,17 @@ class _Memo(dict):
     def _letters(self, piece: str) -> bytes | None:
         if self.kind == "word":
             piece = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
-            if not piece.isalpha():
-                return None
+        if not _LETTERS(piece):
+            return None
         mapped = (self.lead + piece).encode().decode("latin-1").translate(_ALPHABET)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
 
     def __missing__(self, piece: str) -> bytes:
         ids = None
-        if piece.isalpha():
+        if _LETTERS(piece):
             ids = self._letters(piece)
-        elif piece[-1:] in self.marks and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        elif piece[-1:] in self.marks and _LETTERS(piece[:-1]) and (ids := self._letters(piece[:-1])) is not None:
+            ids += self.marks[piece[-1]]
         if ids is None:
             ids = self._whole(self.lead + piece)
         if len(self) < MEMO:
