@@ -7,7 +7,7 @@ work stays inside a row: no shuffle, so a hot source or copy group costs nothing
 Defined cases: a null text counts as an empty one; an empty text has no words
 and fails the base rule; blank lines neither fail nor count; repeated rows are
 judged one by one; columns of the input with the names of result columns are
-replaced in :func:`measure` and kept out of the query's result.
+replaced in :func:`measure` and kept out of the query's result, all others stay.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ BOILERPLATE = (
 )
 TERMINAL = r"""[.!?…]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "cleaned", "cleaned_chars", "kept",
+)
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOSS_PERCENT = 50
@@ -132,7 +135,9 @@ def measure(docs: DataFrame, *, min_words: int = MIN_WORDS, max_loss_percent: in
     cleaned_chars, kept``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_text", text).withColumn("_bare", F.btrim(F.col("_text"), F.lit(SPACES)))
+    # The input's columns go along as one, so that their names don't meet those of this function.
+    df = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
+    df = df.withColumn("_text", text).withColumn("_bare", F.btrim(F.col("_text"), F.lit(SPACES)))
     words = F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split(F.col("_bare"), GAP))
     df = df.withColumn("_words", words)
     df = df.withColumn("_n", F.size("_words").cast("long"))
@@ -169,16 +174,15 @@ def measure(docs: DataFrame, *, min_words: int = MIN_WORDS, max_loss_percent: in
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     lost = F.col("word_chars") - F.col("cleaned_chars")
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * lost <= max_loss_percent * F.col("word_chars")))
-    return out.drop("_text", "_bare", "_words", "_n", "_packed", "_pairs", "_clash", "_exact", "_flagged", "_lines", "_full", "_good", "_lower", "_furniture", "_separated", "_flags")
+    # Out of a generator: the optimizer would else put each measure's whole expression into whatever a caller filters or
+    # computes by it, again and again.
+    given = [F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c not in MEASURES]
+    return out.select("_in", F.explode(F.array(F.struct(*MEASURES))).alias("_measures")).select(*given, "_measures.*")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``."""
-    # The optimizer would push a plain filter below, and there put each measure's whole expression into those that use
-    # it, again and again; it leaves a filter above a column that isn't deterministic.
-    # The input's columns go along as one, so that their names don't meet those of the measures.
-    df = measure(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in")))
-    df = df.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_row") >= 0))
+    df = measure(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))).filter("kept")
     new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)

@@ -78,6 +78,15 @@ def test_quality_measures(odd, none):
     assert {r["doc_id"] for r in quality.clean(odd).collect()} >= {3, 5, 6}
 
 
+def test_quality_measures_can_be_filtered(odd):
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    df = quality.measure(odd)
+    filtered = df.filter("kept and n_words > 60").withColumn("x", F.col("n_words") + F.col("cleaned_chars")).filter("x > 3")
+    assert size(filtered) < 2 * size(df)
+    assert {r["doc_id"] for r in filtered.collect()} == {r["doc_id"] for r in df.collect() if r["kept"] and r["n_words"] > 60}
+    assert {r["_text"] for r in df.collect()} == {"clash"}
+
+
 def test_quality_hash_clash_is_settled_by_words(odd, monkeypatch):
     """With so few hash bits that windows clash, the exact way gives the same counts."""
     want = {(r["doc_id"], r["text"]): r["n_repeat_words"] for r in quality.measure(odd).collect()}
