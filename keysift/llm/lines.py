@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.quality import WORD
-from keysift.llm.scratch import stash
+from keysift.llm.scratch import stash, tidy
 
 RUN = 3
 WORDS = 50
@@ -108,9 +108,11 @@ def _repeated(marks: DataFrame, run: int, long: DataFrame | None = None) -> Data
 
 def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """``docs`` with the later repeated runs (with ``words``, also the shorter ones of more words than that) cut from ``text``, and ``n_lines, n_removed_lines, n_removed_runs``."""
-    marks = stash(_marks(docs, run), "marks")
-    long = None if words is None else _long(docs, run, words)
-    removed = _repeated(marks, run, long).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_removed"))
+    with tidy(docs.sparkSession):
+        marks = stash(_marks(docs, run), "marks")
+        long = None if words is None else _long(docs, run, words)
+        removed = _repeated(marks, run, long).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_removed"))
+        removed = stash(removed, "removed", keep=True)  # before the texts are dealt
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_doc", F.xxhash64("doc_id", text))
     df = df.join(removed.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
