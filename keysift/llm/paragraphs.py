@@ -244,11 +244,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def units(docs: DataFrame, *, whole: bool = False) -> DataFrame:
-    """(doc_id, doc, at, n_words, first_char, n_chars, one, two, keys) of each unit; ``whole``: each text is one unit.
+    """(doc_id, doc, at, n_words, first_char, n_chars, one, two, keys, size, p0, p1, ...) of each unit; ``whole``: each text is one unit.
 
     ``at`` is the unit's first word; ``one`` and ``two`` are two hashes of its words, of a window ``two`` is null as its key can stand in.
+    ``size`` and the parities are those of its set of shingles, null of a window.
     """
-    names = ["doc_id", "doc", "at", "n_words", "first_char", "n_chars", "one", "two", "keys"]
+    names = ["doc_id", "doc", "at", "n_words", "first_char", "n_chars", "one", "two", "keys", "size", *_PARITY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,11 +277,15 @@ def units(docs: DataFrame, *, whole: bool = False) -> DataFrame:
                 keys = [texts.keys(begin[:n], size[:n]).ravel(), two[n:]]
                 hashes = (_signed(one), pa.array(two.view(np.int64), mask=np.arange(len(begin)) >= n))
                 lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *numbers, *hashes, lists], names=names)
+                sets = [texts.sets(x, k) for x, k in zip(begin[:n].tolist(), size[:n].tolist())]
+                none = pa.nulls(len(begin) - n, pa.int64())  # of windows
+                profile = (pa.concat_arrays([x, none]) for x in (pa.array(np.array([len(x) for x in sets], np.int64)), *_parities(sets)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *numbers, *hashes, lists, *profile], names=names)
 
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, doc bigint, at bigint, n_words bigint, first_char bigint, n_chars bigint, one bigint, two bigint, keys array<bigint>"
+    schema += "".join(f", {c} bigint" for c in ("size", *_PARITY))
     return _keyed(docs).mapInArrow(run, schema)
 
 
@@ -303,8 +308,7 @@ def _parities(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, size, p0, p1, ..., s): the shingle hashes of the units ``wanted`` (class, doc_id, doc, at, n_words), their number and parities."""
-    names = ["class", "size", *_PARITY, "s"]
+    """(class, s): the shingle hashes of the units ``wanted`` (class, doc_id, doc, at, n_words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,21 +318,21 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = places.flatten()
                 at, size = (rows.field(c).to_numpy() for c in ("at", "n_words"))
                 out = [texts.sets(x, n) for x, n in zip((at + texts.first[row]).tolist(), size.tolist())]
-                sizes = np.array([len(x) for x in out], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, sizes]).astype(np.int32)), _signed(np.concatenate([np.empty(0, np.uint64), *out])))
-                yield pa.RecordBatch.from_arrays([rows.field("class"), pa.array(sizes), *_parities(out), lists], names=names)
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.empty(0, np.uint64), *out])))
+                yield pa.RecordBatch.from_arrays([rows.field("class"), lists], names=["class", "s"])
 
     ship(docs.sparkSession)
     key = F.struct("doc_id", "doc").alias("key")  # one column, so that the join's dealing serves the aggregate as well
     places = wanted.groupBy(key).agg(F.collect_list(F.struct("at", "n_words", "class")).alias("places"))
     texts = _keyed(docs).select(key, "text").join(places, "key").dropDuplicates(["key"]).select("text", "places")
-    return texts.mapInArrow(run, ", ".join([f"{c} bigint" for c in names[:-1]] + ["s array<bigint>"]))
+    return texts.mapInArrow(run, "class bigint, s array<bigint>")
 
 
-def _sized(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _sized(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sizes and parities leave that Jaccard similarity open."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *_PARITY)]), side)
+        pairs = pairs.join(classes.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *_PARITY)]), side)
     fits = f"a_size >= {similarity}D * b_size - {SLACK} and b_size >= {similarity}D * a_size - {SLACK} and {_differ('a', 'b', similarity)}"
     return pairs.filter(fits).select("a", "b")
 
@@ -341,7 +345,6 @@ def _differ(a: str, b: str, similarity: float) -> str:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have that Jaccard similarity at least."""
-    pairs = stash(_sized(pairs, sets, similarity), "pairs")  # few beside the candidates, so few sets go along
     left, right = (sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -352,7 +355,7 @@ def _pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _unmet(open_: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of a key's classes in different components that may still reach the similarity.
 
     Shingles that only one class has can't be common to two.  So a class's other
@@ -362,11 +365,10 @@ def _unmet(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     many shingles as their parities differ in bits, which rules out most other pairs.
     """
     least = similarity / (1 + similarity)  # of both sizes, what two sets of that Jaccard have in common
-    size = open_.select("class").distinct().join(sets, "class")
-    own = size.select("class", F.explode("s").alias("t"))
+    own = sets.select("class", F.explode("s").alias("t"))
     alone = own.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.any_value("class").alias("class")).filter("n = 1")
     alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    size = size.drop("s").join(alone, "class", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    size = classes.select("class", "size", *_PARITY).join(alone, "class", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
     low, high = similarity * F.col("size") - SLACK, F.least(F.col("size") / similarity, F.col("common") / least - F.col("size")) + SLACK
     size = stash(size.withColumn("low", low).withColumn("high", high).filter("low <= high").drop("alone", "common"), "sizes")
     step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1.1)).cast("int")
@@ -401,12 +403,17 @@ def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> D
         members = stash(members.join(drawn, "key"), "drawn")
         remove(spark, early)
         # One occurrence of each class, whose text gives its set.
-        place = F.min(F.struct("doc_id", "doc", "at", "n_words")).alias("p")
+        profile = ["size", *_PARITY]
+        place = F.min(F.struct("doc_id", "doc", "at", "n_words", *profile)).alias("p")
         several = numbered.join(members.select("class").distinct(), "class")
-        wanted = marks.select("doc_id", "doc", "at", "n_words", *identity).join(several, ["one", "two"]).groupBy("class").agg(place).select("class", "p.*")
-        sets = stash(_sets(docs, stash(wanted, "wanted")), "sets")
+        wanted = marks.select("doc_id", "doc", "at", "n_words", *identity, *profile).join(several, ["one", "two"]).groupBy("class").agg(place)
+        wanted = stash(wanted.select("class", "p.*"), "wanted")
         pairs = members.select("class", F.explode("pivots").alias("p")).filter("class <> p").select(*_pair(F.col("class"), F.col("p"))).distinct()
+        pairs = stash(_sized(pairs, wanted, similarity), "pairs")  # few beside the candidates, so few sets are asked for
+        named = lambda df: wanted.join(df.distinct(), "class", "left_semi")
+        sets = stash(_sets(docs, named(pairs.select(F.explode(F.array("a", "b")).alias("class")))), "sets", drop=early)
         edges = stash(_verified(pairs, sets, similarity), "edges")
+        remove(spark, early)
         found = stash(components(edges), "components")
         # What the pivots have left open: keys with pairs of classes that are no pivots, in more than one component.
         open_ = members.filter(F.col("n") > F.size("pivots") + 1).join(found, F.col("class") == F.col("node"), "left")
@@ -415,7 +422,10 @@ def link(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> D
         split = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         open_ = stash(open_.join(split.select("key", F.col("largest.component").alias("largest")), "key"), "open")
         if open_.take(1):
-            more = stash(_verified(_unmet(open_, sets, similarity), sets, similarity), "more")
+            loose = stash(named(open_.select("class")), "loose")
+            sets = stash(_sets(docs, loose), "sets")
+            more = stash(_unmet(open_, loose, sets, similarity), "pairs")
+            more = stash(_verified(more, sets, similarity), "more")
             if more.take(1):  # these join components
                 of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
                 ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -432,7 +442,7 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     with tidy(docs.sparkSession):
         marks = stash(units(docs), "units")
         found = link(docs, marks, similarity)
-        marks = marks.withColumn("two", F.coalesce("two", F.get("keys", F.lit(0)))).drop("keys")
+        marks = marks.withColumn("two", F.coalesce("two", F.get("keys", F.lit(0)))).drop("keys", "size", *_PARITY)
         rows = stash(marks.join(found, ["one", "two"]).drop("one", "two"), "rows", keep=True)
         spot = F.xxhash64("doc_id", "doc", "at", "n_words")
         place = F.struct("doc_id", "doc", "at", "n_words")
