@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
@@ -48,13 +49,20 @@ _SINGLE, _TARGET, _SEVERAL = _foldings()
 
 def normalize(text: Column) -> Column:
     """Lower case without accents: runs of a-z and 0-9 joined by single spaces."""
-    out = F.lower(text)
+    lowered = F.lower(text)
+    long = lowered
     for c, folded in _SEVERAL:
-        out = F.replace(out, F.lit(c), F.lit(folded))
+        long = F.replace(long, F.lit(c), F.lit(folded))
+    out = F.when(lowered.rlike("[" + "".join(c for c, _ in _SEVERAL) + "]"), long).otherwise(lowered)  # few texts have one of these
     out = F.regexp_replace(F.translate(out, _SINGLE, _TARGET), r"\p{Mn}+", "")
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(normalized: Column) -> Column:
     """The tokens of a normalised text in order; none of an empty one."""
     return F.filter(F.split(normalized, " "), lambda t: t != "")
@@ -99,23 +107,30 @@ def resolve_telex(normalized: Column) -> Column:
 
 def variants(normalized: Column) -> Column:
     """The text and its repaired readings, each once, without empty ones."""
-    readings = [normalized, drop_word_digits(normalized), single_final_letter(normalized), drop_tone_letter(normalized), resolve_telex(normalized)]
-    return F.array_distinct(F.filter(F.array(*readings), lambda v: v != ""))
+
+    def readings(n: Column) -> Column:
+        return F.array(n, drop_word_digits(n), single_final_letter(n), drop_tone_letter(n), resolve_telex(n))
+
+    return F.array_distinct(F.filter(let(normalized, readings), lambda v: v != ""))
 
 
 def _ngrams(words: Column, size: int) -> Column:
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.slice(words, i, F.lit(size)))
-    return F.transform(F.filter(grams, lambda g: F.exists(g, lambda t: ~t.isin(*STOPWORDS))), lambda g: F.array_join(g, " "))
+    """Runs of ``size`` words that aren't all stop words, joined by spaces."""
+    at = lambda i, k: F.get(words, i + k)
+    starts = F.transform(words, lambda t, i: i)
+    whole = F.filter(starts, lambda i: (i + size <= F.size(words)) & ~functools.reduce(Column.__and__, [at(i, k).isin(*STOPWORDS) for k in range(size)]))
+    return F.transform(whole, lambda i: F.concat_ws(" ", *[at(i, k) for k in range(size)]))
 
 
 def candidates(variant_list: Column, most: int = MAX_CANDIDATES) -> Column:
     """The phrases that a query is matched by: of each variant itself, its 3-grams, 2-grams and words, each once, the first ``most``."""
 
     def of(v: Column) -> Column:
-        words = tokens(v)
-        single = F.filter(words, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) > 1))
-        return F.concat(F.array(v), _ngrams(words, 3), _ngrams(words, 2), single)
+        def phrases(words: Column) -> Column:
+            single = F.filter(words, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) > 1))
+            return F.concat(F.array(v), _ngrams(words, 3), _ngrams(words, 2), single)
+
+        return let(tokens(v), phrases)
 
     return F.slice(F.array_distinct(F.flatten(F.transform(variant_list, of))), 1, most)
 
