@@ -32,18 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.quality import WORD
-from keysift.llm.scratch import stash
+from keysift.llm.scratch import sifted, stash
 
 RUN = 3
 WORDS = 50
 
 
+def _document() -> tuple[Column, Column]:
+    """What a document is known by: its doc_id and a hash of its text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("doc"), F.col("doc_id").alias("id")
+
+
 def _marks(docs: DataFrame, run: int) -> DataFrame:
-    """(doc, id, hashes, at): the row's key and doc_id, its line hashes and the place of each fingerprint."""
+    """(doc, id, hashes, at): a hash of the row's text and its doc_id, its line hashes and the place of each fingerprint."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(
-        F.xxhash64("doc_id", text).alias("doc"),
-        F.col("doc_id").alias("id"),
+        *_document(),
         F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x)).alias("hashes"),
     ).filter(F.size("hashes") > 0)
     h = F.col("hashes")
@@ -60,8 +64,7 @@ def _long(docs: DataFrame, run: int, words: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     full = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     df = docs.select(
-        F.xxhash64("doc_id", text).alias("doc"),
-        F.col("doc_id").alias("id"),
+        *_document(),
         F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(f"{WORD}+")).alias("n"))).alias("lines"),
     )
     total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + x["n"])
@@ -75,7 +78,7 @@ def _long(docs: DataFrame, run: int, words: int) -> DataFrame:
 
 
 def _repeated(marks: DataFrame, run: int, long: DataFrame | None = None) -> DataFrame:
-    """(doc, line) of each line that belongs to a later occurrence of a window; ``long``: windows beside those of ``run`` lines."""
+    """(id, doc, line) of each line that belongs to a later occurrence of a window; ``long``: windows beside those of ``run`` lines."""
     at = marks.select("doc", "id", F.explode("at").alias("at"), "hashes")
     at = at.withColumn("mark", F.get("hashes", F.col("at")))
     often = at.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
@@ -103,28 +106,39 @@ def _repeated(marks: DataFrame, run: int, long: DataFrame | None = None) -> Data
     key = ["w", "v", "n"]
     firsts = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")).filter("uses > 1").drop("uses")
     later = windows.join(firsts, key).filter(~place.eqNullSafe(F.col("first")))
-    return later.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).distinct()
+    return later.select("id", "doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).distinct()
 
 
 def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """``docs`` with the later repeated runs (with ``words``, also the shorter ones of more words than that) cut from ``text``, and ``n_lines, n_removed_lines, n_removed_runs``."""
+    """``docs`` with the later repeated runs (with ``words``, also the shorter ones of more words than that) cut from ``text``, and
+    ``n_lines, n_removed_lines, n_removed_runs``, which take the place of input columns so named.
+
+    Only texts that may lose lines are dealt to them; the others are passed on from where they are read.
+    """
     marks = stash(_marks(docs, run), "marks")
     long = None if words is None else _long(docs, run, words)
-    removed = _repeated(marks, run, long).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("_removed"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_doc", F.xxhash64("doc_id", text))
-    df = df.join(removed.withColumnRenamed("doc", "_of"), F.col("_doc") == F.col("_of"), "left")
-    df = df.withColumn("_full", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
-    df = df.withColumn("n_lines", F.size("_full").cast("long"))
-    df = df.withColumn("n_removed_lines", F.coalesce(F.array_size("_removed"), F.lit(0)).cast("long"))
-    runs = F.size(F.filter("_removed", lambda x, i: (i == 0) | (x != F.get("_removed", i - 1) + 1)))
-    df = df.withColumn("n_removed_runs", F.when(F.col("n_removed_lines") > 0, runs).otherwise(0).cast("long"))
+    key = F.struct("id", "doc").alias("key")
+    removed = _repeated(marks, run, long).groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    removed = stash(removed, "removed")
+    # The input's columns go along as one, so that their names don't meet those of this function.
+    rows = docs.select(*_document(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(key, "row")
+    maybe, clear = sifted(rows, removed, "key")
+    clear = clear.withColumn("removed", F.lit(None).cast("array<int>"))
+    df = maybe.join(removed, "key", "left").unionByName(clear)
+    df = df.withColumn("full", F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))
+    cut = F.col("removed").isNotNull()
+    runs = F.size(F.filter("removed", lambda x, i: (i == 0) | (x != F.get("removed", i - 1) + 1)))
     # array_except() looks numbers up in a set, so a document of many lines costs no square of them.
-    rest = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("_removed"))
-    df = df.withColumn("_rest", F.when(F.col("n_removed_lines") > 0, rest))
-    kept = F.array_join(F.transform("_rest", lambda i: F.get("_full", i)), "\n")
-    df = df.withColumn("text", F.when(F.col("n_removed_lines") > 0, kept).otherwise(F.col("text")))
-    return df.drop("_doc", "_of", "_removed", "_full", "_rest")
+    df = df.withColumn("rest", F.when(cut, F.array_except(F.sequence(F.lit(0), F.size("full") - 1), F.col("removed"))))
+    kept = F.array_join(F.transform("rest", lambda i: F.get("full", i)), "\n")
+    counts = {
+        "n_lines": F.size("full").cast("long"),
+        "n_removed_lines": F.coalesce(F.array_size("removed"), F.lit(0)).cast("long"),
+        "n_removed_runs": F.when(cut, runs).otherwise(0).cast("long"),
+    }
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns if c not in counts}
+    old["text"] = F.when(cut, kept).otherwise(F.col("row.text"))
+    return df.select(*[c.alias(name) for name, c in (old | counts).items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

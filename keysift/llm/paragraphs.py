@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.llm.scratch import components, remove, stash, tidy
+from keysift.llm.scratch import components, remove, sifted, stash, tidy
 from keysift.ship import ship
 
 SHINGLE = 5
@@ -325,7 +325,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     key = F.struct("doc_id", "doc").alias("key")  # one column, so that the join's dealing serves the aggregate as well
     places = wanted.groupBy(key).agg(F.collect_list(F.struct("at", "n_words", "class")).alias("places"))
-    texts = _keyed(docs).select(key, "text").join(places, "key").dropDuplicates(["key"]).select("text", "places")
+    places = stash(places, "places")
+    texts = sifted(_keyed(docs).select(key, "text"), places, "key")[0]  # only the texts that may be asked for are dealt
+    texts = texts.join(places, "key").dropDuplicates(["key"]).select("text", "places")
     return texts.mapInArrow(run, "class bigint, s array<bigint>")
 
 

@@ -76,6 +76,24 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SLOTS = 1 << 19
+
+
+def sifted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: the rows whose ``key`` may be among ``keys``, for an exact join to follow, and those whose isn't.
+
+    A bit for each key's hash is set in at most ``SLOTS`` words of 64 bits, so what is broadcast has a bound whatever the
+    data; with more keys than bits all rows go to the first part.  Wide rows that the join would pass are so never dealt.
+    """
+    slot = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 6), F.lit(SLOTS)).cast("int")
+    place = F.xxhash64(key).bitwiseAND(F.lit(63)).cast("int")
+    words = keys.select(slot.alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("_bit"))
+    words = words.groupBy("_slot").agg(F.bit_or("_bit").alias("_word"))
+    found = df.join(F.broadcast(words), slot == F.col("_slot"), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("_word"), place).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return found.filter(maybe).select(*df.columns), found.filter(~maybe).select(*df.columns)
+
+
 def blocks_for(rows: int, per_block: int = 200_000, least: int = 8) -> int:
     """How many blocks a group that may hold all rows is cut into."""
     return max(least, -(-rows // per_block))

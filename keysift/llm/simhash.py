@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm import paragraphs
-from keysift.llm.scratch import components, remove, stash, tidy
+from keysift.llm.scratch import components, remove, sifted, stash, tidy
 from keysift.ship import ship
 
 BITS = 3
@@ -232,14 +232,18 @@ def classes(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, group:
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the documents that ``found`` (key: struct of doc_id and doc, component) has after the first of their component;
-    of rows with one doc_id and text one stays."""
+    of rows with one doc_id and text one stays.  Only the texts of documents that may go are dealt."""
     order = F.struct(F.col("key.doc_id").isNull().alias("n"), F.col("key").alias("k"))
     first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, "component").filter(F.col("key") != F.col("first.k")).select("key").distinct()
+    later = found.join(first, "component").filter(F.col("key") != F.col("first.k")).select("key", F.lit(True).alias("later"))
+    repeated = docs.select(document()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(False).alias("later"))
+    marked = stash(later.unionByName(repeated).groupBy("key").agg(F.max("later").alias("later")), "marked", keep=True)
     # The input's columns go along as one, so that their names don't meet those of this function.
     rows = docs.select(document(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    maybe, clear = sifted(rows, marked, "key")
     same = Window.partitionBy("key").orderBy(F.lit(1))
-    rows = rows.join(later, "key", "left_anti").withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    maybe = maybe.join(marked.filter("later").select("key"), "key", "left_anti").withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    rows = clear.select("row").unionByName(maybe.select("row"))
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
