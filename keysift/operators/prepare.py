@@ -46,6 +46,40 @@ def compare_sets(left: DataFrame, right: DataFrame, key: str, member: str) -> Da
     return a.join(b, key, "full_outer").select(key, F.sort_array(F.array_except(l, r)).alias("only_left"), F.sort_array(F.array_except(r, l)).alias("only_right"))
 
 
+def differences(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, member, side) of each member that one side alone has; one row each, so no key is gathered in one place."""
+    a, b = left.select(key, member).distinct(), right.select(key, member).distinct()
+    sides = [x.join(y, [key, member], "left_anti").withColumn("side", F.lit(name)) for x, y, name in ((a, b, "left"), (b, a, "right"))]
+    return sides[0].unionByName(sides[1])
+
+
+def write_collections(manifest: DataFrame, path: str) -> None:
+    """Writes the videos of each collection as JSON, a line for each collection."""
+    collections(manifest).write.mode("overwrite").json(path)
+
+
+def manifest_errors(rows: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(keyframe_id, error) of each rule that a row of (keyframe_id, collection_id, video_id, frame_number, timestamp_ms, image_path) breaks.
+
+    ``images`` (image_path): the images there are.  An id or path that occurs more than once is one error.
+    """
+    below = lambda c: F.coalesce(F.col(c).try_cast("bigint") < 0, F.lit(True))
+    rules = {
+        "frame_number": below("frame_number"),
+        "timestamp_ms": below("timestamp_ms"),
+        "collection_id": ~collection_of(F.col("video_id")).eqNullSafe(F.col("collection_id")),
+    }
+    broken = rows.select("keyframe_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))).alias("error"))
+    again = [
+        repeated(rows, c).select(F.col(c).cast("string").alias("keyframe_id"), F.lit(f"repeated {c}").alias("error")) for c in ("keyframe_id", "image_path")
+    ]
+    out = broken.unionByName(again[0]).unionByName(again[1])
+    if images is not None:
+        lacking = rows.join(images.select("image_path"), "image_path", "left_anti")
+        out = out.unionByName(lacking.select("keyframe_id", F.lit("no image").alias("error")))
+    return out
+
+
 def repeated(df: DataFrame, *keys: str | Column) -> DataFrame:
     """The keys that occur more than once, with their count ``n``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

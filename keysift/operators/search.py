@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from importlib import import_module
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +19,7 @@ from keysift.operators.index import Index, tree_key
 
 CLIP, OBJECT, DOMAIN = 0.82, 0.12, 0.06
 MAX_QUERY, MAX_COLLECTIONS, MAX_TOP = 500, 50, 100
+TAG = re.compile(r"#(L\d+)\b", re.IGNORECASE)
 
 
 def candidate_budget(top_k: int) -> int:
@@ -117,37 +121,74 @@ def project(ranked: DataFrame, catalog_ids: Sequence[str], routed: Sequence[str]
     ).orderBy("rank")
 
 
+@dataclass(frozen=True)
+class Request:
+    """A request as a user writes it, read: the query without its tags, all collection ids, the number of results."""
+
+    query: str
+    collections: tuple[str, ...]
+    top_k: int
+
+
+def read_request(query: str, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> Request:
+    """Reads ``#L21`` and the like out of a query and adds them to the collection ids, each once, those given before those tagged.
+
+    An error if the request is out of bounds or has nothing but tags.
+    """
+    given = check_request(query, collections, top_k)
+    tags = [t.upper() for t in re.findall(TAG, query)]
+    clean = " ".join(re.sub(r"#(?=\w)", "", re.sub(TAG, " ", query)).split())
+    if not clean:
+        raise ValueError("the query is empty but for tags")
+    return Request(clean, tuple(dict.fromkeys([*given, *tags])), top_k)
+
+
 def prepare(index: Index, query: str, encode: Callable[[list[str]], np.ndarray]) -> tuple[str, list[float], Route]:
-    """The prompt, its vector and the route of a query."""
-    query = (query or "").strip()
-    if not query:
-        raise ValueError("the query is empty")
+    """The prompt, its vector and the route of a query without tags."""
     analysis = analyze(index.spark, query)
     prompt = clip_prompt(index.catalog, query, analysis)
     vector = np.asarray(encode([prompt]), float)[0]
     return prompt, vector.tolist(), route(index.catalog, index.meta["prototypes"], analysis, vector)
 
 
-def search(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = 100) -> DataFrame:
-    """The frames that match a query best, in rank order."""
-    if top_k < 1:
-        raise ValueError("top_k must be positive")
-    _, vector, r = prepare(index, query, encode)
-    found, _ = candidates(index, index.pca.reduce_query(vector), r.domain_ids, collections, candidate_budget(top_k))
+def search(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> DataFrame:
+    """The frames that match a query best, in rank order; the request is read by :func:`read_request`."""
+    asked = read_request(query, collections, top_k)
+    _, vector, r = prepare(index, asked.query, encode)
+    found, _ = candidates(index, index.pca.reduce_query(vector), r.domain_ids, asked.collections, candidate_budget(top_k))
     ranked = rerank(index, vector, r, found.filter("is_new"), top_k)
     return project(ranked, index.catalog.ids, r.domain_ids)
 
 
-def inspect(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = 100) -> dict:
+def with_urls(rows: DataFrame, base: str) -> DataFrame:
+    """The rows of :func:`search` as a client gets them: clean paths, their addresses under ``base``, and ``frame_id``."""
+    clean = lambda c: F.ltrim(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), F.lit("/"))
+    url = lambda c: F.concat(F.lit(base.rstrip("/") + "/"), F.col(c))
+    video = F.when(F.trim("video_path") != "", clean("video_path")).otherwise(F.format_string("videos/%s.mp4", "video_id"))
+    rows = rows.withColumns({"image_path": clean("image_path"), "video_path": video, "frame_id": F.col("frame_number")})
+    return rows.withColumns({"image_url": url("image_path"), "video_url": url("video_path")})
+
+
+def function_at(path: str) -> Callable:
+    """The function that a dotted path names, so that another search can be put in this one's place."""
+    module, _, name = path.rpartition(".")
+    try:
+        return getattr(import_module(module), name)
+    except (ValueError, ImportError, AttributeError, OSError) as e:
+        raise LookupError(f"no function can be loaded at {path}") from e
+
+
+def inspect(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> dict:
     """How a query is read, routed and searched for, without the rerank."""
-    prompt, vector, r = prepare(index, query, encode)
+    asked = read_request(query, collections, top_k)
+    prompt, vector, r = prepare(index, asked.query, encode)
     k = candidate_budget(top_k)
-    _, trace = candidates(index, index.pca.reduce_query(vector), r.domain_ids, collections, k)
+    _, trace = candidates(index, index.pca.reduce_query(vector), r.domain_ids, asked.collections, k)
     trees = [{c: row[c] for c in trace.columns if c != "ord"} for row in trace.collect()]  # a row for each part asked
     order = sorted(index.catalog.ids, key=lambda i: -r.scores[i])
     matched = query_terms(index, r).orderBy(F.desc("score"), "term").collect()  # what one query matches of the vocabulary
     return {
-        "query": query.strip(), "clip_query": prompt,
+        "query": asked.query, "clip_query": prompt,
         "analysis": {
             "normalized_query": r.analysis.normalized, "keyword_candidates": list(r.analysis.candidates), "expanded_terms": list(r.expanded),
             "matched_object_vocabulary": [{"term": m["term"], "match_score": m["score"]} for m in matched],
@@ -158,7 +199,7 @@ def inspect(index: Index, query: str, encode: Callable[[list[str]], np.ndarray],
         },
         "candidate_trace": {
             "requested_candidate_k": k, "unique_candidate_count": sum(t["new_unique_candidates"] for t in trees),
-            "collection_ids": [c.upper() for c in collections], "selected_domains": list(r.domain_ids), "trees": trees,
+            "collection_ids": list(asked.collections), "selected_domains": list(r.domain_ids), "trees": trees,
         },
         "index": {c: index.meta[c] for c in ("format_version", "record_count", "feature_dimension", "pca_dimensions")} | {"tree_count": len(index.meta["tree_counts"])},
     }
@@ -166,8 +207,6 @@ def inspect(index: Index, query: str, encode: Callable[[list[str]], np.ndarray],
 
 def check_request(query: str, collections: Sequence[str], top_k: int) -> list[str]:
     """The collection ids of a request in upper case, each once; an error where it is out of bounds."""
-    import re
-
     if not 1 <= len(query or "") <= MAX_QUERY:
         raise ValueError(f"a query has 1 to {MAX_QUERY} characters")
     if not 1 <= top_k <= MAX_TOP:

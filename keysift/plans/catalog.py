@@ -516,6 +516,40 @@ def package_classify(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", package_group(name).alias("package_group"))
 
 
+@query("""
+select nation, id, 'left' as side from (select c_nationkey as nation, c_custkey as id from customer except select s_nationkey, s_suppkey from supplier)
+union all
+select nation, id, 'right' as side from (select s_nationkey as nation, s_suppkey as id from supplier except select c_nationkey, c_custkey from customer)
+""")
+def set_difference_rows(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"))
+    right = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))
+    return prepare.differences(left, right, "nation", "id")
+
+
+@query("""
+with r as (select 'L' || (l_suppkey % 9) || '_V' || l_partkey || '_' || l_linenumber as keyframe_id, 'L' || (l_orderkey % 9) as collection_id,
+           'L' || (l_suppkey % 9) || '_V' || l_partkey as video_id, l_quantity::bigint - 2 as frame_number, l_quantity::bigint - 3 as timestamp_ms,
+           'k/' || l_partkey || '/' || l_linenumber as image_path from lineitem)
+select keyframe_id, 'frame_number' as error from r where frame_number < 0
+union all select keyframe_id, 'timestamp_ms' from r where timestamp_ms < 0
+union all select keyframe_id, 'collection_id' from r where collection_id <> split_part(video_id, '_V', 1)
+union all select keyframe_id, 'repeated keyframe_id' from r group by keyframe_id having count(*) > 1
+union all select image_path, 'repeated image_path' from r group by image_path having count(*) > 1
+union all select keyframe_id, 'no image' from r where image_path not in (select 'k/' || p_partkey || '/1' from part)
+""")
+def manifest_rules(spark, sf_dir):
+    part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")
+    video = F.concat(F.lit("L"), (F.col("l_suppkey") % 9).cast("string"), F.lit("_V"), part)
+    n = F.col("l_quantity").cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(video, F.lit("_"), line).alias("keyframe_id"), F.concat(F.lit("L"), (F.col("l_orderkey") % 9).cast("string")).alias("collection_id"),
+        video.alias("video_id"), (n - 2).alias("frame_number"), (n - 3).alias("timestamp_ms"), F.concat(F.lit("k/"), part, F.lit("/"), line).alias("image_path"),
+    )
+    images = table(spark, sf_dir, "part").select(F.concat(F.lit("k/"), F.col("p_partkey").cast("string"), F.lit("/1")).alias("image_path"))
+    return prepare.manifest_errors(rows, images)
+
+
 @query()
 def pca_project(spark, sf_dir):
     """Each frame in the space of eight principal components; their signs are arbitrary, so magnitudes are returned."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,35 +17,45 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def current(spark: SparkSession, path: str) -> str:
-    """The folder of the current version."""
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """The names of the pointers, the newest last; each is written once and never replaced."""
     fs, new = _fs(spark, path)
-    if not fs.exists(new(f"{path}/{POINTER}")):
+    if not fs.exists(new(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(new(path))]
+    return sorted(n for n in names if n.startswith(f"{POINTER}-"))
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the current version: the one that the newest pointer names."""
+    found = _pointers(spark, path)
+    if not found:
         raise FileNotFoundError(f"no version has been published at {path}")
-    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()['value']}"
+    return f"{path}/{found[-1].rpartition('-')[2]}"
 
 
 @contextmanager
 def publish(spark: SparkSession, path: str) -> Iterator[str]:
     """Yields a new folder; when its writer ends well it becomes current, else it is removed and the old one stays.
 
-    The version before the current one is kept, older ones are removed.
+    The new version becomes current by one atomic step, the making of an empty file whose name has a number and the
+    version's folder; a crash at any time leaves a current version.  The one before is kept, older ones are removed.
     """
     fs, new = _fs(spark, path)
-    name = f"v-{uuid.uuid4().hex}"
+    name = f"v{uuid.uuid4().hex}"
     try:
         yield f"{path}/{name}"
-        before = current(spark, path).rpartition("/")[2] if fs.exists(new(f"{path}/{POINTER}")) else None
-        out = fs.create(new(f"{path}/{POINTER}.new"), True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        fs.delete(new(f"{path}/{POINTER}"), False)
-        if not fs.rename(new(f"{path}/{POINTER}.new"), new(f"{path}/{POINTER}")):
-            raise OSError(f"{path}/{POINTER} can't be replaced")
+        before = _pointers(spark, path)
+        number = int(before[-1].split("-")[1]) + 1 if before else 0
+        pointer = f"{POINTER}-{number:012d}-{name}"
+        fs.create(new(f"{path}/{pointer}"), False).close()
     except BaseException:
         fs.delete(new(f"{path}/{name}"), True)
         raise
+    kept = [*before[-1:], pointer]
+    folders = {p.rpartition("-")[2] for p in kept}
     for status in fs.listStatus(new(path)):
         found = status.getPath().getName()
-        if found.startswith("v-") and found not in (name, before):
+        old = found.startswith(f"{POINTER}-") and found < kept[0]
+        if old or re.fullmatch("v[0-9a-f]{32}", found) and found not in folders:
             fs.delete(status.getPath(), True)

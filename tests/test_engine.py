@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from keysift.functions import matching, text, vector
+from keysift.functions.encoder import hashing_encoder
 from keysift.operators import prepare
 from keysift.operators.domains import Catalog, analyze, clip_prompt, route
 from keysift.operators.index import BuildOptions, Index, build
-from keysift.operators.search import candidates, check_request, inspect, search
+from keysift.operators.search import Request, candidates, check_request, function_at, inspect, read_request, search, with_urls
 from keysift.sources import dataset, versions
 
 
@@ -208,6 +209,58 @@ def test_manifest_rules(spark):
             dataset.records(spark.createDataFrame(bad, schema))
 
 
+def test_request_is_read_as_written():
+    assert read_request("  #L21 người #xe  đạp #l3 ", [" l3 ", "L5"], 7) == Request("người xe đạp", ("L3", "L5", "L21"), 7)
+    assert read_request("#L21x y").collections == ()
+    for bad in (("#L21 #l3",), ("   ",), ("",), ("x" * 501,), ("x", ["K1"]), ("x", [], 0), ("x", [], 101), ("x", ["L1"] * 51)):
+        with pytest.raises(ValueError):
+            read_request(*bad)
+    assert function_at("keysift.operators.search.search") is search
+    for bad in ("search", "keysift.operators.search.none", "no.such.module"):
+        with pytest.raises(LookupError):
+            function_at(bad)
+
+
+def test_hashing_encoder():
+    encode = hashing_encoder(256)
+    v = encode(["a red bicycle", "A red BICYCLE", "red bicycles", "stormy weather", ""])
+    assert v.shape == (5, 256) and np.allclose(np.linalg.norm(v, axis=1), 1) and np.array_equal(v, encode(["a red bicycle", "A red BICYCLE", "red bicycles", "stormy weather", ""]))
+    assert np.array_equal(v[0], v[1]) and v[0] @ v[2] > 0.5 > v[0] @ v[3]
+    assert encode([]).shape == (0, 256)
+
+
+def test_client_rows(spark):
+    rows = spark.createDataFrame([("\\\\k\\1.jpg", " ", "L1_V1", 5), ("k/2.jpg", "/v/x.mp4", "L1_V1", 6)], "image_path string, video_path string, video_id string, frame_number int")
+    got = [tuple(r) for r in with_urls(rows, "http://h/d/").select("image_url", "video_url", "frame_id").collect()]
+    assert got == [("http://h/d/k/1.jpg", "http://h/d/videos/L1_V1.mp4", 5), ("http://h/d/k/2.jpg", "http://h/d/v/x.mp4", 6)]
+
+
+def test_manifest_errors(spark):
+    schema = "keyframe_id string, collection_id string, video_id string, frame_number string, timestamp_ms string, image_path string"
+    rows = spark.createDataFrame([("a", "L1", "L1_V1", "0", "0", "1"), ("b", "L2", "L1_V1", "-1", "x", "2"), ("b", "L1", "bad", "1", None, "2")], schema)
+    images = spark.createDataFrame([("1",)], "image_path string")
+    got = sorted(tuple(r) for r in prepare.manifest_errors(rows, images).collect())
+    every = [("b", e) for e in ("collection_id", "collection_id", "frame_number", "no image", "no image", "timestamp_ms", "timestamp_ms", "repeated keyframe_id")]
+    assert got == sorted([*every, ("2", "repeated image_path")])
+    assert prepare.manifest_errors(rows.limit(0), images).count() == 0
+
+
+def test_positions_are_gapless(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 100_003).alias("line"), "id").repartition(5)
+    got = sorted((r["line"], r["position"]) for r in dataset.positions(df, "line", splits=16).collect())
+    assert [p for _, p in got] == list(range(1000))
+    assert dataset.positions(df.limit(0), "line").count() == 0
+
+
+def test_set_differences_and_collection_sink(spark, tmp_path):
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "k string, v int")
+    right = spark.createDataFrame([("a", 2), ("c", 4)], "k string, v int")
+    assert sorted(tuple(r) for r in prepare.differences(left, right, "k", "v").collect()) == [("a", 1, "left"), ("c", 4, "right")]
+    rows = spark.createDataFrame([("L1", "L1_V2"), ("L1", "L1_V1")], "collection_id string, video_id string")
+    prepare.write_collections(rows, f"file://{tmp_path}/c")
+    assert [tuple(r) for r in spark.read.json(f"file://{tmp_path}/c").collect()] == [("L1", ["L1_V1", "L1_V2"])]
+
+
 def test_set_comparison(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     right = spark.createDataFrame([("a", 2), ("c", 4)], "k string, v int")
@@ -238,7 +291,7 @@ def test_versions(spark, tmp_path):
         with versions.publish(spark, at):
             raise KeyError
     assert spark.read.parquet(f"{versions.current(spark, at)}/t").first()[0] == 3
-    assert len([p for p in (tmp_path / "x").iterdir() if p.name.startswith("v-")]) == 2
+    assert len([p for p in (tmp_path / "x").iterdir() if p.is_dir()]) == 2
     with pytest.raises(FileNotFoundError):
         versions.current(spark, f"file://{tmp_path}/none")
 
