@@ -61,6 +61,7 @@ PARITIES = 4  # words of 64 bits
 _PARITY = [f"p{i}" for i in range(PARITIES)]
 SLACK = 1e-9
 SLICE = 512 << 10  # bytes of text that a task looks at together
+USUAL = SLICE + 1  # powers that a worker keeps
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 40) -> tuple[int, int]:
@@ -92,10 +93,18 @@ _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] = _LOWER[97:123]
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2^bits powers of ``base`` and of its inverse modulo 2^64."""
-    run = lambda x: np.r_[np.uint64(1), np.cumprod(np.full((1 << bits) - 1, x, np.uint64))]
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of ``base`` and of its inverse modulo 2^64; those for a very long text aren't kept."""
+    return _usual_powers(base) if n <= USUAL else _run_of_powers(base, n)
+
+
+@functools.lru_cache(maxsize=3)
+def _usual_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _run_of_powers(base, USUAL)
+
+
+def _run_of_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    run = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)])
     return run(base), run(pow(base, -1, 1 << 64))
 
 
@@ -109,7 +118,7 @@ class _Rolling:
     """Hashes of any run of a sequence of numbers from its prefix sums."""
 
     def __init__(self, values: np.ndarray, base: int):
-        self.power, self.inverse = _powers(base, max(16, len(values).bit_length()))
+        self.power, self.inverse = _powers(base, len(values) + 1)
         self.total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.power[: len(values)], out=self.total[1:])
 
@@ -281,6 +290,7 @@ def units(docs: DataFrame, *, whole: bool = False) -> DataFrame:
                 none = pa.nulls(len(begin) - n, pa.int64())  # of windows
                 profile = (pa.concat_arrays([x, none]) for x in (pa.array(np.array([len(x) for x in sets], np.int64)), *_parities(sets)))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *numbers, *hashes, lists, *profile], names=names)
+        pa.default_memory_pool().release_unused()
 
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -321,6 +331,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.empty(0, np.uint64), *out])))
                 yield pa.RecordBatch.from_arrays([rows.field("class"), lists], names=["class", "s"])
+        pa.default_memory_pool().release_unused()
 
     ship(docs.sparkSession)
     key = F.struct("doc_id", "doc").alias("key")  # one column, so that the join's dealing serves the aggregate as well
