@@ -138,7 +138,9 @@ def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFram
     }
     old = {c: F.col(f"row.`{c}`") for c in docs.columns if c not in counts}
     old["text"] = F.when(cut, kept).otherwise(F.col("row.text"))
-    return df.select(*[c.alias(name) for name, c in (old | counts).items()])
+    out = old | counts
+    df = df.select(F.struct(*[c.alias(name) for name, c in out.items()]).alias("out"))
+    return df.select(*[F.col(f"out.`{name}`").alias(name) for name in out])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -652,3 +652,24 @@ def test_decontamination(spark, odd, none):
     clean = decontamination.decontaminate(df, benchmark)
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5, 6]
     assert decontamination.hits(none, benchmark).count() == 0 and decontamination.hits(odd, benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 19])
+def test_sifting_loses_no_row(spark, monkeypatch, slots):
+    monkeypatch.setattr(scratch, "SLOTS", slots)  # with one slot most rows are in doubt
+    df = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("key"), F.col("id").alias("n"))
+    keys = df.filter("n % 10 = 3 or key is null").select("key")
+    maybe, clear = (sorted(r["n"] for r in x.collect()) for x in scratch.sifted(df, keys, "key"))
+    assert sorted(maybe + clear) == list(range(2000))
+    assert set(maybe) >= {i for i in range(2000) if i % 10 == 3 or i % 7 == 0}
+    assert (slots == 1) == (len(maybe) > 1000)
+    assert scratch.sifted(df, keys.limit(0), "key")[0].count() == 0
+    assert scratch.sifted(df.limit(0), keys, "key")[1].count() == 0
+
+
+def test_line_dedup_keeps_clashing_columns_and_repeated_rows(spark):
+    text = "a b\nc d\ne f"
+    rows = [(1, text, "x", 5, 7), (2, text, "y", 6, 8), (2, text, "y", 6, 8), (None, None, "z", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, doc int, removed int")
+    got = sorted((tuple(r) for r in lines.dedup(df).collect()), key=str)
+    assert got == sorted([(1, text, "x", 5, 7, 3, 0, 0), (2, "", "y", 6, 8, 3, 3, 1), (2, "", "y", 6, 8, 3, 3, 1), (None, None, "z", 1, 2, 0, 0, 0)], key=str)
