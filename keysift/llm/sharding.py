@@ -5,7 +5,9 @@ A row descends region, rack and shard.  At each node every child draws
 least draw wins, so a child is chosen in proportion to its weight.  When weights
 change, a row moves only if it now enters or leaves a subtree whose weight has
 changed.  A shard added by :meth:`Tree.grow` comes in a region of its own, so
-it takes rows into itself and no other row moves: the ``key`` law.
+it takes rows into itself and no other row moves: the ``key`` law.  :meth:`Tree.sized`
+is the one tree for a number of shards under that law, whatever count a cluster has
+grown from: ``BASE`` shards in an even tree, then each further one by itself.
 
 Defined cases: a null text counts as empty; rows with a null key share one
 draw; equal keys go to one shard; extra columns are kept by :func:`assign`.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from keysift.llm.scratch import blocks_for, number_within
 
 SHARDS = 40
+BASE = 40
 REGIONS = 4
 RACKS = 2
 DIGITS = 13  # hex digits of a draw, 52 bits: what a double holds without rounding
@@ -37,6 +40,16 @@ class Tree:
         """An even tree: shard i lies in region i mod regions, and there in the racks by turns."""
         return cls(tuple((i % regions, i // regions % racks, i, 1.0) for i in range(shards)))
 
+    @classmethod
+    def sized(cls, shards: int, base: int = BASE) -> Tree:
+        """The tree that a cluster of ``base`` shards has come to at ``shards``: the count alone decides, and the next only takes rows."""
+        if shards < base:
+            raise ValueError(f"the law holds from {base} shards on")
+        tree = cls.build(base)
+        for _ in range(shards - base):
+            tree = tree.grow()
+        return tree
+
     def grow(self, weight: float = 1.0) -> Tree:
         """One more shard, in a region of its own."""
         region, shard = (max(x[k] for x in self.leaves) + 1 for k in (0, 2))
@@ -86,12 +99,11 @@ def assign(df: DataFrame, key: str, tree: Tree, out: str = "shard") -> DataFrame
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tree = Tree.build(SHARDS)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     df = docs.select(
         "doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law")
     )
-    df = assign(assign(df, "doc_id", tree), "doc_id", tree.grow(), "grown_shard")
+    df = assign(assign(df, "doc_id", Tree.sized(SHARDS)), "doc_id", Tree.sized(SHARDS + 1), "grown_shard")
     blocks = blocks_for(docs.count() // SHARDS)
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
@@ -127,7 +139,7 @@ def _sql() -> str:
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as k from documents),
 {_CRC},
-{tree_sql(Tree.build(SHARDS), "a")}, {tree_sql(Tree.build(SHARDS).grow(), "g")},
+{tree_sql(Tree.sized(SHARDS), "a")}, {tree_sql(Tree.sized(SHARDS + 1), "g")},
 leaf as (select d.doc_id, octet_length(encode(d.text)) + 16 as size, text_crc32,
                 string_split(a_3.p, '/')[-1]::int as shard, string_split(g_3.p, '/')[-1]::int as grown_shard,
                 ('0x' || substr(md5(d.k), 1, 8))::bigint
