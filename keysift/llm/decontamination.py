@@ -10,6 +10,10 @@ returns all items at the threshold or above.  A hit counts if the passage has
 ``OVERLAP`` of the five-word shingles of the item's question (its sentences but the
 last) and that share of the words of its answer (the last one).
 
+Block maxima are kept beside each word's postings, for the blocks that have the word
+alone (a word in one of ``SPREAD`` blocks or more has a row of all), and a text is bounded some chunks at a time (``CELLS`` of chunks by blocks), so
+what an index and a search hold grows with the postings, not with words times items.
+
 The index is broadcast in blocks of at most about ``BLOCK_CHARS`` characters of
 items, whose number follows from the measured size of the item table; each block
 is searched with every passage.
@@ -41,6 +45,8 @@ SHINGLE = 5
 BLOCK = 4
 BLOCK_CHARS = 4_000_000
 MEMO = 300_000
+CELLS = 1 << 16
+SPREAD = 8
 
 _EDGES = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -95,10 +101,26 @@ class Index:
         self.items = [[d for d, _ in p] for p in postings]
         self.weights = [[x for _, x in p] for p in postings]
         self.upper = [max(w) for w in self.weights]
-        self.blocks = np.zeros((len(postings), -(-len(items) // BLOCK)), np.float32)
-        for t, p in enumerate(postings):
+        self.n_blocks = -(-len(items) // BLOCK)
+        maxima: list[dict[int, float]] = []
+        for p in postings:
+            most: dict[int, float] = {}
             for d, x in p:
-                self.blocks[t, d // BLOCK] = max(self.blocks[t, d // BLOCK], x)
+                most[d // BLOCK] = max(most.get(d // BLOCK, 0.0), x)
+            maxima.append(most)
+        self.maxima = maxima
+        # Terms in one of SPREAD blocks or more have a row of all blocks, so rows hold at most SPREAD cells for each maximum.
+        spread = [SPREAD * len(m) >= self.n_blocks for m in maxima]
+        self.row = np.where(spread, np.cumsum(spread) - 1, -1)
+        self.rows = np.zeros((sum(spread), self.n_blocks), np.float32)
+        for r, m in zip(self.row.tolist(), maxima):
+            if r >= 0:
+                self.rows[r, list(m)] = list(m.values())
+        # The blocks of any other term t and their maxima lie from starts[t] up to starts[t + 1].
+        rare = [{} if r >= 0 else m for r, m in zip(self.row.tolist(), maxima)]
+        self.starts = np.cumsum([0, *map(len, rare)])
+        self.block = np.array([b for m in rare for b in m], np.int64)
+        self.most = np.array([x for m in rare for x in m.values()], np.float32)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose weights for the terms add up to the threshold or more, by block-max WAND."""
@@ -127,7 +149,7 @@ class Index:
             d = at[pivot][0]
             while pivot + 1 < len(at) and at[pivot + 1][0] == d:
                 pivot += 1
-            if sum(float(self.blocks[x[2], d // BLOCK]) for x in at[: pivot + 1]) < least:
+            if sum(self.maxima[x[2]].get(d // BLOCK, 0.0) for x in at[: pivot + 1]) < least:
                 # No item up to the end of this block, or to the next list's item, can reach the threshold.
                 to = (d // BLOCK + 1) * BLOCK
                 if pivot + 1 < len(at):
@@ -142,6 +164,26 @@ class Index:
                 at = [x for x in at if x[0] >= d or advance(x, d)]
         return out
 
+    def live(self, chunk: np.ndarray, term: np.ndarray, threshold: float) -> list[int]:
+        """The chunks that, with the next one, may hold an item at the threshold; ``chunk`` ascends, with each of its terms once."""
+        found, rows = [], min(max(1, CELLS // max(1, self.n_blocks)), int(chunk[-1]) + 1)
+        for low in range(0, int(chunk[-1]) + 1, rows):
+            # One chunk more than is judged, as each is judged with the next one.
+            a, b = np.searchsorted(chunk, (low, low + rows + 1))
+            bounds = np.zeros((rows + 1, self.n_blocks), np.float32)
+            here, row = chunk[a:b] - low, self.row[term[a:b]]
+            wide, rare = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+            if len(wide):
+                first = np.flatnonzero(np.r_[True, np.diff(here[wide]) > 0])
+                bounds[here[wide[first]]] = np.add.reduceat(self.rows[row[wide]], first, axis=0)
+            if len(rare):
+                begin = self.starts[term[a:b][rare]]
+                n = self.starts[term[a:b][rare] + 1] - begin
+                at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                np.add.at(bounds.reshape(-1), np.repeat(here[rare], n) * self.n_blocks + self.block[at], self.most[at])
+            found += (np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= threshold - 1e-4) + low).tolist()
+        return found
+
     def verify(self, d: int, passage: list[int]) -> tuple[float, float]:
         """The shares of an item's question and answer that a passage has."""
         q, a = self.questions[d], self.answers[d]
@@ -174,14 +216,8 @@ def search(index: Index, term_of: _Terms, text: str | None, threshold: float = T
         return []
     step, size = index.longest, len(index.vocabulary)
     chunk_term = np.unique(known // step * size + terms[known])  # each term once in a chunk
-    chunk = chunk_term // size
-    first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-    bounds = np.zeros((len(terms) // step + 2, index.blocks.shape[1]), np.float32)
-    bounds[chunk[first]] = np.add.reduceat(index.blocks[chunk_term % size], first, axis=0)
-    # One chunk's sum and the next one's bound what both have together.
-    live = np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= threshold - 1e-4)
     best: dict[int, tuple] = {}
-    for c in live.tolist():
+    for c in index.live(chunk_term // size, chunk_term % size, threshold):
         passage = terms[c * step : (c + 2) * step]
         for d, score in index.wand(np.unique(passage[passage >= 0]).tolist(), threshold):
             q, a = index.verify(d, passage.tolist())

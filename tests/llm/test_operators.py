@@ -117,6 +117,20 @@ def test_sharding_moves_rows_into_the_new_shard_alone(spark):
         assert all(r["b"] in (r["a"], shards + 1) for r in again)
 
 
+def test_sharding_by_count_alone(spark):
+    """Along a chain of counts, each made anew, a row stays or goes into the shard that is new."""
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    for count in range(40, 45):
+        df = sharding.assign(df, "k", sharding.Tree.sized(count), f"s{count}")
+    rows = df.collect()
+    for count in range(40, 44):
+        moved = [r for r in rows if r[f"s{count}"] != r[f"s{count + 1}"]]
+        assert moved and all(r[f"s{count + 1}"] == count for r in moved)
+    assert {r["s44"] for r in rows} == set(range(44))
+    with pytest.raises(ValueError):
+        sharding.Tree.sized(39)
+
+
 def test_sharding_follows_weights_and_confines_movement(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     one = sharding.Tree(((0, 0, 0, 1.0), (0, 1, 1, 1.0), (1, 0, 2, 2.0), (1, 1, 3, 4.0)))
@@ -638,6 +652,27 @@ def test_wand_equals_exhaustive_search():
             assert sorted(d for d, _ in index.wand(terms, least)) == sorted(d for d, s in scores.items() if s >= least - 1e-6)
 
 
+@pytest.mark.parametrize("cells,spread", [(1, 1), (1 << 16, 8), (40, 1000)])
+def test_block_bounds_keep_every_hit(monkeypatch, cells, spread):
+    """However many chunks are bounded at a time and terms have rows, a chunk whose terms and the next one's reach the threshold is live."""
+    monkeypatch.setattr(decontamination, "CELLS", cells)
+    monkeypatch.setattr(decontamination, "SPREAD", spread)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS[:200], k=rng.randint(1, 30)))) for i in range(90)]
+    frequency = Counter(w for _, t in items for w in set(t.split()))
+    index = decontamination.Index(items, frequency, len(items), 15.0)
+    for length in (1, 7, 40):
+        chunks = [sorted(rng.sample(range(len(index.vocabulary)), rng.randint(0, 40))) for _ in range(length)]
+        flat = [(c, t) for c, terms in enumerate(chunks) for t in terms] or [(0, 0)]
+        got = set(index.live(np.array([c for c, _ in flat]), np.array([t for _, t in flat]), 0.7))
+        for c in range(length):
+            scores = Counter()
+            for t in set(chunks[c]) | set(chunks[c + 1] if c + 1 < length else []):
+                for d, w in zip(index.items[t], index.weights[t]):
+                    scores[d] += w
+            assert c in got or max(scores.values(), default=0) < 0.7
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(11)
     item = lambda n: f"{prose(rng, n)} {prose(rng, 6)}".capitalize()
