@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
@@ -67,11 +67,27 @@ def membership(frames: DataFrame, ids: list[str], n: int = 2) -> DataFrame:
     return frames.select("collection_id", F.explode(best).alias("domain_id"), "position", "reduced")
 
 
-def tree_counts(members: DataFrame) -> DataFrame:
-    """(collection_id, domain_id, entries) of all, each collection, each domain and each of both; null stands for all."""
-    return members.groupingSets(
+PART_ROWS = 1_000_000
+
+
+def tree_counts(members: DataFrame, domain_ids: Sequence[str] = ()) -> DataFrame:
+    """(collection_id, domain_id, entries) of all, each collection, each domain and each of both; null stands for all.
+
+    Of ``domain_ids`` also those without an entry, in all and in each collection, are counted, as 0.
+    """
+    counts = members.groupingSets(
         [[], ["collection_id"], ["domain_id"], ["collection_id", "domain_id"]], "collection_id", "domain_id"
     ).agg(F.count_distinct("position").alias("entries"))
+    if not domain_ids:
+        return counts
+    own = F.array(*[F.lit(d) for d in domain_ids])
+    every = counts.filter("domain_id is null").select("collection_id", F.explode(own).alias("domain_id"), F.lit(0).cast("long").alias("entries"))
+    return counts.unionByName(every).groupBy("collection_id", "domain_id").agg(F.max("entries").alias("entries"))
+
+
+def spread(rows: int) -> Column:
+    """The piece of its part that a frame is written with, so that a part of any size is dealt to as many tasks as it needs."""
+    return F.pmod(F.xxhash64("position"), F.lit(max(1, -(-rows // PART_ROWS))))
 
 
 def check(frames: DataFrame) -> int:
@@ -126,12 +142,12 @@ def build(
         scores = fused_domain_scores(semantic_domain_scores(F.col("vector"), prototypes), F.coalesce("object_domains", none))
         frames = frames.join(objects, "position", "left").withColumn("domain_scores", scores).drop("object_domains")
         frames = frames.withColumn("reduced", pca.reduce(F.col("vector")))
-        # A partition for each collection: a collection filter reads its files alone.
-        frames.repartition("collection_id").sortWithinPartitions("collection_id", "position").write.partitionBy("collection_id").parquet(f"{at}/frames")
+        # A folder for each collection, in files of some PART_ROWS frames: a collection filter reads its files alone.
+        frames.repartition("collection_id", spread(rows)).sortWithinPartitions("collection_id", "position").write.partitionBy("collection_id").parquet(f"{at}/frames")
         stored = spark.read.parquet(f"{at}/frames")
         members = membership(stored, catalog.ids, options.domains_per_frame)
-        members.repartition("collection_id", "domain_id").write.partitionBy("collection_id", "domain_id").parquet(f"{at}/membership")
-        counts = tree_counts(spark.read.parquet(f"{at}/membership")).collect()  # a row for each collection and domain
+        members.repartition("collection_id", "domain_id", spread(rows)).write.partitionBy("collection_id", "domain_id").parquet(f"{at}/membership")
+        counts = tree_counts(spark.read.parquet(f"{at}/membership"), catalog.ids).collect()  # a row for each collection and domain
         meta = {
             "format_version": FORMAT_VERSION, "created_at": datetime.now(UTC).isoformat(), "record_count": rows, "feature_dimension": size,
             "pca_dimensions": len(pca.components), "options": asdict(options), "models": models or {}, "prototypes": prototypes,

@@ -49,14 +49,14 @@ def first_seen(found: DataFrame) -> DataFrame:
 def candidates(index: Index, query_reduced: Sequence[float], domain_ids: Sequence[str], collections: Sequence[str], candidate_k: int) -> tuple[DataFrame, DataFrame]:
     """(found, trace): found has (ord, position, place, is_new); trace has a row for each part that was asked.
 
-    Parts that the index doesn't have are dropped before the budget is shared out.
+    Parts that the index doesn't have, or that have no frame, are dropped before the budget is shared out.
     """
     counts = index.meta["tree_counts"]
     wanted = [c.upper() for c in collections]
     routed = [(c, d) for c in wanted or [None] for d in domain_ids]
     fallback = [(c, None) for c in wanted or [None]]
-    routed = [x for x in routed if tree_key(*x) in counts]
-    fallback = [x for x in fallback if tree_key(*x) in counts]
+    routed = [x for x in routed if counts.get(tree_key(*x))]
+    fallback = [x for x in fallback if counts.get(tree_key(*x))]
     per_part, per_fallback = budgets(candidate_k, len(routed))
     spark = index.spark
     found = spark.createDataFrame([], "ord int, position bigint, place int")

@@ -14,7 +14,7 @@ from keysift.operators import bow, domains, prepare
 from keysift.operators.index import fit_pca, tree_counts as count_trees
 from keysift.operators.search import CLIP, DOMAIN, OBJECT, budgets, first_seen, fuse, nearest
 from keysift.plans.standin import QUERY_ID, ROUTED, frames, prototypes, query_vector, table
-from keysift.sources.dataset import package_group, parse_detections
+from keysift.sources.dataset import package_group, parse_detections, positions
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -105,6 +105,29 @@ def label_prototypes(spark, sf_dir):
     return means.select("label", F.col("place").cast("long").alias("place"), r6("value").alias("value"))
 
 
+@query("""
+with t as (select vec_id, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from embeddings),
+s as (select i as place, floor(i * ((n - 1) / (least(n, 100) - 1)) + 1e-9)::bigint as pos
+      from (select count(*) as n from embeddings), range(0, 100) r(i) where i < least(n, 100))
+select place, vec_id from s join t using (pos)
+""")
+def linspace_sample(spark, sf_dir):
+    """A hundred frames spread evenly over the order of ids, as a PCA is fitted on them."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id")
+    numbered = positions(df, "vec_id").withColumnRenamed("position", "at")
+    sample = spark.range(1).select(F.posexplode(vector.linspace_positions(df.count(), 100)).alias("place", "at"))
+    return numbered.join(F.broadcast(sample), "at").select(F.col("place").cast("long").alias("place"), "vec_id")  # 100 rows
+
+
+@query("""
+with t as (select conv_id, turn, 'L' || (21 + conv_id % 12) || '_V' || lpad((turn % 7)::varchar, 3, '0') as video_id from conversations)
+select split_part(video_id, '_', 1) as collection_id, count(distinct video_id) as videos from t group by 1
+""")
+def videos_per_collection(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations")
+    video = F.concat(F.lit("L"), (21 + F.col("conv_id") % 12).cast("string"), F.lit("_V"), F.lpad((F.col("turn") % 7).cast("string"), 3, "0"))
+    return prepare.per_collection(df.select(video.alias("video_id")))
+
 def _scores(spark, sf_dir):
     """(position, collection_id, domain, score) of each frame and label."""
     df = frames(spark, sf_dir)

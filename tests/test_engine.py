@@ -296,6 +296,16 @@ def test_versions(spark, tmp_path):
         versions.current(spark, f"file://{tmp_path}/none")
 
 
+def test_tree_counts_keep_empty_parts(spark):
+    from keysift.operators.index import tree_counts
+
+    members = spark.createDataFrame([("L21", "a", 0), ("L21", "b", 0), ("L22", "a", 1)], "collection_id string, domain_id string, position long")
+    got = {(r["collection_id"], r["domain_id"]): r["entries"] for r in tree_counts(members, ("a", "b", "c")).collect()}
+    some = {(None, None): 2, ("L21", None): 1, ("L22", None): 1, (None, "a"): 2, (None, "b"): 1, ("L21", "a"): 1, ("L21", "b"): 1, ("L22", "a"): 1}
+    assert got == some | {(None, "c"): 0, ("L21", "c"): 0, ("L22", "b"): 0, ("L22", "c"): 0}
+    assert {(r["collection_id"], r["domain_id"]): r["entries"] for r in tree_counts(members).collect()} == some
+
+
 def test_candidates_ignore_unknown_parts(spark, files):
     (files / "keyframes/L21_V001/0001.png").unlink()
     root = f"file://{files}"
