@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import decontamination, lines, packing, paragraphs, quality, sharding, simhash, tokens, urls, warc
+from keysift.llm import decontamination, divergence, lines, packing, paragraphs, quality, sharding, simhash, tokens, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lines.query,
         "op9_token_ids": tokens.query,
         "op10_decontamination": decontamination.query,
+        "op11_source_divergence": divergence.query,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.SQL,
         "op6_url_reputation": urls.SQL,
         "op8_line_dedup": lines.SQL,
+        "op11_source_divergence": divergence.SQL,
     }
