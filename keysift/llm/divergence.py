@@ -129,10 +129,13 @@ def groups_of(posts: DataFrame, heavy: float = HEAVY) -> DataFrame:
     of = Window.partitionBy("lang")  # the groups of a language, of which the result has the square
     per = per.withColumn("size", F.count(F.lit(1)).over(of)).withColumn("lang_n", F.sum("n").over(of))
     per = per.withColumn("g", F.row_number().over(of.orderBy("source")) - 1)
-    sizes = per.select("lang", "size").distinct()
-    light = real & F.col("lead") & (F.col("groups") < heavy * F.col("size"))
-    terms = posts.filter("lead").join(sizes, "lang").groupBy("lang").agg(F.count_if(real).alias("terms"), F.count_if(light).alias("light"))
-    return per.join(terms, "lang").withColumn("p0", share(F.lit(0).cast("long"), F.col("n"), F.col("terms")))
+    # Terms by how many groups have them, so that a language's terms are counted before they meet its size.
+    spread = posts.filter(real & F.col("lead")).groupBy("lang", "groups").agg(F.count(F.lit(1)).alias("k"))
+    spread = spread.join(per.select("lang", "size").distinct(), "lang")
+    light = F.sum(F.when(F.col("groups") < heavy * F.col("size"), F.col("k")).otherwise(0)).alias("light")
+    terms = spread.groupBy("lang").agg(F.sum("k").alias("terms"), light)
+    per = per.join(terms, "lang", "left").fillna(0, ["terms", "light"])
+    return per.withColumn("p0", share(F.lit(0).cast("long"), F.col("n"), F.col("terms")))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import decontamination, divergence, lines, packing, paragraphs, quality, sharding, simhash, tokens, urls, warc
+from keysift.llm import decontamination, divergence, lines, packing, paragraphs, prefixes, quality, sharding, simhash, substrings, tokens, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_ids": tokens.query,
         "op10_decontamination": decontamination.query,
         "op11_source_divergence": divergence.query,
+        "op12_prefix_trie": prefixes.query,
+        "op13_substring_dedup": substrings.query,
     }
 
 
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_reputation": urls.SQL,
         "op8_line_dedup": lines.SQL,
         "op11_source_divergence": divergence.SQL,
+        "op12_prefix_trie": prefixes.SQL,
     }

@@ -113,7 +113,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 # CRC-32 of each text: the table of the 256 bytes follows from the polynomial 0xEDB88320.
-_CRC = """
+CRC_SQL = """
 tab as (select list_transform(range(256), lambda i: list_reduce(range(8),
           lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, i::bigint)) as t),
 crc as (select rid, xor(list_reduce(
@@ -138,7 +138,7 @@ def _sql() -> str:
 
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as k from documents),
-{_CRC},
+{CRC_SQL},
 {tree_sql(Tree.sized(SHARDS), "a")}, {tree_sql(Tree.sized(SHARDS + 1), "g")},
 leaf as (select d.doc_id, octet_length(encode(d.text)) + 16 as size, text_crc32,
                 string_split(a_3.p, '/')[-1]::int as shard, string_split(g_3.p, '/')[-1]::int as grown_shard,
