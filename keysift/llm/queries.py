@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": lines.SQL,
         "op11_source_divergence": divergence.SQL,
         "op12_prefix_trie": prefixes.SQL,
+        "op13_substring_dedup": substrings.SQL,
     }

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.scratch import stash, tidy
+from keysift.llm.scratch import remove, stash, tidy
 from keysift.ship import ship
 
 LENGTH = 200
@@ -233,29 +233,40 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, how: Strings) -> DataFrame:
     """(k1, k2, start, n): ``n`` strings in a row from byte ``start`` of a document of :func:`keyed` that start elsewhere as well."""
-    span = [*_KEY, "start", "n"]
+    spark, span, early = docs.sparkSession, [*_KEY, "start", "n"], []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """A table of its own, so that a key's rows can be split in the join with it; it goes when nothing reads it any more."""
+        return stash(df, name, drop=early)
+
     buckets = _buckets(docs, how).groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket")
-    buckets = stash(buckets, "buckets")
-    pieces = stash(_pieces(docs, how).join(buckets, "bucket", "left_semi"), "pieces")
+    buckets = keep(buckets, "buckets")
+    pieces = stash(_pieces(docs, how).join(buckets, "bucket", "left_semi"), "pieces", drop=(used := []))
+    remove(spark, early)
 
     one = F.min(F.struct(*_KEY, "start", "n", "off")).alias("one")
-    classes = stash(pieces.groupBy("bucket", "w1", "w2").agg(F.count(F.lit(1)).alias("uses"), one), "classes")
-    whole = pieces.join(classes.filter("uses > 1").select("bucket", "w1", "w2"), ["bucket", "w1", "w2"], "left_semi").select(*span)
-    open_buckets = classes.groupBy("bucket").agg(F.min("uses").alias("least")).filter("least = 1").select("bucket")
-    units = classes.join(open_buckets, "bucket", "left_semi").select("one.*", (F.col("uses") == 1).alias("open"))
-
-    blocks = stash(_blocks(docs, units, how), "blocks")
+    classes = keep(pieces.groupBy("bucket", "w1", "w2").agg(F.count(F.lit(1)).alias("uses"), one), "classes")
+    whole = stash(pieces.join(classes.filter("uses > 1").select("bucket", "w1", "w2"), ["bucket", "w1", "w2"], "left_semi").select(*span), "whole")
+    remove(spark, used)
+    open_buckets = keep(classes.groupBy("bucket").agg(F.min("uses").alias("least")).filter("least = 1").select("bucket"), "open")
+    units = keep(classes.join(open_buckets, "bucket", "left_semi").select("one.*", (F.col("uses") == 1).alias("open")), "units")
+
+    blocks = stash(_blocks(docs, units, how), "blocks", drop=used)
+    remove(spark, early)
     full = blocks.filter("w1 is not null")
-    done = _twice(full, "w1", "w2").withColumn("done", F.lit(True))
-    blocks = full.join(done, ["w1", "w2"], "left").unionByName(blocks.filter("w1 is null").withColumn("done", F.lit(None).cast("boolean")))
-    blocks = stash(blocks.select(*span, "c1", "c2", "open", F.coalesce("done", F.lit(False)).alias("done")), "judged")
+    done = keep(_twice(full, "w1", "w2").withColumn("done", F.lit(True)), "done")
+    judged = full.join(done, ["w1", "w2"], "left").unionByName(blocks.filter("w1 is null").withColumn("done", F.lit(None).cast("boolean")))
+    judged = stash(judged.select(*span, "c1", "c2", "open", F.coalesce("done", F.lit(False)).alias("done")), "judged")
+    remove(spark, used)
     state = F.count(F.lit(1)).alias("uses"), F.max(F.expr("open and not done")).alias("some")
-    shared = blocks.groupBy("c1", "c2").agg(*state).filter("uses > 1 and some").select("c1", "c2")
-    units = blocks.join(shared, ["c1", "c2"], "left_semi").select(*span, F.expr("open and not done").alias("open"))
+    shared = keep(judged.groupBy("c1", "c2").agg(*state).filter("uses > 1 and some").select("c1", "c2"), "shared")
+    units = keep(judged.join(shared, ["c1", "c2"], "left_semi").select(*span, F.expr("open and not done").alias("open")), "units")
 
-    singles = stash(_singles(docs, units, how), "singles")
-    last = singles.filter("open").join(_twice(singles, "w1", "w2"), ["w1", "w2"], "left_semi").select(*_KEY, "start", F.lit(1).alias("n"))
-    return whole.unionByName(blocks.filter("open and done").select(*span)).unionByName(last)
+    singles = keep(_singles(docs, units, how), "singles")
+    last = singles.filter("open").join(keep(_twice(singles, "w1", "w2"), "twice"), ["w1", "w2"], "left_semi").select(*_KEY, "start", F.lit(1).alias("n"))
+    last = stash(last, "last")
+    remove(spark, early)
+    return whole.unionByName(judged.filter("open and done").select(*span)).unionByName(last)
 
 
 def _cut(df: DataFrame, length: int, *, texts: bool) -> DataFrame:
@@ -304,3 +315,24 @@ def dedup(docs: DataFrame, how: Strings | None = None, *, texts: bool = False) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Bytes are compared by their hex digits, a text cut into stretches of 1,024 strings so that cutting costs no square of its length.
+SQL = f"""
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select rid, h, unnest(range(length(h) // 2048 + 1)) as b from d where length(h) >= {2 * LENGTH}),
+q as (select rid, b * 1024 as o, substr(h, 2048 * b + 1, 2048 + {2 * LENGTH - 2}) as x from p),
+w as (select rid, o + i as i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) as m
+      from (select *, unnest(range(least(1024, length(x) // 2 - {LENGTH - 1}))) as i from q where length(x) >= {2 * LENGTH})),
+s as (select rid, i from w semi join (select m from w group by m having count(*) > 1) using (m)),
+n as (select rid, i, case when i > lag(i) over (partition by rid order by i) + {LENGTH} then 1 else 0 end as new from s),
+g as (select rid, i, sum(new) over (partition by rid order by i) as g from n),
+r as (select rid, min(i) as a, max(i) + {LENGTH} as b from g group by rid, g),
+k as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as last from r),
+c as (select rid, sum(k.b - k.a) as removed, count(*) as spans, max(k.b) as tail,
+             string_agg(substr(d.h, 2 * k.last + 1, 2 * (k.a - k.last)), '' order by k.a) as kept
+      from k join d using (rid) group by rid)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) as kept_sha256
+from d left join c using (rid)
+"""
