@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from keysift.functions.text import contains_phrase, tokens
+from keysift.functions.text import contains_phrase, let, tokens
 from keysift.ship import ship
 
 MINIMUM = 0.80
@@ -87,3 +87,118 @@ def best_of(candidate_list: list[str], target: str) -> float:
             best = max(best, 0.88 * min(1.0, share))
         best = max(best, fuzzy(c, target) if c else 0.0)
     return best
+
+
+# Matching a table of phrases with a vocabulary by keys alone: no phrase meets a term that no key gives it.
+
+
+def _segments(n: Column, share: float) -> Column:
+    """(i, start, size) of the pieces that a word of ``n`` letters is cut into: one more than the edits it may have, so one piece is untouched."""
+    longest = F.floor(n * ((1 + share) / (1 - share)) + 1e-9)
+    pieces = F.least(F.floor((n + longest) * share + 1e-9) + 1, n)
+    cut = lambda i: F.floor(i * n / pieces).cast("int")
+    return F.transform(F.sequence(F.lit(0), (pieces - 1).cast("int")), lambda i: F.struct(i.alias("i"), cut(i).alias("start"), (cut(i + 1) - cut(i)).alias("size")))
+
+
+def _index_keys(word: Column, share: float) -> Column:
+    """The keys of a vocabulary word: its length, and each piece with its number."""
+    return F.transform(_segments(F.length(word), share), lambda c: F.struct(F.length(word).alias("n"), c["i"].alias("i"), F.substr(word, c["start"] + 1, c["size"]).alias("piece")))
+
+
+def _probe_keys(word: Column, share: float) -> Column:
+    """All keys under which a vocabulary word in reach may stand.
+
+    An untouched piece may be shifted by no more edits than there are touched pieces before it, nor than there are after it:
+    were it shifted more, another piece would be untouched that is shifted less.
+    """
+    m = F.length(word)
+    low, high = F.ceil(m * ((1 - share) / (1 + share)) - 1e-9).cast("int"), F.floor(m * ((1 + share) / (1 - share)) + 1e-9).cast("int")
+
+    def of(n: Column) -> Column:
+        def keys(pieces: Column) -> Column:
+            edits = F.size(pieces) - 1
+
+            def places(c: Column) -> Column:
+                first = F.greatest(-c["i"], m - n - (edits - c["i"]), -c["start"])
+                last = F.least(c["i"], m - n + (edits - c["i"]), m - c["start"] - c["size"])
+                shifts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+                return F.transform(shifts, lambda s: F.struct(n.alias("n"), c["i"].alias("i"), F.substr(word, c["start"] + s + 1, c["size"]).alias("piece")))
+
+            return F.flatten(F.transform(pieces, places))
+
+        return let(_segments(n, share), keys)
+
+    return F.flatten(F.transform(F.sequence(low, high), of))
+
+
+def near_words(words: DataFrame, vocabulary: DataFrame, share: float) -> DataFrame:
+    """(word, target) of all distinct words of two tables whose edit distance is at most ``share`` of both lengths.
+
+    Words meet where a piece of the vocabulary's word stands in the other one, shifted by no more than the edits allowed; as
+    there are more pieces than edits, no pair is lost.  ``share`` is below a third, so that a word has as many letters as pieces.
+    """
+    if not 0 <= share < 1 / 3:
+        raise ValueError("the share of edits is below a third")
+    left = words.select("word").filter("word <> ''").distinct().select("word", F.explode(_probe_keys(F.col("word"), share)).alias("key"))
+    right = vocabulary.select("target").filter("target <> ''").distinct().select("target", F.explode(_index_keys(F.col("target"), share)).alias("key"))
+    pairs = left.join(right, "key").select("word", "target").distinct()
+    return pairs.filter(F.levenshtein("word", "target") <= (F.length("word") + F.length("target")) * share + 1e-9)
+
+
+def _runs(words: Column, least: Column | int, most: Column) -> Column:
+    """All runs of ``least`` to ``most`` words in a row, joined by spaces."""
+    n = F.size(words)
+    lengths = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (k >= least) & (k <= n) & (k <= most))
+    runs = F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
+    return F.array_distinct(F.flatten(runs))
+
+
+def join_terms(phrases: DataFrame, terms: DataFrame, keys: list[str], *, least: float = MINIMUM, fuzzy_too: bool = True) -> DataFrame:
+    """(keys, target, score): the best score of each term over a key's phrases, of at least ``least``; what :func:`best_match` finds of all pairs.
+
+    ``phrases`` (keys, candidate) and ``terms`` (target) are normalised.  Phrases are matched once each, whatever the number of keys
+    that have them.  Equal and contained ones meet by their runs of words; misspelt ones by :func:`near_words` of single
+    words: of a term of several words, so many of its longest as can't all be missing.  Python scores what has met.
+    """
+    if not 0.45 < least <= 1:
+        raise ValueError("the least score is over 0.45, as lower ones tell nothing apart")
+    ship(phrases.sparkSession)
+
+    @pandas_udf("double")
+    def ratio(word: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([_ratio(w, t) for w, t in zip(word, target)], dtype="float64")
+
+    @pandas_udf("double")
+    def score(candidate: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([fuzzy(c, t) for c, t in zip(candidate, target)], dtype="float64")
+
+    texts = phrases.select("candidate").filter("candidate <> ''").distinct()
+    targets = terms.select("target").filter("target <> ''").distinct()
+    size = lambda c: F.size(tokens(F.col(c)))
+    longest = targets.agg(F.max(size("target"))).first()[0] or 1  # no longer run of words is looked up
+    runs = texts.select("candidate", F.explode(_runs(tokens(F.col("candidate")), 1, F.lit(longest))).alias("target"))
+    found = runs.join(targets, "target").select("candidate", "target", F.when(F.col("candidate") == F.col("target"), 1.0).otherwise(0.97).alias("score"))
+    part = targets.filter(size("target") >= 2).withColumn("n", size("target"))
+    part = part.select("target", "n", F.explode(_runs(tokens(F.col("target")), 2, F.col("n") - 1)).alias("candidate"))
+    part = part.withColumn("share", size("candidate") / F.col("n")).filter((F.col("share") >= 0.6) & (0.88 * F.col("share") >= least))
+    found = found.unionByName(part.join(texts, "candidate").select("candidate", "target", (0.88 * F.col("share")).alias("score")))
+    if fuzzy_too:
+        words = texts.select("candidate", F.posexplode(tokens(F.col("candidate"))).alias("at", "word"))
+        floor = max(0.88, least / 0.86)
+        if floor <= 1:
+            single = targets.filter((size("target") == 1) & (F.length("target") >= 5))
+            close = near_words(words.filter(F.length("word") >= 5), single, 1 - floor).withColumn("score", 0.86 * ratio("word", "target"))
+            close = close.filter(F.col("score") >= 0.86 * floor - 1e-12)
+            found = found.unionByName(words.join(close, "word").select("candidate", "target", "score"))
+        share = max(0.75, least / 0.84)
+        if share <= 1:
+            several = targets.withColumn("n", size("target")).filter("n >= 2")
+            spare = F.col("n") - F.ceil(F.col("n") * share - 1e-9)
+            longest_first = F.array_sort(F.transform(tokens(F.col("target")), lambda t, j: F.struct((-F.length(t)).alias("k"), j.alias("j"), t.alias("t"))))
+            anchors = several.select("target", "n", F.explode(F.slice(longest_first, F.lit(1), (spare + 1).cast("int"))).alias("x")).select("target", "n", "x.j", F.col("x.t").alias("own"))
+            pairs = near_words(words, anchors.select(F.col("own").alias("target")), 0.2).withColumnRenamed("target", "own")
+            at = words.withColumn("of", size("candidate")).join(pairs, "word").join(anchors, "own")
+            at = at.filter("at >= j and at - j + n <= of").select("candidate", "target").distinct()
+            found = found.unionByName(at.withColumn("score", score("candidate", "target")))
+    best = found.filter(F.col("score") >= least).groupBy("candidate", "target").agg(F.max("score").alias("score"))
+    return phrases.select(*keys, "candidate").join(best, "candidate").groupBy(*keys, "target").agg(F.max("score").alias("score"))

@@ -27,9 +27,9 @@ def document_frequency(bag: DataFrame) -> DataFrame:
 
 def idf(frequency: DataFrame, frames: int) -> DataFrame:
     """(term, df, idf), as a share of the largest; ``frames`` counts those with an empty bag as well."""
-    raw = frequency.withColumn("raw", F.log((F.lit(frames) + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    top = raw.agg(F.max("raw")).first()[0] or 1.0
-    return raw.select("term", "df", (F.col("raw") / F.lit(top)).alias("idf"))
+    raw = lambda df: F.log((F.lit(frames) + 1.0) / (df + 1.0)) + 1.0
+    top = frequency.agg(F.min("df").alias("least"))  # the rarest term has the largest IDF; one row
+    return frequency.crossJoin(F.broadcast(top)).select("term", "df", (raw(F.col("df")) / raw(F.col("least"))).alias("idf"))
 
 
 def object_scores(bag: DataFrame, idfs: DataFrame, query_terms: DataFrame, key: str) -> DataFrame:
@@ -37,9 +37,13 @@ def object_scores(bag: DataFrame, idfs: DataFrame, query_terms: DataFrame, key:
 
     ``query_terms`` are (term, score), the vocabulary that a query matches.
     """
-    hits = bag.join(idfs, "term").join(query_terms, "term")
+    return scored(bag.join(idfs, "term").join(query_terms, "term"), [key])
+
+
+def scored(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, object_score, matched) from the matched terms of each key with their ``weight, idf, score``."""
     weight: Column = F.col("weight") * F.col("idf") * F.col("score")
-    return hits.groupBy(key).agg(
+    return hits.groupBy(*keys).agg(
         F.least(F.lit(1.0), F.max(weight) + 0.1 * (F.count(F.lit(1)) - 1)).alias("object_score"),
         F.sort_array(F.collect_set("term")).alias("matched"),
     )

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysift.functions.encoder import TextEncoder, encode_texts
 from keysift.functions.vector import constant, dot, linspace_positions, unit, valid
 from keysift.operators import bow
 from keysift.operators.domains import Catalog, best_of_array, fused_domain_scores, object_domain_scores, semantic_domain_scores
+from keysift.operators.spatial import TILE_ROWS, boxes, fit_tree, tiled
+from keysift.ship import ship
+from keysift.sources.shared import remove
 
-FORMAT_VERSION = 2
-TABLES = ("frames", "membership", "bow", "vocab")
+FORMAT_VERSION = 3
+TABLES = ("frames", "membership", "tiles", "bow", "vocab")
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class BuildOptions:
     domains_per_frame: int = 2
     object_min_score: float = bow.MIN_SCORE
     max_object_terms: int = bow.MAX_TERMS
+    tile_rows: int = TILE_ROWS
 
 
 @dataclass(frozen=True)
@@ -47,27 +51,62 @@ class Pca:
         return ((v - np.asarray(self.mean)) @ np.asarray(self.components).T).tolist()
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (n, sums, products) of a task's vectors: their number, sum and the sum of their outer products."""
+    n, sums, products = 0, None, None
+    for b in batches:
+        column = b.column(0)
+        if len(b):
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(b), -1)
+            n, sums, products = n + len(x), x.sum(0) + (0 if sums is None else sums), x.T @ x + (0 if products is None else products)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums]), pa.array([products.ravel()])], names=["n", "sums", "products"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_moments` as one, a row at a time."""
+    total = None
+    for b in batches:
+        for i in range(len(b)):
+            row = [b.column(c)[i].values.to_numpy(zero_copy_only=False) if c else b.column(0)[i].as_py() for c in range(3)]
+            total = row if total is None else [x + y for x, y in zip(total, row)]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1]]), pa.array([total[2]])], names=["n", "sums", "products"])
+
+
+def moments(vectors: DataFrame, ways: int = 16) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, covariance) of the vectors of the first column, in one pass: partial sums of tasks, merged ``ways`` at a time and then all."""
+    ship(vectors.sparkSession)
+    schema = "n bigint, sums array<double>, products array<double>"
+    row = vectors.mapInArrow(_moments, schema).repartition(ways).mapInArrow(_merged, schema).repartition(1).mapInArrow(_merged, schema).first()
+    if row is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    mean = np.asarray(row["sums"]) / row["n"]
+    return row["n"], mean, np.asarray(row["products"]).reshape(len(mean), -1) / row["n"] - np.outer(mean, mean)
+
+
 def fit_pca(frames: DataFrame, rows: int, *, dimensions: int = 24, sample: int = 50_000) -> Pca:
-    """PCA of (position, vector) over evenly spaced positions, of which there are ``rows``; the sample's bound is a parameter."""
+    """PCA of (position, vector) over evenly spaced positions, of which there are ``rows``; the sample's bound is a parameter.
+
+    A component's sign is that which makes its largest value positive.
+    """
     chosen = frames.sparkSession.range(1).select(F.explode(linspace_positions(rows, sample)).alias("position"))
     part = frames.join(F.broadcast(chosen), "position", "left_semi").select(F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    size = part.select(F.size("v")).first()[0]
-    k = min(dimensions, min(rows, sample), size)
+    n, mean, covariance = moments(part)
+    k = min(dimensions, n, len(mean))
     if k < 2:
         raise ValueError("PCA needs two dimensions and two frames at least")
-    mean = part.agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(size)]).alias("m")).first()["m"]
-    model = PCA(k=k, inputCol="x", outputCol="y").fit(part.select(array_to_vector("v").alias("x")))
-    return Pca(list(mean), model.pc.toArray().T.tolist())
+    _, found = np.linalg.eigh(covariance)  # least variance first
+    components = found[:, ::-1][:, :k].T
+    largest = components[np.arange(k), np.abs(components).argmax(1)]
+    return Pca(mean.tolist(), (components * np.sign(largest)[:, None]).tolist())
 
 
 def membership(frames: DataFrame, ids: list[str], n: int = 2) -> DataFrame:
-    """(collection_id, domain_id, position, reduced): each frame in its ``n`` best domains."""
+    """(collection_id, domain_id, position, reduced): each frame in its ``n`` best domains; and ``home`` where the frames have it."""
     names = F.array(*[F.lit(i) for i in ids])
     best = F.transform(best_of_array(F.col("domain_scores"), n), lambda i: F.get(names, i))
-    return frames.select("collection_id", F.explode(best).alias("domain_id"), "position", "reduced")
-
-
-PART_ROWS = 1_000_000
+    return frames.select("collection_id", F.explode(best).alias("domain_id"), "position", "reduced", *[c for c in ("home",) if c in frames.columns])
 
 
 def tree_counts(members: DataFrame, domain_ids: Sequence[str] = ()) -> DataFrame:
@@ -85,11 +124,6 @@ def tree_counts(members: DataFrame, domain_ids: Sequence[str] = ()) -> DataFrame
     return counts.unionByName(every).groupBy("collection_id", "domain_id").agg(F.max("entries").alias("entries"))
 
 
-def spread(rows: int) -> Column:
-    """The piece of its part that a frame is written with, so that a part of any size is dealt to as many tasks as it needs."""
-    return F.pmod(F.xxhash64("position"), F.lit(max(1, -(-rows // PART_ROWS))))
-
-
 def check(frames: DataFrame) -> int:
     """The number of frames; an error names how many break a rule, with examples."""
     size = F.size("vector")
@@ -109,7 +143,7 @@ def check(frames: DataFrame) -> int:
 
 
 def build(
-    manifest: DataFrame, vectors: DataFrame, detections: DataFrame, path: str, encode: Callable[[list[str]], np.ndarray], *,
+    manifest: DataFrame, vectors: DataFrame, detections: DataFrame, path: str, encode: Callable[[list[str]], np.ndarray] | TextEncoder, *,
     catalog: Catalog | None = None, options: BuildOptions | None = None, models: dict | None = None,
 ) -> dict:
     """Writes an index and makes it the current one at ``path``; returns its metadata.
@@ -120,15 +154,19 @@ def build(
     from keysift.sources.versions import publish
 
     spark, catalog, options = manifest.sparkSession, catalog or Catalog(), options or BuildOptions()
-    frames = manifest.join(vectors, ["video_id", "clip_vector_index"], "left")
-    rows = check(frames)
-    prototypes = np.asarray(encode([prompt for _, prompt, _ in catalog.domains]), float)
-    size = frames.select(F.size("vector")).first()[0]
-    if prototypes.shape != (len(catalog.domains), size):
-        raise ValueError(f"prototypes of shape {prototypes.shape}; {(len(catalog.domains), size)} is needed")
-    prototypes = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).tolist()
+    prompts = [prompt for _, prompt, _ in catalog.domains]
+    prototypes = np.asarray(encode_texts(encode, prompts) if hasattr(encode, "load") else encode(prompts), float)
 
     with publish(spark, path) as at:
+        # The join of frames and vectors is written once; all that follows reads it.
+        manifest.join(vectors, ["video_id", "clip_vector_index"], "left").write.parquet(f"{at}/joined")
+        frames = spark.read.parquet(f"{at}/joined")
+        rows = check(frames)
+        size = frames.select(F.size("vector")).first()[0]
+        if prototypes.shape != (len(catalog.domains), size):
+            raise ValueError(f"prototypes of shape {prototypes.shape}; {(len(catalog.domains), size)} is needed")
+        prototypes = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)).tolist()
+
         keys = manifest.select("position", "video_id", "keyframe_number")
         found = keys.join(detections, ["video_id", "keyframe_number"]).select("position", "term", "score")
         bow.bags(found, "position", min_score=options.object_min_score, max_terms=options.max_object_terms).write.parquet(f"{at}/bow")
@@ -138,18 +176,29 @@ def build(
         frames = frames.withColumn("vector", unit(F.col("vector")))
         pca = fit_pca(frames.select("position", "vector"), rows, dimensions=options.pca_dimensions, sample=options.pca_sample_size)
         objects = object_domain_scores(bag, catalog, "position")
+        held = bag.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("objects"))  # ``max_object_terms`` at most
         none = F.array(*[F.lit(0.0)] * len(catalog.domains))
         scores = fused_domain_scores(semantic_domain_scores(F.col("vector"), prototypes), F.coalesce("object_domains", none))
-        frames = frames.join(objects, "position", "left").withColumn("domain_scores", scores).drop("object_domains")
+        frames = frames.join(objects, "position", "left").join(held, "position", "left").withColumn("domain_scores", scores).drop("object_domains")
         frames = frames.withColumn("reduced", pca.reduce(F.col("vector")))
-        # A folder for each collection, in files of some PART_ROWS frames: a collection filter reads its files alone.
-        frames.repartition("collection_id", spread(rows)).sortWithinPartitions("collection_id", "position").write.partitionBy("collection_id").parquet(f"{at}/frames")
+
+        step = max(1, -(-rows // options.pca_sample_size))
+        sample = spark.read.parquet(f"{at}/joined").filter(F.col("position") % step == 0).select(pca.reduce(unit(F.col("vector"))).alias("r"))
+        tree = fit_tree(np.asarray([r["r"] for r in sample.collect()]).reshape(-1, len(pca.components)), rows, options.tile_rows)  # a bounded sample
+        tiled(frames, ["collection_id"], tree, options.tile_rows).write.partitionBy("collection_id", "tile").parquet(f"{at}/frames")
         stored = spark.read.parquet(f"{at}/frames")
-        members = membership(stored, catalog.ids, options.domains_per_frame)
-        members.repartition("collection_id", "domain_id", spread(rows)).write.partitionBy("collection_id", "domain_id").parquet(f"{at}/membership")
-        counts = tree_counts(spark.read.parquet(f"{at}/membership"), catalog.ids).collect()  # a row for each collection and domain
+        members = membership(stored.withColumn("home", F.col("tile")), catalog.ids, options.domains_per_frame)
+        parts = ["collection_id", "domain_id"]
+        tiled(members, parts, tree, options.tile_rows).write.partitionBy(*parts, "tile").parquet(f"{at}/membership")
+        members = spark.read.parquet(f"{at}/membership")
+        own = boxes(stored, ["collection_id"], len(pca.components)).withColumn("domain_id", F.lit(None).cast("string"))
+        both = own.withColumn("grain", F.lit("frames")).unionByName(boxes(members, parts, len(pca.components)).withColumn("grain", F.lit("membership")))
+        both.coalesce(1).write.parquet(f"{at}/tiles")  # a row for each tile
+        remove(spark, f"{at}/joined")
+        counts = tree_counts(members, catalog.ids).collect()  # a row for each collection and domain
         meta = {
             "format_version": FORMAT_VERSION, "created_at": datetime.now(UTC).isoformat(), "record_count": rows, "feature_dimension": size,
+            "vocabulary_count": spark.read.parquet(f"{at}/vocab").count(),
             "pca_dimensions": len(pca.components), "options": asdict(options), "models": models or {}, "prototypes": prototypes,
             "pca": asdict(pca), "domains": [list(d[:2]) + [list(d[2])] for d in catalog.domains], "aliases": catalog.aliases,
             "tree_counts": {tree_key(r["collection_id"], r["domain_id"]): r["entries"] for r in counts},
@@ -174,7 +223,8 @@ class Index:
     meta: dict
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
+    def open(cls, spark: SparkSession, path: str, *, whole: bool = False) -> Index:
+        """The current index at ``path``, after the counts of its tables are held against its metadata; ``whole`` also holds the bags' terms against the vocabulary."""
         from keysift.sources.versions import current
 
         at = current(spark, path)
@@ -184,6 +234,14 @@ class Index:
         found = cls(spark, at, meta)
         if found.frames.count() != meta["record_count"]:
             raise ValueError("the index is incomplete: frames are missing")
+        # The vocabulary is that of the stored bags, each term once with its IDF.
+        terms = found.bow.select("term").distinct().join(found.vocab.select("term", "idf"), "term", "full_outer")
+        used = found.vocab.count()
+        if used != meta["vocabulary_count"] or found.vocab.filter("idf is null").take(1) or (whole and terms.count() != used):
+            raise ValueError("the index is incomplete: the vocabulary and its IDF differ")
+        held = {r["grain"]: r["n"] for r in found.tiles.groupBy("grain").agg(F.sum("rows").alias("n")).collect()}
+        if held.get("frames") != meta["record_count"]:
+            raise ValueError("the index is incomplete: tiles are missing")
         return found
 
     def _table(self, name: str) -> DataFrame:
@@ -197,6 +255,24 @@ class Index:
     def members(self) -> DataFrame:
         return self._table("membership")
 
+    @property
+    def tiles(self) -> DataFrame:
+        return self._table("tiles")
+
+    @property
+    def parts(self) -> DataFrame:
+        """The tiles, each once for every part of the index that it belongs to."""
+        one = F.concat_ws(":", F.lit("collection"), "collection_id")
+        of_frames = F.array(F.lit(tree_key(None, None)), one)
+        of_members = F.array(F.concat_ws(":", F.lit("domain"), "domain_id"), F.concat_ws(":", F.lit("collection_domain"), "collection_id", "domain_id"))
+        return self.tiles.withColumn("part", F.explode(F.when(F.col("grain") == "frames", of_frames).otherwise(of_members)))
+
+    @property
+    def points(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        """Of each grain its points and what its folders are named by."""
+        frames = self.frames.select("collection_id", "tile", "position", F.col("tile").alias("home"), "reduced")
+        return {"frames": (frames, ["collection_id", "tile"]), "membership": (self.members, ["collection_id", "domain_id", "tile"])}
+
     @property
     def bow(self) -> DataFrame:
         return self._table("bow")

@@ -11,12 +11,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.functions.encoder import TextEncoder, encode_texts
 from keysift.functions.matching import best_match
 from keysift.functions.vector import constant, cosine01, l2
-from keysift.operators import bow
+from keysift.operators import bow, spatial
 from keysift.operators.domains import Route, analyze, best_of_array, clip_prompt, route
 from keysift.operators.index import Index, tree_key
+from keysift.sources.shared import stored
 
+Encoding = Callable[[list[str]], np.ndarray] | TextEncoder
 CLIP, OBJECT, DOMAIN = 0.82, 0.12, 0.06
 MAX_QUERY, MAX_COLLECTIONS, MAX_TOP = 500, 50, 100
 TAG = re.compile(r"#(L\d+)\b", re.IGNORECASE)
@@ -47,7 +50,7 @@ def first_seen(found: DataFrame) -> DataFrame:
 
 
 def candidates(index: Index, query_reduced: Sequence[float], domain_ids: Sequence[str], collections: Sequence[str], candidate_k: int) -> tuple[DataFrame, DataFrame]:
-    """(found, trace): found has (ord, position, place, is_new); trace has a row for each part that was asked.
+    """(found, trace): found has (ord, position, collection_id, home, place, is_new); trace has a row for each part that was asked.
 
     Parts that the index doesn't have, or that have no frame, are dropped before the budget is shared out.
     """
@@ -59,17 +62,11 @@ def candidates(index: Index, query_reduced: Sequence[float], domain_ids: Sequenc
     fallback = [x for x in fallback if counts.get(tree_key(*x))]
     per_part, per_fallback = budgets(candidate_k, len(routed))
     spark = index.spark
-    found = spark.createDataFrame([], "ord int, position bigint, place int")
-    for i, (collection, domain) in enumerate(routed + fallback):
-        # Filters by literals on partition columns: only the part's own files are read.
-        table = index.members if domain is not None else index.frames.select("collection_id", "position", "reduced")
-        if collection is not None:
-            table = table.filter(F.col("collection_id") == collection)
-        if domain is not None:
-            table = table.filter(F.col("domain_id") == domain)
-        near = nearest(table.select("position", "reduced", F.lit(i).alias("ord")), query_reduced, "ord", per_part if i < len(routed) else per_fallback)
-        found = found.unionByName(near.select("ord", "position", "place"))
-    found = first_seen(found)
+    most = [per_part] * len(routed) + [per_fallback] * len(fallback)
+    rows = [(i, tree_key(*x), list(map(float, query_reduced)), k) for i, (x, k) in enumerate(zip(routed + fallback, most))]
+    asks = spark.createDataFrame(rows, "ask int, part string, query array<double>, k int")
+    found = spatial.nearest(asks, index.parts, index.points).withColumnRenamed("ask", "ord")
+    found = first_seen(found.select("ord", "position", "collection_id", "home", "place"))
     asked = [
         (i, tree_key(*x), "routed" if i < len(routed) else "fallback", counts[tree_key(*x)], per_part if i < len(routed) else per_fallback)
         for i, x in enumerate(routed + fallback)
@@ -92,28 +89,40 @@ def fuse(clip: Column, objects: Column, domain: Column) -> Column:
     return CLIP * clip + OBJECT * objects + DOMAIN * domain
 
 
+def at_home(index: Index, found: DataFrame) -> DataFrame:
+    """The frames of (collection_id, home, position); only the tiles that they lie in are opened."""
+    wanted = found.select("collection_id", F.col("home").alias("tile"), "position").distinct()
+    keys = ["collection_id", "tile"]
+    return spatial.named(index.frames, wanted, keys).join(wanted, [*keys, "position"], "left_semi")
+
+
 def rerank(index: Index, query_vector: Sequence[float], r: Route, positions: DataFrame, top_k: int) -> DataFrame:
     """The ``top_k`` best of the candidate positions by vector, objects and domain; ties by position."""
     q = np.asarray(query_vector, float)
     q = q / max(float(np.linalg.norm(q)), 1e-12)
-    frames = index.frames.join(positions.select("position"), "position", "left_semi")
+    frames = at_home(index, positions)
     weights = constant([r.scores[i] for i in index.catalog.ids])
     frames = frames.withColumn("clip_score", cosine01(F.col("vector"), constant(q)))
     frames = frames.withColumn("domain_score", F.array_max(F.zip_with("domain_scores", weights, lambda s, w: s * w)))
-    hits = index.bow.join(positions.select("position"), "position", "left_semi")
+    hits = frames.select("position", F.inline("objects"))
     scores = bow.object_scores(hits, index.vocab.select("term", "idf"), query_terms(index, r), "position")
     frames = frames.join(scores, "position", "left").withColumn("object_score", F.coalesce("object_score", F.lit(0.0)))
     frames = frames.withColumn("score", fuse(F.col("clip_score"), F.col("object_score"), F.col("domain_score")))
     return frames.orderBy(F.desc("score"), "position").limit(top_k)
 
 
+def video_file() -> Column:
+    """The path of a frame's video, by its id where the manifest has none."""
+    return F.coalesce(F.nullif("video_path", F.lit("")), F.format_string("videos/%s.mp4", "video_id"))
+
+
 def project(ranked: DataFrame, catalog_ids: Sequence[str], routed: Sequence[str]) -> DataFrame:
     """The result rows of a search, in rank order; the ranked rows are at most ``MAX_TOP``."""
     names = F.array(*[F.lit(i) for i in catalog_ids])
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "position"))
     return ranked.select(
         rank.alias("rank"), "keyframe_id", "collection_id", "video_id", "keyframe_number", "clip_vector_index", "frame_number", "timestamp_ms",
-        "image_path", F.coalesce(F.nullif("video_path", F.lit("")), F.format_string("videos/%s.mp4", "video_id")).alias("video_path"), "score",
+        "image_path", video_file().alias("video_path"), "score",
         F.transform(best_of_array(F.col("domain_scores"), 2), lambda i: F.get(names, i)).alias("domains"),
         F.coalesce("matched", F.array().cast("array<string>")).alias("matched_objects"),
         F.create_map(F.lit("clip"), "clip_score", F.lit("object_bow"), "object_score", F.lit("domain"), "domain_score").alias("score_components"),
@@ -143,20 +152,21 @@ def read_request(query: str, collections: Sequence[str] = (), top_k: int = MAX_T
     return Request(clean, tuple(dict.fromkeys([*given, *tags])), top_k)
 
 
-def prepare(index: Index, query: str, encode: Callable[[list[str]], np.ndarray]) -> tuple[str, list[float], Route]:
+def prepare(index: Index, query: str, encode: Encoding) -> tuple[str, list[float], Route]:
     """The prompt, its vector and the route of a query without tags."""
     analysis = analyze(index.spark, query)
     prompt = clip_prompt(index.catalog, query, analysis)
-    vector = np.asarray(encode([prompt]), float)[0]
+    vector = np.asarray(encode_texts(encode, [prompt]) if hasattr(encode, "load") else encode([prompt]), float)[0]
     return prompt, vector.tolist(), route(index.catalog, index.meta["prototypes"], analysis, vector)
 
 
-def search(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> DataFrame:
+def search(index: Index, query: str, encode: Encoding, *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> DataFrame:
     """The frames that match a query best, in rank order; the request is read by :func:`read_request`."""
     asked = read_request(query, collections, top_k)
     _, vector, r = prepare(index, asked.query, encode)
     found, _ = candidates(index, index.pca.reduce_query(vector), r.domain_ids, asked.collections, candidate_budget(top_k))
-    ranked = rerank(index, vector, r, found.filter("is_new"), top_k)
+    found = stored(found.filter("is_new").select("collection_id", "home", "position"), "candidates")
+    ranked = rerank(index, vector, r, found, top_k)
     return project(ranked, index.catalog.ids, r.domain_ids)
 
 
@@ -178,7 +188,7 @@ def function_at(path: str) -> Callable:
         raise LookupError(f"no function can be loaded at {path}") from e
 
 
-def inspect(index: Index, query: str, encode: Callable[[list[str]], np.ndarray], *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> dict:
+def inspect(index: Index, query: str, encode: Encoding, *, collections: Sequence[str] = (), top_k: int = MAX_TOP) -> dict:
     """How a query is read, routed and searched for, without the rerank."""
     asked = read_request(query, collections, top_k)
     prompt, vector, r = prepare(index, asked.query, encode)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keysift.functions import text, vector
 from keysift.functions.matching import best_match
 from keysift.operators import bow, domains, prepare
-from keysift.operators.index import fit_pca, tree_counts as count_trees
+from keysift.operators.index import tree_counts as count_trees
 from keysift.operators.search import CLIP, DOMAIN, OBJECT, budgets, first_seen, fuse, nearest
 from keysift.plans.standin import QUERY_ID, ROUTED, frames, prototypes, query_vector, table
 from keysift.sources.dataset import package_group, parse_detections, positions
@@ -35,11 +35,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    from keysift.plans import search_queries  # noqa: F401  registers its queries as well
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -573,14 +579,6 @@ def manifest_rules(spark, sf_dir):
     return prepare.manifest_errors(rows, images)
 
 
-@query()
-def pca_project(spark, sf_dir):
-    """Each frame in the space of eight principal components; their signs are arbitrary, so magnitudes are returned."""
-    df = frames(spark, sf_dir).select("position", "vector")
-    pca = fit_pca(df, df.count(), dimensions=8)
-    return df.select("position", F.posexplode(pca.reduce(F.col("vector"))).alias("component", "value")).select("position", "component", r6(F.abs("value")).alias("magnitude"))
-
-
 def _toy(spark, sf_dir):
     """An index over the test tables at a new place of the session's, and the encoder of its queries."""
     import tempfile
