@@ -30,12 +30,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysift.llm.encoding import ENTRY
 from keysift.ship import ship
 
 K1, B = 1.2, 0.75
@@ -44,7 +46,8 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 4
 BLOCK_CHARS = 4_000_000
-MEMO = 300_000
+MEMO = 64 << 20  # bytes of tokens that a worker remembers the terms of
+KEEP = 40  # characters of the longest of them
 CELLS = 1 << 16
 SPREAD = 8
 
@@ -197,13 +200,14 @@ class _Terms(dict):
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.room = vocabulary, MEMO
 
     def __missing__(self, token: str) -> int:
         word = normal(token)
         term = self.vocabulary.get(word, -1) if word else -2
-        if len(self) < MEMO:
+        if len(token) <= KEEP and self.room > 0:
             self[token] = term
+            self.room -= getsizeof(token) + ENTRY
         return term
 
 
@@ -245,18 +249,27 @@ def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[In
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
         own = items.filter(block == k)
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"], r["item_id"]) for r in own.collect())
+        rows = sorted((r["item_id"] is not None, r["item_id"] if r["item_id"] is not None else 0, r["text"], r["item_id"]) for r in own.collect())
         ours = own.select("text").mapInArrow(run, "text string, words array<string>").select(F.explode("words").alias("w")).distinct()
         counts = {r["w"]: r["count"] for r in frequency.join(ours, "w").collect()}
         if rows:
-            yield Index([(i, t) for _, t, i in rows], counts, total, average)
+            yield Index([(i, t) for _, _, t, i in rows], counts, total, average)
+
+
+_KINDS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, score, question_overlap, answer_overlap) of each item in each document."""
+    """(doc_id, item_id, first_word, n_words, score, question_overlap, answer_overlap) of each item in each document.
+
+    An item's id is a whole number or text; one of another type is given as text.
+    """
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
     item = benchmark.schema["item_id"].dataType.simpleString()
+    if item not in _KINDS:
+        item, benchmark = "string", benchmark.withColumn("item_id", F.col("item_id").cast("string"))
+    kind = _KINDS[item]
     schema = f"doc_id {key}, item_id {item}, first_word bigint, n_words bigint, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark, block_chars):
@@ -271,7 +284,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD,
                     rows += [(r, *h) for h in search(index, term_of, text, threshold, overlap)]
                 if rows:
                     r, d, *rest = zip(*rows)
-                    columns = [ids.take(pa.array(r, pa.int64())), pa.array([index.ids[x] for x in d], pa.int64())]
+                    columns = [ids.take(pa.array(r, pa.int64())), pa.array([index.ids[x] for x in d], kind)]
                     columns += [pa.array(x, t) for x, t in zip(rest, [pa.int64()] * 2 + [pa.float64()] * 3)]
                     names = ["doc_id", "item_id", "first_word", "n_words", "score", "question_overlap", "answer_overlap"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)

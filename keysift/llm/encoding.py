@@ -3,15 +3,19 @@
 Both vocabularies cut a text before a space that is followed by another
 character than white space (whatever precedes it), so the ids of a text are the
 ids of its pieces one after another.  Each worker keeps the ids of the pieces it
-has met, up to a bound, and asks the library for all others.
+has met, up to a bound in bytes, and asks the library for all others.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from sys import getsizeof
 
-MEMO = 600_000  # pieces that a worker remembers
+MEMO = 128 << 20  # bytes of pieces and ids that a worker remembers
+KEEP = 40  # characters of the longest piece that is worth it: longer ones, such as texts without spaces, hardly come again
+
+ENTRY = 100  # bytes of a dictionary's entry
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
@@ -39,7 +43,7 @@ class _Memo(dict):
 
     def __init__(self, tokenizer, lead: str, kind: str):
         super().__init__()
-        self.tokenizer, self.lead, self.kind = tokenizer, lead, kind
+        self.tokenizer, self.lead, self.kind, self.room = tokenizer, lead, kind, MEMO
         self.model, self.normalizer = tokenizer.model, tokenizer.normalizer
         self.marks = {m: self._whole(m) for m in ".,"}
 
@@ -62,8 +66,9 @@ class _Memo(dict):
             ids += self.marks[piece[-1]]
         if ids is None:
             ids = self._whole(self.lead + piece)
-        if len(self) < MEMO:
+        if len(piece) <= KEEP and self.room > 0:
             self[piece] = ids
+            self.room -= getsizeof(piece) + getsizeof(ids) + ENTRY
         return ids
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from test_operators import SCHEMA, odd, none  # noqa: F401
 
-from keysift.llm import divergence, prefixes, substrings
+from keysift.llm import decontamination, divergence, encoding, prefixes, substrings
 
 # 11 source divergence
 
@@ -287,3 +287,39 @@ def test_substrings_keep_texts_and_refuse_odd_sizes(spark, odd, none):  # noqa:
     for bad in ((200, 24, 16), (40, 32, 16), (40, 4, 1)):
         with pytest.raises(ValueError):
             substrings.Strings(*bad)
+
+
+# Bounds and types of earlier operators
+
+
+def test_memos_are_bounded_by_bytes():
+    import sys
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    memo = encoding._Memo(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "", "byte")
+    rng = random.Random(4)
+    for _ in range(400):  # texts without a space: pieces that hardly come again
+        memo["".join(rng.choices("汉字表达很长的一段没有空格", k=300))]
+    assert not memo
+    memo.room = 20_000
+    for i in range(2000):
+        memo[f"w{i}"]
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in memo.items())
+    assert 0 < len(memo) < 200 and held < 20_000
+    terms = decontamination._Terms({"a": 0})
+    for i in range(300):
+        terms["x" * 50 + str(i)]
+    assert not terms and terms["a"] == 0 and len(terms) == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double"])
+def test_items_of_any_id(spark, kind):
+    text = " ".join(f"word{i}" for i in range(40)) + "?\n\nAnswer: " + " ".join(f"reply{i}" for i in range(12))
+    ids = {"string": ["b-1", None], "int": [7, None], "double": [2.5, None]}[kind]
+    benchmark = spark.createDataFrame([(i, text) for i in ids], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "nothing of it")], "doc_id long, text string")
+    got = decontamination.hits(docs, benchmark)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect() if r["item_id"] is not None) == [(1, ids[0] if kind != "double" else "2.5")]
+    assert {r["doc_id"] for r in got.collect()} == {1}
