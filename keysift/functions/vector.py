@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,15 @@ FLOOR = 1e-12
 
 
 def constant(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """The values as one literal array: written as text and folded, so that a plan doesn't carry an expression for each."""
+    if not len(values):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def matrix(rows: Sequence[Sequence[float]]) -> Column:
+    """The rows as one literal array of arrays."""
+    return F.from_json(F.lit(json.dumps([[float(v) for v in row] for row in rows])), "array<array<double>>")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keysift.functions import taxonomy
 from keysift.functions.matching import MINIMUM, best_of
 from keysift.functions.text import candidates, normalize, tokens, variants
-from keysift.functions.vector import constant, cosine01
+from keysift.functions.vector import cosine01, matrix
 
 LEXICAL_WEIGHT = 0.65
 MAX_DOMAINS = 3
@@ -134,8 +134,8 @@ def object_domain_scores(objects: DataFrame, catalog: Catalog, key: str) -> Data
 
 
 def semantic_domain_scores(vector: Column, prototypes: list[list[float]]) -> Column:
-    """The cosine of a unit vector with each unit prototype, from 0 to 1, as an array; a few prototypes are literals of the plan."""
-    return F.array(*[cosine01(vector, constant(p)) for p in prototypes])
+    """The cosine of a unit vector with each unit prototype, from 0 to 1, as an array; a few prototypes are one literal of the plan."""
+    return F.transform(matrix(prototypes), lambda p: cosine01(vector, p))
 
 
 def fused_domain_scores(semantic: Column, objects: Column) -> Column:

@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keysift.functions.encoder import TextEncoder, encode_texts
-from keysift.functions.vector import constant, dot, linspace_positions, unit, valid
+from keysift.functions.text import let
+from keysift.functions.vector import constant, dot, linspace_positions, matrix, unit, valid
 from keysift.operators import bow
-from keysift.operators.domains import Catalog, best_of_array, fused_domain_scores, object_domain_scores, semantic_domain_scores
+from keysift.operators.domains import Catalog, best_of_array, fused_domain_scores, object_domain_scores
 from keysift.operators.spatial import TILE_ROWS, boxes, fit_tree, tiled
 from keysift.ship import ship
 from keysift.sources.shared import remove
@@ -42,7 +44,7 @@ class Pca:
     def reduce(self, vector: Column) -> Column:
         """The centred vector in the space of the components."""
         centred = F.zip_with(vector, constant(self.mean), lambda x, m: x.cast("double") - m)
-        return F.array(*[dot(centred, constant(c)) for c in self.components])
+        return let(centred, lambda v: F.transform(matrix(self.components), lambda c: dot(v, c)))
 
     def reduce_query(self, vector) -> list[float]:
         v = np.asarray(vector, float).reshape(-1)
@@ -102,6 +104,29 @@ def fit_pca(frames: DataFrame, rows: int, *, dimensions: int = 24, sample: int =
     return Pca(mean.tolist(), (components * np.sign(largest)[:, None]).tolist())
 
 
+def projected(frames: DataFrame, prototypes: Sequence[Sequence[float]], pca: Pca) -> DataFrame:
+    """``frames`` with ``vector`` of length 1, its cosine with each prototype (from 0 to 1) as ``semantic`` and ``reduced``: matrix products, a batch at a time."""
+    own, mean, components = (np.asarray(x, np.float64) for x in (prototypes, pca.mean, pca.components))
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("vector")
+            for i in range(0, len(b), 2048):
+                part = b.slice(i, 2048)
+                x = part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                new = [lists(x), lists((np.clip(x @ own.T, -1, 1) + 1) / 2), lists((x - mean) @ components.T)]
+                kept = [c for k, c in enumerate(part.columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=[*(n for n in part.schema.names if n != "vector"), "vector", "semantic", "reduced"])
+
+    ship(frames.sparkSession)
+    doubles = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("vector", "semantic", "reduced")]
+    return frames.mapInArrow(run, T.StructType([f for f in frames.schema.fields if f.name != "vector"] + doubles))
+
+
 def membership(frames: DataFrame, ids: list[str], n: int = 2) -> DataFrame:
     """(collection_id, domain_id, position, reduced): each frame in its ``n`` best domains; and ``home`` where the frames have it."""
     names = F.array(*[F.lit(i) for i in ids])
@@ -173,18 +198,20 @@ def build(
         bag = spark.read.parquet(f"{at}/bow")
         bow.idf(bow.document_frequency(bag), rows).write.parquet(f"{at}/vocab")
 
-        frames = frames.withColumn("vector", unit(F.col("vector")))
-        pca = fit_pca(frames.select("position", "vector"), rows, dimensions=options.pca_dimensions, sample=options.pca_sample_size)
+        sample = frames.select("position", unit(F.col("vector")).alias("vector"))
+        pca = fit_pca(sample, rows, dimensions=options.pca_dimensions, sample=options.pca_sample_size)
         objects = object_domain_scores(bag, catalog, "position")
         held = bag.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("objects"))  # ``max_object_terms`` at most
         none = F.array(*[F.lit(0.0)] * len(catalog.domains))
-        scores = fused_domain_scores(semantic_domain_scores(F.col("vector"), prototypes), F.coalesce("object_domains", none))
-        frames = frames.join(objects, "position", "left").join(held, "position", "left").withColumn("domain_scores", scores).drop("object_domains")
-        frames = frames.withColumn("reduced", pca.reduce(F.col("vector")))
+        frames = projected(frames, prototypes, pca).join(objects, "position", "left").join(held, "position", "left")
+        frames = frames.withColumn("domain_scores", fused_domain_scores(F.col("semantic"), F.coalesce("object_domains", none))).drop("object_domains", "semantic")
+        frames.write.parquet(f"{at}/scored")  # tiles are counted before they are dealt
+        frames = spark.read.parquet(f"{at}/scored")
+        remove(spark, f"{at}/joined")
 
         step = max(1, -(-rows // options.pca_sample_size))
-        sample = spark.read.parquet(f"{at}/joined").filter(F.col("position") % step == 0).select(pca.reduce(unit(F.col("vector"))).alias("r"))
-        tree = fit_tree(np.asarray([r["r"] for r in sample.collect()]).reshape(-1, len(pca.components)), rows, options.tile_rows)  # a bounded sample
+        sample = [r["reduced"] for r in frames.filter(F.col("position") % step == 0).select("reduced").collect()]  # a bounded sample
+        tree = fit_tree(np.asarray(sample).reshape(-1, len(pca.components)), rows, options.tile_rows)
         tiled(frames, ["collection_id"], tree, options.tile_rows).write.partitionBy("collection_id", "tile").parquet(f"{at}/frames")
         stored = spark.read.parquet(f"{at}/frames")
         members = membership(stored.withColumn("home", F.col("tile")), catalog.ids, options.domains_per_frame)
@@ -194,7 +221,7 @@ def build(
         own = boxes(stored, ["collection_id"], len(pca.components)).withColumn("domain_id", F.lit(None).cast("string"))
         both = own.withColumn("grain", F.lit("frames")).unionByName(boxes(members, parts, len(pca.components)).withColumn("grain", F.lit("membership")))
         both.coalesce(1).write.parquet(f"{at}/tiles")  # a row for each tile
-        remove(spark, f"{at}/joined")
+        remove(spark, f"{at}/scored")
         counts = tree_counts(members, catalog.ids).collect()  # a row for each collection and domain
         meta = {
             "format_version": FORMAT_VERSION, "created_at": datetime.now(UTC).isoformat(), "record_count": rows, "feature_dimension": size,

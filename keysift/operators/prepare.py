@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysift.functions.text import collection_of, frame_id
 from keysift.functions.vector import half_even_ms
 from keysift.sources import dataset
 
+EXAMPLES = 1000  # rows of a kind that a report on the driver names; all are in its tables
 SOURCES = {"keyframes": None, "map-keyframes": ".csv", "media-info": ".json", "objects": None, "clip-features-32": ".npy"}  # None: folders
 
 
@@ -53,6 +54,40 @@ def differences(left: DataFrame, right: DataFrame, key: str, member: str) -> Dat
     return sides[0].unionByName(sides[1])
 
 
+def collection_report(manifest: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(problem, collection_id, video_id, n): all that a collection map has otherwise than the manifest.
+
+    ``manifest``: (collection_id, video_id); ``mapped``: (entry, collection_id, video_id), a row for each video of each of the
+    map's entries, with a null video for an entry without videos.  Every problem is a row of its own, so a collection of any
+    size is compared by keys and never gathered.
+    """
+    none = F.lit(None).cast("string")
+    video = F.col("video_id").cast("string").alias("video_id")
+
+    def rows(df: DataFrame, problem: str, collection=none, video=none, n=F.lit(1)) -> DataFrame:
+        return df.select(F.lit(problem).alias("problem"), collection.alias("collection_id"), video.alias("video_id"), n.cast("long").alias("n"))
+
+    own, listed = manifest.select("collection_id", video).distinct(), mapped.filter("video_id is not null").select("entry", "collection_id", video)
+    entries = mapped.groupBy("collection_id").agg(F.count_distinct("entry").alias("n"))
+    uses = listed.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    collections_, videos = own.select("collection_id").distinct(), own.select("video_id").distinct()
+    c, v, n = F.col("collection_id"), F.col("video_id"), F.col("n")
+    out = rows(entries.filter("n > 1"), "repeated collection", c, n=n).unionByName(rows(uses.filter("n > 1"), "repeated video", video=v, n=n))
+    out = out.unionByName(rows(collections_.join(entries, "collection_id", "left_anti"), "missing collection", c))
+    out = out.unionByName(rows(entries.join(collections_, "collection_id", "left_anti"), "extra collection", c))
+    out = out.unionByName(rows(videos.join(uses, "video_id", "left_anti"), "missing video", video=v))
+    out = out.unionByName(rows(uses.join(videos, "video_id", "left_anti"), "extra video", video=v))
+    sides = differences(own, listed, "collection_id", "video_id")
+    named = F.when(F.col("side") == "left", "missing in collection").otherwise("extra in collection")
+    return out.unionByName(sides.select(named.alias("problem"), c, v, F.lit(1).cast("long").alias("n")))
+
+
+def read_collections(spark: SparkSession, path: str) -> DataFrame:
+    """(entry, collection_id, video_id) of a collection map as :func:`write_collections` writes it."""
+    raw = spark.read.schema("collection_id string, videos array<string>").json(path).withColumn("entry", F.monotonically_increasing_id())
+    return raw.select("entry", "collection_id", F.explode_outer("videos").alias("video_id"))
+
+
 def write_collections(manifest: DataFrame, path: str) -> None:
     """Writes the videos of each collection as JSON, a line for each collection."""
     collections(manifest).write.mode("overwrite").json(path)
@@ -90,8 +125,11 @@ class Report:
     counts: dict[str, int] = field(default_factory=dict)
     collections: dict[str, int] = field(default_factory=dict)
     common: int = 0
-    missing: dict[str, list[str]] = field(default_factory=dict)
+    missing: dict[str, list[str]] = field(default_factory=dict)  # the first EXAMPLES of each source
+    missing_counts: dict[str, int] = field(default_factory=dict)
+    missing_ids: DataFrame | None = None  # (source, id): all of them
     errors: list[str] = field(default_factory=list)
+    error_rows: DataFrame | None = None  # (error): all that a deep scan found
 
     @property
     def valid(self) -> bool:
@@ -107,11 +145,15 @@ def scan(spark: SparkSession, root: str, *, deep: bool = False) -> Report:
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.persist()
     report.errors += [f"no video in {name}" for name, n in report.counts.items() if not n]
-    for r in missing_ids(ids).groupBy("source").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect():
-        report.missing[r["source"]] = r["ids"]
-    for name, n in report.counts.items():
-        if not n and any(report.counts.values()):
-            report.missing[name] = sorted(r[0] for r in ids.select("id").distinct().collect())
+    lacking = missing_ids(ids)
+    for name in [name for name, n in report.counts.items() if not n]:  # a source without ids is in no row
+        lacking = lacking.unionByName(ids.select(F.lit(name).alias("source"), "id").distinct())
+    report.missing_ids = lacking
+    first = F.row_number().over(Window.partitionBy("source").orderBy("id"))
+    for r in lacking.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each source
+        report.missing_counts[r["source"]] = r["n"]
+    for r in lacking.withColumn("k", first).filter(F.col("k") <= EXAMPLES).orderBy("source", "k").collect():
+        report.missing.setdefault(r["source"], []).append(r["id"])
     for r in per_collection(ids.select(F.col("id").alias("video_id"))).orderBy("collection_id").collect():
         if r["collection_id"] is None:
             report.errors.append(f"{r['videos']} video ids without a collection")
@@ -124,7 +166,9 @@ def scan(spark: SparkSession, root: str, *, deep: bool = False) -> Report:
     elif not report.common:
         report.errors.append("no video that all sources have")
     if deep and report.common:
-        report.errors += [r["error"] for r in unequal(spark, root, common).orderBy("error").collect()]
+        report.error_rows = unequal(spark, root, common)
+        found = [r["error"] for r in report.error_rows.orderBy("error").limit(EXAMPLES + 1).collect()]
+        report.errors += found[:EXAMPLES] + ["and more of the kind"] * (len(found) > EXAMPLES)
     return report
 
 

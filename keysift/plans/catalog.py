@@ -14,7 +14,8 @@ from keysift.operators import bow, domains, prepare
 from keysift.operators.index import tree_counts as count_trees
 from keysift.operators.search import CLIP, DOMAIN, OBJECT, budgets, first_seen, fuse, nearest
 from keysift.plans.standin import QUERY_ID, ROUTED, frames, prototypes, query_vector, table
-from keysift.sources.dataset import package_group, parse_detections, positions
+from keysift.sources.dataset import check_records, package_group, parse_detections, positions
+from keysift.sources.shared import place, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -179,35 +180,37 @@ def tree_counts(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    """Candidates of one collection by three domains and the collection as a whole: (ord, position, place, is_new)."""
-    members = _members(spark, sf_dir).filter("collection_id = 'L21'")
+    """Candidates of each collection by three domains and the collection as a whole: (collection_id, ord, position, place, is_new)."""
     q = query_vector(frames(spark, sf_dir))
     routed, fallback = budgets(CANDIDATES, len(ROUTED))
-    parts = members.filter(F.col("domain").isin(*ROUTED)).select("position", F.col("domain").alias("ord"), F.col("vector").alias("reduced"))
-    whole = frames(spark, sf_dir).filter("collection_id = 'L21'").select("position", F.lit(len(ROUTED)).alias("ord"), F.col("vector").alias("reduced"))
+    point = ["collection_id", "position", F.col("vector").alias("reduced")]
+    parts = _members(spark, sf_dir).filter(F.col("domain").isin(*ROUTED)).select(*point, F.col("domain").alias("ord"))
+    whole = frames(spark, sf_dir).select(*point, F.lit(len(ROUTED)).alias("ord"))
     most = F.when(F.col("ord") == len(ROUTED), fallback).otherwise(routed)
-    return first_seen(nearest(parts.unionByName(whole), q, "ord", most).select("ord", "position", "place"))
+    points = parts.unionByName(whole).withColumn("part", F.concat_ws(":", "collection_id", "ord"))
+    return first_seen(nearest(points, q, "part", most).select("collection_id", "ord", "position", "place"))
 
 
 _CANDIDATES = f"""
 {_FRAMES}, {_PROTOTYPES},
-part as (select label as ord, position from best where collection_id = 'L21' and label in {ROUTED}
-         union all select {len(ROUTED)}, position from f where collection_id = 'L21'),
-near as (select ord, part.position, rank() over (partition by ord order by {_DISTANCE}) as place from part join f using (position), q
+part as (select collection_id, label as ord, position from best where label in {ROUTED} union all select collection_id, {len(ROUTED)}, position from f),
+near as (select part.collection_id, ord, part.position, rank() over (partition by part.collection_id, ord order by {_DISTANCE}) as place
+         from part join f using (position), q
          qualify place <= case when ord = {len(ROUTED)} then {max(CANDIDATES // 3, 50)} else {CANDIDATES // len(ROUTED)} end),
 found as (select *, row_number() over (partition by position order by ord, place) = 1 as is_new from near)
 """
 
 
-@query(f"with {_CANDIDATES} select ord, count(*) as returned, count(*) filter (is_new) as new_unique_candidates from found group by ord")
+@query(f"with {_CANDIDATES} select collection_id, ord, count(*) as returned, count(*) filter (is_new) as new_unique_candidates from found group by all")
 def candidate_trace(spark, sf_dir):
     found = _found(spark, sf_dir)
-    return found.groupBy("ord").agg(F.count(F.lit(1)).alias("returned"), F.count_if("is_new").alias("new_unique_candidates"))
+    return found.groupBy("collection_id", "ord").agg(F.count(F.lit(1)).alias("returned"), F.count_if("is_new").alias("new_unique_candidates"))
 
 
-@query(f"with {_CANDIDATES} select position, ord as first_part, place from found where is_new")
+@query(f"with {_CANDIDATES} select collection_id, position, ord as first_part, place from found where is_new")
 def fallback_union_dedupe(spark, sf_dir):
-    return _found(spark, sf_dir).filter("is_new").select("position", F.col("ord").alias("first_part"), F.col("place").cast("long").alias("place"))
+    found = _found(spark, sf_dir).filter("is_new")
+    return found.select("collection_id", "position", F.col("ord").alias("first_part"), F.col("place").cast("long").alias("place"))
 
 
 # Text of documents as the engine normalises it.
@@ -267,13 +270,18 @@ def term_df(spark, sf_dir):
     return bow.document_frequency(bow.bags(_detections(spark, sf_dir), "doc_id"))
 
 
+def _bag(spark, sf_dir):
+    """The bags of all documents, written once, as the index does."""
+    return stored(bow.bags(_detections(spark, sf_dir), "doc_id"), "bag")
+
+
 def _idf(spark, sf_dir, bag):
     return bow.idf(bow.document_frequency(bag), table(spark, sf_dir, "documents").count())
 
 
 @query(f"with {_IDF} select term, df, round(idf, 6) as idf from idf")
 def term_idf(spark, sf_dir):
-    return _idf(spark, sf_dir, bow.bags(_detections(spark, sf_dir), "doc_id")).select("term", "df", r6("idf").alias("idf"))
+    return _idf(spark, sf_dir, _bag(spark, sf_dir)).select("term", "df", r6("idf").alias("idf"))
 
 
 # Fixed terms in the role of the vocabulary that a query has matched.
@@ -288,7 +296,7 @@ obj as (select doc_id, least(1, max(w) + 0.1::double * (count(*) - 1)) as object
 
 
 def _objects(spark, sf_dir):
-    bag = bow.bags(_detections(spark, sf_dir), "doc_id")
+    bag = _bag(spark, sf_dir)
     wanted = spark.createDataFrame(list(_WANTED), "term string, score double")
     return bow.object_scores(bag, _idf(spark, sf_dir, bag), wanted, "doc_id")
 
@@ -432,11 +440,15 @@ def fuzzy_vocab_match(spark, sf_dir):
     return best_match(pairs.withColumn("name", F.col("candidate")), ["name", "target"])
 
 
-@query("select source, count(*) as n_docs, md5(array_to_string(list(doc_id order by doc_id), ' ')) as ids_md5 from (select distinct source, doc_id from documents) group by source")
+# Members are told by a sum of hashes, which is the same in any order, so that no collection is gathered in one row.
+_HASH = "('0x' || substr(md5({}::varchar), 1, 8))::bigint"
+
+
+@query(f"select source, count(*) as n_docs, sum({_HASH.format('doc_id')})::bigint as ids_sum from (select distinct source, doc_id from documents) group by source")
 def collection_sets(spark, sf_dir):
-    df = prepare.collections(table(spark, sf_dir, "documents").select(F.col("source").alias("collection_id"), F.col("doc_id").alias("video_id")))
-    ids = F.array_join(F.transform("videos", lambda v: v.cast("string")), " ")
-    return df.select(F.col("collection_id").alias("source"), F.size("videos").cast("long").alias("n_docs"), F.md5(ids).alias("ids_md5"))
+    members = table(spark, sf_dir, "documents").select("source", "doc_id").distinct()
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return members.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(number).alias("ids_sum"))
 
 
 def _sources(spark, sf_dir):
@@ -462,20 +474,73 @@ def common_ids(spark, sf_dir):
     return prepare.common_ids(_sources(spark, sf_dir), 4)
 
 
-@query("""
-with l as (select distinct source, doc_id from documents where doc_id % 3 <> 0),
-r as (select distinct source, doc_id from documents join labels using (doc_id)),
+@query(f"""
+with x as (select source, doc_id, quality, toxic from documents join labels using (doc_id)),
+l as (select distinct source, doc_id from x where quality = 1), r as (select distinct source, doc_id from x where toxic = 0),
+d as (select *, 'left' as side from (select * from l except select * from r) union all select *, 'right' from (select * from r except select * from l)),
 k as (select source from l union select source from r)
-select source, (select coalesce(array_to_string(list(doc_id order by doc_id), ' '), '') from (select doc_id from l where l.source = k.source except select doc_id from r where r.source = k.source)) as only_left,
-       (select coalesce(array_to_string(list(doc_id order by doc_id), ' '), '') from (select doc_id from r where r.source = k.source except select doc_id from l where l.source = k.source)) as only_right
-from k
+select k.source, count(*) filter (side = 'left') as only_left, count(*) filter (side = 'right') as only_right,
+       coalesce(sum({_HASH.format('doc_id')}), 0)::bigint as ids_sum
+from k left join d using (source) group by k.source
 """)
 def set_compare_full_outer(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    left, right = docs.filter("doc_id % 3 <> 0"), docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    df = prepare.compare_sets(left, right, "source", "doc_id")
-    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
-    return df.select("source", joined("only_left"), joined("only_right"))
+    """By source, how many of the good documents aren't among the clean ones and the other way round, of all labelled documents."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    good, clean = labels.filter("quality = 1").select("source", "doc_id"), labels.filter("toxic = 0").select("source", "doc_id")
+    rows = prepare.differences(good, clean, "source", "doc_id")
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    sums = rows.groupBy("source").agg(F.count_if(F.col("side") == "left").alias("only_left"), F.count_if(F.col("side") == "right").alias("only_right"), F.sum(number).alias("ids_sum"))
+    keys = good.select("source").union(clean.select("source")).distinct()
+    return keys.join(sums, "source", "left").fillna(0, ["only_left", "only_right", "ids_sum"])
+
+
+@query("""
+with m as (select distinct source as collection_id, doc_id::varchar as video_id from documents),
+j as (select quality as entry, case when toxic = 1 then source || '+' else source end as collection_id, doc_id::varchar as video_id
+      from labels join documents using (doc_id)
+      union all select 2, source, (doc_id + 1)::varchar from labels join documents using (doc_id) where quality = 0),
+e as (select collection_id, count(distinct entry) as n from j group by collection_id),
+u as (select video_id, count(*) as n from j group by video_id)
+select 'repeated collection' as problem, collection_id, null::varchar as video_id, n from e where n > 1
+union all select 'repeated video', null, video_id, n from u where n > 1
+union all select 'missing collection', collection_id, null, 1 from (select collection_id from m except select collection_id from e)
+union all select 'extra collection', collection_id, null, 1 from (select collection_id from e except select collection_id from m)
+union all select 'missing video', null, video_id, 1 from (select video_id from m except select video_id from u)
+union all select 'extra video', null, video_id, 1 from (select video_id from u except select video_id from m)
+union all select 'missing in collection', collection_id, video_id, 1 from (select * from m except select collection_id, video_id from j)
+union all select 'extra in collection', collection_id, video_id, 1 from (select collection_id, video_id from j except select * from m)
+""")
+def collection_report(spark, sf_dir):
+    """Documents by source in the role of the manifest, against a map made of the labels, some in a wrong collection, twice or under a wrong id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    named = F.when(F.col("toxic") == 1, F.concat("source", F.lit("+"))).otherwise(F.col("source"))
+    mapped = labels.select(F.col("quality").alias("entry"), named.alias("collection_id"), F.col("doc_id").cast("string").alias("video_id"))
+    mapped = mapped.unionByName(labels.filter("quality = 0").select(F.lit(2).alias("entry"), F.col("source").alias("collection_id"), (F.col("doc_id") + 1).cast("string").alias("video_id")))
+    return prepare.collection_report(docs.select(F.col("source").alias("collection_id"), F.col("doc_id").alias("video_id")), mapped)
+
+
+@query("""
+with r as (select 'V' || (l_partkey % 500) || '_' || l_orderkey || '_' || l_linenumber as keyframe_id,
+                  l_quantity, l_partkey, l_linenumber, l_returnflag, l_suppkey from lineitem),
+u as (select *, count(*) over (partition by keyframe_id) as uses from r)
+select error, count(*) as n from (
+  select unnest(list_filter([case when l_returnflag = 'R' then 'frame_number' end, case when l_suppkey % 7 = 0 then 'timestamp_ms' end,
+                             case when l_quantity::bigint % 5 > 2 then 'image_path' end, case when uses > 1 then 'repeated keyframe_id' end], lambda x: x is not null)) as error from u)
+group by error
+""")
+def manifest_soft_check(spark, sf_dir):
+    """Manifest rows of which many break a rule, parted and counted by rule in one scan that stops at none."""
+    df = table(spark, sf_dir, "lineitem")
+    part, line = F.col("l_partkey"), F.col("l_linenumber").cast("string")
+    video = F.concat(F.lit("V"), (part % 500).cast("string"))
+    raw = df.select(
+        F.monotonically_increasing_id().alias("line"), F.concat_ws("_", video, F.col("l_orderkey").cast("string"), line).alias("keyframe_id"), F.lit("V").alias("collection_id"),
+        video.alias("video_id"), F.when(F.col("l_returnflag") == "R", "x").otherwise("5").alias("frame_number"),
+        F.when(F.col("l_suppkey") % 7 == 0, "").otherwise("9").alias("timestamp_ms"),
+        F.when(F.col("l_quantity").cast("long") % 5 > 2, F.concat(F.lit("k/../"), line)).otherwise("k/1.jpg").alias("image_path"), F.lit("").alias("video_path"),
+    )
+    return check_records(raw).bad.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
@@ -513,7 +578,7 @@ def json_props_extract(spark, sf_dir):
 @query("select event_id, lower(event_type) as term, round(least(value, 1), 6) as score from events where event_type is not null and value is not null and not isnan(value)")
 def detector_json(spark, sf_dir):
     """Each event as a detector's JSON, in one of four layouts by turns, and parsed."""
-    df = table(spark, sf_dir, "events").filter("event_type is not null and value is not null and not isnan(value)")
+    df = table(spark, sf_dir, "events")
     n, s = F.col("event_type"), F.col("value").cast("string")
     one = F.concat(F.lit('{"label": "'), n, F.lit('", "confidence": '), s, F.lit("}"))
     official = F.concat(F.lit('{"detection_scores": ["'), s, F.lit('"], "detection_class_entities": ["'), n, F.lit('", "cut"]}'))
@@ -580,12 +645,9 @@ def manifest_rules(spark, sf_dir):
 
 
 def _toy(spark, sf_dir):
-    """An index over the test tables at a new place of the session's, and the encoder of its queries."""
-    import tempfile
-
+    """An index over the test tables at a new place in the shared folder, and the encoder of its queries."""
     from keysift.operators.index import Index, build
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keysift-")
     df = frames(spark, sf_dir)
     known = np.asarray([p for _, p in prototypes(df)])
 
@@ -603,7 +665,7 @@ def _toy(spark, sf_dir):
     vectors = df.select(video.alias("video_id"), F.col("position").cast("int").alias("clip_vector_index"), "vector")
     terms = F.array(*[F.lit(t) for t in ("person", "bicycle", "car", "dog", "tree", "chair", "book")])
     found = df.select(video.alias("video_id"), F.col("position").cast("int").alias("keyframe_number"), F.get(terms, (F.col("position") % 7).cast("int")).alias("term"), F.lit(0.9).alias("score"))
-    path = f"{base.rstrip('/')}/index-{np.random.default_rng().integers(1 << 62)}"
+    path = place(spark, "index")
     build(rows, vectors, found, path, encode)
     return Index.open(spark, path), encode
 

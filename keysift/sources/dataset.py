@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysift.functions.text import normalize, number_of, safe_path
 from keysift.ship import ship
+from keysift.sources import files
+from keysift.sources.shared import stored
 
 MAP_SCHEMA = "n string, frame_idx string, pts_time string"
 REQUIRED = ("keyframe_id", "collection_id", "video_id", "frame_number", "timestamp_ms", "image_path", "video_path")
@@ -20,7 +23,15 @@ PACKAGE_GROUPS = ("keyframes", "videos", "clip-features-32", "map-keyframes", "m
 
 
 def children(spark: SparkSession, path: str, *, folders: bool = False, suffix: str = "") -> DataFrame:
-    """(id): the names of a folder's subfolders, or of its files with a suffix and without it; none if there is no folder."""
+    """(id): the names of a folder's subfolders, or of its files with a suffix and without it; none if there is no folder.
+
+    A task lists the folder; only a store that nothing but Spark reads is listed by the driver.
+    """
+    if files.reachable(path):
+        found = files.children(spark, path)
+        found = found.filter("folder") if folders else found.filter(~F.col("folder") & F.col("name").endswith(suffix))
+        name = F.col("name") if folders or not suffix else F.expr(f"left(name, length(name) - {len(suffix)})")
+        return found.select(name.alias("id")).orderBy("id")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     names = []
@@ -60,15 +71,40 @@ def key_maps(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The records of a manifest CSV, checked, with ``position`` in file order."""
+    return records(manifest_lines(spark, path))
+
+
+def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The raw rows of a manifest CSV with ``line``, their place in the order of files."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    if missing := [c for c in REQUIRED if c not in raw.columns]:
+    names = [c.lstrip("﻿").strip() for c in raw.columns]
+    if missing := [c for c in REQUIRED if c not in names]:
         raise ValueError(f"a manifest without the columns {missing}")
-    return records(raw.withColumn("line", F.monotonically_increasing_id()))
+    return in_file_order(raw, "line").toDF(*names, "line")
 
 
-def records(raw: DataFrame) -> DataFrame:
-    """Manifest rows from raw ones with a ``line`` that orders them; an error names the first rows that break a rule.
+def in_file_order(raw: DataFrame, out: str) -> DataFrame:
+    """A table as read from text files with ``out``, gapless from 0 in the order of files (by path) and of the rows in each.
+
+    However Spark cuts and orders files, a row's place is its file, where its block begins, and its place in the block, which
+    one task reads from start to end.  A table of a row for each block gives where a block's numbers begin.
+    """
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = raw.select(*[F.col(f"`{c}`") for c in raw.columns], *block).withColumn("_row", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not rows
+    starts = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_row")) - 1
+    rows = rows.withColumn("_own", own).join(starts, ["_file", "_block"])
+    return rows.select(*[F.col(f"`{c}`") for c in raw.columns], (F.col("_start") + F.col("_own")).alias(out))
+
+
+NEEDED = ("keyframe_number", "clip_vector_index", "frame_number", "timestamp_ms", "image_path")
+RULES = ("keyframe_id", "video_id", "video_path", *NEEDED, "repeated keyframe_id")
+
+
+def judged(raw: DataFrame) -> DataFrame:
+    """Manifest rows from raw ones with a ``line`` that orders them, and ``errors``, the rules that each breaks.
 
     Defaults: ``keyframe_number`` from the id, ``clip_vector_index`` from the row's place among its video's rows.
     """
@@ -82,19 +118,45 @@ def records(raw: DataFrame) -> DataFrame:
         F.coalesce(optional("clip_vector_index"), place).alias("clip_vector_index"),
         F.col("frame_number").try_cast("int").alias("frame_number"), F.col("timestamp_ms").try_cast("bigint").alias("timestamp_ms"),
         safe_path(F.col("image_path")).alias("image_path"), F.coalesce(safe_path(F.col("video_path")), F.lit("")).alias("video_path"),
-        F.when(F.col("video_path").isNotNull() & safe_path(F.col("video_path")).isNull(), True).otherwise(False).alias("_unsafe"),
+        (F.col("video_path").isNotNull() & safe_path(F.col("video_path")).isNull()).alias("_unsafe"),
+        F.count(F.lit(1)).over(Window.partitionBy("keyframe_id")).alias("_uses"),
     )
-    needed = ("keyframe_number", "clip_vector_index", "frame_number", "timestamp_ms", "image_path")
-    broken = (F.col("keyframe_id") == "") | (F.col("video_id") == "") | F.col("_unsafe")
-    for c in needed:
-        broken = broken | F.col(c).isNull()
-    bad = df.filter(broken).select("keyframe_id").take(5)
-    again = df.groupBy("keyframe_id").count().filter("count > 1").take(5)
-    if bad or again:
-        raise ValueError(f"manifest rows that break a rule: {[r[0] for r in bad]}; repeated ids: {[r[0] for r in again]}")
-    if not df.take(1):
+    broken = {"keyframe_id": F.col("keyframe_id") == "", "video_id": F.col("video_id") == "", "video_path": F.col("_unsafe")}
+    broken |= {c: F.col(c).isNull() for c in NEEDED} | {"repeated keyframe_id": F.col("_uses") > 1}
+    return df.withColumn("errors", F.array_compact(F.array(*[F.when(broken[r], F.lit(r)) for r in RULES]))).drop("_unsafe", "_uses")
+
+
+@dataclass(frozen=True)
+class Checked:
+    """What a check in soft mode found: the good rows, the bad ones with their ``errors``, and counts by rule."""
+
+    good: DataFrame
+    bad: DataFrame
+    rows: int
+    broken: int
+    counts: dict[str, int]
+
+
+def check_records(raw: DataFrame) -> Checked:
+    """The rows of :func:`judged` parted in one scan, which counts them by rule on its way; bad rows stop nothing."""
+    seen = Observation()
+    counts = [F.count_if(F.array_contains("errors", r)).alias(f"r{i}") for i, r in enumerate(RULES)]
+    observed = judged(raw).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("broken"), *counts)
+    table = stored(observed, "records")
+    found = seen.get
+    good = table.filter(F.size("errors") == 0).drop("errors")
+    return Checked(good, table.filter(F.size("errors") > 0), found["rows"], found["broken"], {r: found[f"r{i}"] for i, r in enumerate(RULES) if found[f"r{i}"]})
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """The rows of :func:`judged` with ``position``; an error names the first rows that break a rule, and the rules."""
+    found = check_records(raw)
+    if found.broken:
+        some = [r[0] for r in found.bad.orderBy("line").select("keyframe_id").take(5)]
+        raise ValueError(f"manifest rows that break a rule: {found.counts}, such as {some}")
+    if not found.rows:
         raise ValueError("the manifest has no rows")
-    return positions(df.drop("_unsafe"), "line").drop("line")
+    return positions(found.good, "line").drop("line")
 
 
 def positions(df: DataFrame, order: str, *, splits: int = 256) -> DataFrame:
@@ -115,7 +177,13 @@ def positions(df: DataFrame, order: str, *, splits: int = 256) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, clip_vector_index, vector) of all .npy matrices of a folder, one file for each video."""
+    """(video_id, clip_vector_index, vector) of all .npy matrices of a folder, one file for each video.
+
+    A matrix is cut into ranges of rows (:class:`keysift.sources.files.NpySource`); in a store that nothing but Spark reads
+    each is one row of bytes.
+    """
+    if files.reachable(path):
+        return files.matrices(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,8 +199,8 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     ship(spark)
-    files = spark.read.format("binaryFile").load(f"{path}/*.npy").select(_stem(F.col("path")).alias("video_id"), "content")
-    return files.mapInArrow(run, "video_id string, clip_vector_index int, vector array<float>")
+    whole = spark.read.format("binaryFile").load(f"{path}/*.npy").select(_stem(F.col("path")).alias("video_id"), "content")
+    return whole.mapInArrow(run, "video_id string, clip_vector_index int, vector array<float>")
 
 
 def parse_detections(text: Column) -> Column:
@@ -179,15 +247,15 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, n): every image file of a folder's subfolders, with its number; null if its name is none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    found = files.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    found = listed.filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
     return found.select(_folder(F.col("path")).alias("video_id"), _stem(F.col("path")).try_cast("int").alias("n"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, n, image_path): the file of each keyframe; of several three digits come before four and six, jpg before jpeg and png."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    rows = files.select(_folder(F.col("path")).alias("video_id"), F.regexp_extract("path", r"([0-9]+)\.(jpg|jpeg|png)$", 1).alias("d"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("e"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    rows = listed.select(_folder(F.col("path")).alias("video_id"), F.regexp_extract("path", r"([0-9]+)\.(jpg|jpeg|png)$", 1).alias("d"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("e"))
     rows = rows.filter(F.length("d").isin(3, 4, 6) & F.col("e").isin("jpg", "jpeg", "png"))
     order = F.length("d") * 10 + F.when(F.col("e") == "jpg", 0).when(F.col("e") == "jpeg", 1).otherwise(2)
     name = F.concat_ws("/", F.lit("keyframes"), "video_id", F.concat("d", F.lit("."), "e"))
