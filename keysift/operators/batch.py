@@ -68,20 +68,21 @@ def asks_of(index: Index, requests: DataFrame, routes: DataFrame, candidate_k: i
     return df.select(F.struct("query_id", ord_.alias("ord")).alias("ask"), "part", F.when(F.col("last") == 0, "routed").otherwise("fallback").alias("role"), "entry_count", k.cast("int").alias("k"))
 
 
-def search_many(index: Index, queries: DataFrame, encoder: TextEncoder, *, top_k: int = MAX_TOP) -> DataFrame:
+def search_many(index: Index, queries: DataFrame, encoder: TextEncoder, *, top_k: int = MAX_TOP, fuzzy: bool = True) -> DataFrame:
     """The ``top_k`` best frames of each query: ``query_id`` and the columns of :func:`keysift.operators.search.search`.
 
     ``queries`` as for :func:`read_requests`; a request with an error has no rows here, :func:`read_requests` tells why.
+    Without ``fuzzy`` misspelt words match nothing.
     """
     if not 1 <= top_k <= MAX_TOP:
         raise ValueError(f"top_k is 1 to {MAX_TOP}")
     catalog = index.catalog
     requests = stored(read_requests(queries).filter("error is null"), "requests")
     analysed = stored(analyses(requests), "analysed")
-    aliases = stored(routing.alias_terms(analysed, catalog), "aliases")
+    aliases = stored(routing.alias_terms(analysed, catalog, fuzzy=fuzzy), "aliases")
     vectors = encoded(routing.prompts(analysed, aliases), "prompt", encoder).select("query_id", "vector")
     analysed = stored(analysed.join(vectors, "query_id"), "encoded")
-    routes = stored(routing.route_queries(analysed, aliases, catalog, index.meta["prototypes"]), "routes")
+    routes = stored(routing.route_queries(analysed, aliases, catalog, index.meta["prototypes"], fuzzy=fuzzy), "routes")
 
     points = analysed.select(F.col("query_id").alias("id"), index.pca.reduce(F.col("vector")).alias("query"))
     asks = asks_of(index, requests, routes, candidate_budget(top_k))
@@ -102,7 +103,7 @@ def search_many(index: Index, queries: DataFrame, encoder: TextEncoder, *, top_k
     frames = frames.withColumn("domain_score", F.array_max(F.zip_with("domain_scores", "weights", lambda s, w: s * w)))
 
     phrases = routing.phrases_of(analysed).unionByName(routing.expanded(analysed, aliases).withColumnRenamed("term", "candidate"))
-    wanted = join_terms(phrases, index.vocab.select(F.col("term").alias("target")), ["query_id"])
+    wanted = join_terms(phrases, index.vocab.select(F.col("term").alias("target")), ["query_id"], fuzzy_too=fuzzy)
     idf = index.vocab.select("term", "idf")
     hits = frames.select("query_id", "position", F.inline("objects")).join(idf, "term").join(wanted.withColumnRenamed("target", "term"), ["query_id", "term"])
     scores = bow.scored(hits, ["query_id", "position"])

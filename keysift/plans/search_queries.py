@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from keysift.functions import matching, text, vector
 from keysift.functions.taxonomy import ALIASES, DOMAINS
-from keysift.operators import domains, routing, spatial
-from keysift.operators.index import fit_pca, moments
-from keysift.plans.catalog import _DISTANCE, _FRAMES, _PROTOTYPES, _VARIANTS, _grams_sql, _normal, _normal_sql, NEAR, query, r6
-from keysift.plans.standin import frames, prototypes, query_vector, table
+from keysift.operators import batch, domains, routing, spatial
+from keysift.operators.index import BuildOptions, Index, build, fit_pca, moments
+from keysift.operators.search import CLIP, DOMAIN, MAX_QUERY, OBJECT, candidate_budget, inspect, search
+from keysift.plans.catalog import _DISTANCE, _FRAMES, _PROTOTYPES, _VARIANTS, _grams_sql, _normal, _normal_sql, NEAR, TOP, query, r6
+from keysift.plans.standin import LengthEncoder, frames, prototypes, query_vector, table
 from keysift.sources.shared import place
 
 EVERY = 50  # the rows that ask: those whose id it divides
@@ -199,3 +200,122 @@ def pca_project(spark, sf_dir):
     query_point = vector.constant(pca.reduce_query(query_vector(df)))
     df = df.withColumn("reduced", pca.reduce(F.col("vector")))
     return df.select("position", r6(vector.l2(F.col("reduced"), query_point)).alias("distance"), r6(vector.norm(F.col("reduced"))).alias("from_mean"))
+
+
+OBJECTS = ("person", "bicycle", "car", "dog", "tree", "chair", "book")
+SCORE = 0.9
+
+
+def toy_index(spark, sf_dir) -> tuple[Index, LengthEncoder]:
+    """An index over the test tables at a new place in the shared folder, with all principal components, and the encoder of its queries."""
+    df = frames(spark, sf_dir)
+    encoder = LengthEncoder(tuple(tuple(p) for _, p in prototypes(df)))
+    video = F.concat("collection_id", F.lit("_V"), F.lpad((F.col("position") % 5).cast("string"), 3, "0"))
+    rows = df.select(
+        "position", text.frame_id(video, F.col("position")).alias("keyframe_id"), "collection_id", video.alias("video_id"),
+        F.col("position").cast("int").alias("keyframe_number"), F.col("position").cast("int").alias("clip_vector_index"),
+        (F.col("position") * 30).cast("int").alias("frame_number"), vector.half_even_ms(F.col("position") * 1.0).alias("timestamp_ms"),
+        F.concat(F.lit("keyframes/"), video, F.lit("/"), F.lpad(F.col("position").cast("string"), 3, "0"), F.lit(".jpg")).alias("image_path"), F.lit("").alias("video_path"),
+    )
+    vectors = df.select(video.alias("video_id"), F.col("position").cast("int").alias("clip_vector_index"), "vector")
+    term = F.get(F.array(*[F.lit(t) for t in OBJECTS]), (F.col("position") % len(OBJECTS)).cast("int"))
+    found = df.select(video.alias("video_id"), F.col("position").cast("int").alias("keyframe_number"), term.alias("term"), F.lit(SCORE).alias("score"))
+    path = place(spark, "index")
+    build(rows, vectors, found, path, encoder, options=BuildOptions(pca_dimensions=encoder.dimensions, tile_rows=64))
+    return Index.open(spark, path), encoder
+
+
+def _search_sql(source: str, column: str, collections: tuple[str, ...] = ()) -> str:
+    """CTEs up to ``rt`` (routes) and ``top`` (ranked frames) of the queries that ``source`` (conv_id, turn, text) has in ``column``."""
+    lengths = ", ".join(f"({i}, {len(prompt)})" for i, (_, prompt, _) in enumerate(DOMAINS))
+    tokens_ = ", ".join(f"({i}, '{w}')" for i, (_, _, terms) in enumerate(DOMAINS) for w in sorted({w for t in terms for w in t.split()}))
+    objects = "[" + ", ".join(f"'{t}'" for t in OBJECTS) + "]"
+    k = candidate_budget(TOP)
+    parts = "[" + ", ".join(f"'{c}'" for c in collections or ("*",)) + "]"
+    return f"""
+{_FRAMES}, {_PROTOTYPES.replace("s as (select f.", "ps as (select f.").replace("from s qualify", "from ps qualify")},
+tagged as (select conv_id, turn, {column} as raw from {source}),
+asked as (select conv_id, turn, raw, trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)#L\\d+\\b', ' ', 'g'), '#(\\w)', '\\1', 'g'), '\\s+', ' ', 'g')) as clean
+          from tagged where length(raw) between 1 and {MAX_QUERY}),
+good as (select * from asked where clean <> ''),
+{_phrases_sql('clean').replace('from conversations', 'from good')},
+{_LEXICAL},
+known as (select row_number() over (order by label) - 1 as i, p from p),
+dom as (select ord, p from (values {lengths}) d(ord, n) join known on i = n % (select count(*) from known)),
+prompt as (select conv_id, turn, any_value(clean) || case when count(term) > 0 then '. Visual concepts: ' || string_agg(term, ', ' order by term) || '.' else '' end as prompt
+           from good left join am using (conv_id, turn) group by conv_id, turn),
+qv as (select conv_id, turn, p as qvec from prompt join known on i = length(prompt) % (select count(*) from known)),
+sm as (select conv_id, turn, ord, (least(greatest(list_dot_product(qvec, dom.p), -1), 1) + 1) / 2 as semantic from qv, dom),
+{_ROUTES},
+chosen as (select * from rt where place = 1 or (place <= {domains.MAX_DOMAINS} and score >= {domains.RELATIVE_THRESHOLD} * best)),
+dtok(ord, word) as (values {tokens_}),
+fo as (select position, collection_id, vector, {objects}[1 + position % {len(OBJECTS)}] as term from f),
+od as (select t.term, ord, least(1.0::double, count(*) / 2.0::double) as o from (select unnest({objects}) as term) t join dtok on word = t.term group by t.term, ord),
+fd as (select position, collection_id, dom.ord, greatest((least(greatest(list_dot_product(vector, dom.p), -1), 1) + 1) / 2, coalesce(o, 0)) as ds
+       from fo cross join dom left join od on od.term = fo.term and od.ord = dom.ord),
+mem as (select * from fd qualify row_number() over (partition by position order by ds desc, ord) <= 2),
+cols as (select unnest({parts}) as c),
+pts as (select 0 as fallback, cols.c, mem.ord, mem.position from mem join cols on c = '*' or c = collection_id
+        union all select 1, cols.c, -1, position from f join cols on c = '*' or c = collection_id),
+asks as (select conv_id, turn, 0 as fallback, c, ord from chosen, cols where exists (select 1 from pts where pts.fallback = 0 and pts.c = cols.c and pts.ord = chosen.ord)
+         union all select conv_id, turn, 1, c, -1 from good, cols where exists (select 1 from pts where pts.fallback = 1 and pts.c = cols.c)),
+budget as (select *, case when fallback = 1 then {max(k // 3, 50)} else greatest({k} // greatest(count(*) filter (fallback = 0) over (partition by conv_id, turn), 1), 1) end as k from asks),
+nn as (select b.conv_id, b.turn, b.k, pts.position,
+              rank() over (partition by b.conv_id, b.turn, b.fallback, b.c, b.ord order by sqrt(list_sum(list_transform(list_zip(f.vector, qvec), lambda z: (z[1] - z[2]) ** 2)))) as r
+       from budget b join pts using (fallback, c, ord) join f using (position) join qv on qv.conv_id = b.conv_id and qv.turn = b.turn),
+cand as (select distinct conv_id, turn, position from nn where r <= k),
+df as (select term, count(*) as df from fo group by term),
+idf as (select term, (ln(((select count(*) from f) + 1.0::double) / (df + 1)) + 1) / max(ln(((select count(*) from f) + 1.0::double) / (df + 1)) + 1) over () as idf from df),
+ex as (select conv_id, turn, unnest(string_split(v0, ' ')) as c from v union select conv_id, turn, unnest(string_split(term, ' ')) from am union select conv_id, turn, c from o),
+want as (select conv_id, turn, term, max({_score_sql('c', 'term')}) as score from ex, idf where c <> '' group by all),
+obj as (select cand.conv_id, cand.turn, cand.position, {SCORE} * idf * want.score as object_score
+        from cand join fo using (position) join idf using (term) join want on want.conv_id = cand.conv_id and want.turn = cand.turn and want.term = fo.term where want.score >= {matching.MINIMUM}),
+dsc as (select cand.conv_id, cand.turn, cand.position, max(ds * rt.score) as domain_score
+        from cand join fd using (position) join rt on rt.conv_id = cand.conv_id and rt.turn = cand.turn and rt.ord = fd.ord group by all),
+sc2 as (select cand.conv_id, cand.turn, cand.position, {CLIP} * ((least(greatest(list_dot_product(f.vector, qvec), -1), 1) + 1) / 2) + {OBJECT} * coalesce(object_score, 0) + {DOMAIN} * domain_score as total
+        from cand join f using (position) join qv on qv.conv_id = cand.conv_id and qv.turn = cand.turn
+        join dsc on dsc.conv_id = cand.conv_id and dsc.turn = cand.turn and dsc.position = cand.position
+        left join obj on obj.conv_id = cand.conv_id and obj.turn = cand.turn and obj.position = cand.position),
+top as (select *, row_number() over (partition by conv_id, turn order by total desc, position) as rank from sc2 qualify rank <= {TOP})
+"""
+
+
+@query(f"with {_search_sql(f'(select * from conversations where conv_id % {EVERY} = 0)', _QUERY)} select conv_id, turn, rank::int as rank, position, round(total, 6) as score from top")
+def search_batch(spark, sf_dir):
+    """Every fiftieth conversation's rows as queries, searched in one plan against all frames."""
+    index, encoder = toy_index(spark, sf_dir)
+    queries = asked(spark, sf_dir).filter(F.col("query_id.conv_id") % EVERY == 0)
+    rows = batch.search_many(index, queries, encoder, top_k=TOP, fuzzy=False)
+    return rows.select("query_id.conv_id", "query_id.turn", "rank", F.col("keyframe_number").cast("long").alias("position"), r6("score").alias("score"))
+
+
+_VIETNAMESE, _TYPED = "Tìm người đi xe đạp", "nguowif ddi xe ddapj"
+_IDS_SQL = "[" + ", ".join(f"'{i}'" for i, _, _ in DOMAINS) + "]"
+
+
+def _one(q: str) -> str:
+    return f"(select 0 as conv_id, 0 as turn, '{q}' as text)"
+
+
+@query(f"""
+with {_search_sql(_one(_VIETNAMESE), 'text', ('L21', 'L22'))}
+select rank::int as rank, 'L' || (21 + position % 3) || '_V' || lpad((position % 5)::varchar, 3, '0') || '_' || printf('%06d', position) as keyframe_id,
+       'L' || (21 + position % 3) as collection_id, position * 1000 as timestamp_ms, round(total, 6) as score from top
+""")
+def hybrid_search(spark, sf_dir):
+    """The flagship: an index is built over the tables and searched by a Vietnamese query within two collections."""
+    index, encoder = toy_index(spark, sf_dir)
+    rows = search(index, _VIETNAMESE, encoder, collections=["L21", "L22"], top_k=TOP)
+    return rows.select("rank", "keyframe_id", "collection_id", "timestamp_ms", r6("score").alias("score"))
+
+
+@query(f"""
+with {_search_sql(_one(_TYPED), 'text')}
+select {_IDS_SQL}[ord + 1] as domain_id, place = 1 or (place <= {domains.MAX_DOMAINS} and score >= {domains.RELATIVE_THRESHOLD} * best) as selected,
+       round(score, 6) as score, round(lexical, 6) as lexical_score from rt
+""")
+def inspect_route(spark, sf_dir):
+    """How a query typed without accents is routed: each domain with its scores."""
+    index, encoder = toy_index(spark, sf_dir)
+    found = inspect(index, _TYPED, encoder, top_k=TOP)["routing"]["domains"]  # a row for each domain
+    return spark.createDataFrame([(d["domain_id"], d["selected"], round(d["score"], 6), round(d["lexical_score"], 6)) for d in found], "domain_id string, selected boolean, score double, lexical_score double")
