@@ -46,7 +46,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 4
 BLOCK_CHARS = 4_000_000
-MEMO = 64 << 20  # bytes of tokens that a worker remembers the terms of
+MEMO = 24 << 20  # bytes of tokens that a worker remembers the terms of
 KEEP = 40  # characters of the longest of them
 CELLS = 1 << 16
 SPREAD = 8

@@ -43,7 +43,8 @@ class _Memo(dict):
 
     def __init__(self, tokenizer, lead: str, kind: str):
         super().__init__()
-        self.tokenizer, self.lead, self.kind, self.room = tokenizer, lead, kind, MEMO
+        self.tokenizer, self.lead, self.kind = tokenizer, lead, kind
+        self.room = MEMO if kind == "word" else MEMO // 2  # a byte-level piece costs less to encode again
         self.model, self.normalizer = tokenizer.model, tokenizer.normalizer
         self.marks = {m: self._whole(m) for m in ".,"}
 
