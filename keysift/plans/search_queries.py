@@ -12,10 +12,10 @@ from keysift.operators.index import BuildOptions, Index, build, fit_pca, moments
 from keysift.operators.search import CLIP, DOMAIN, MAX_QUERY, OBJECT, candidate_budget, inspect, search
 from keysift.plans.catalog import _DISTANCE, _FRAMES, _PROTOTYPES, _VARIANTS, _grams_sql, _normal, _normal_sql, NEAR, TOP, query, r6
 from keysift.plans.standin import LengthEncoder, frames, prototypes, query_vector, table
-from keysift.sources.shared import place
+from keysift.sources.shared import place, stored
 
 EVERY = 50  # the rows that ask: those whose id it divides
-TILE = 16
+TILE = 32
 
 
 def spatial_index(df: DataFrame, path: str, tile_rows: int = TILE, sample: int = 50_000) -> DataFrame:
@@ -122,7 +122,7 @@ from (select conv_id, turn, target, {_score_sql('c', 'target')} as score from o,
 """)
 def vocab_match(spark, sf_dir):
     """The terms of a vocabulary that each query's phrases have or are, by keys; misspelt ones are left to tests, as SQL has no such ratio."""
-    analysed = domains.analyses(asked(spark, sf_dir))
+    analysed = stored(domains.analyses(asked(spark, sf_dir)).select("query_id", "candidates"), "analysed")
     name = _normal("p_name")
     terms = table(spark, sf_dir, "part").select(F.explode(F.concat(text.tokens(name), F.array(name))).alias("target")).filter("target <> ''").distinct()
     found = matching.join_terms(routing.phrases_of(analysed), terms, ["query_id"], fuzzy_too=False)
@@ -169,7 +169,8 @@ def route_queries(spark, sf_dir):
     n = df.count()
     c, t = F.col("query_id.conv_id"), F.col("query_id.turn")
     analysed = domains.analyses(asked(spark, sf_dir)).withColumn("position", (c * 31 + t) % n).join(df.select("position", "vector"), "position")
-    aliases = routing.alias_terms(analysed, catalog, fuzzy=False)
+    analysed = stored(analysed, "analysed")
+    aliases = stored(routing.alias_terms(analysed, catalog, fuzzy=False), "aliases")
     found = routing.route_queries(analysed, aliases, catalog, known, fuzzy=False)
     return found.select("query_id.conv_id", "query_id.turn", "ord", *[r6(c).alias(c) for c in ("lexical", "semantic", "score")], "place", "selected")
 
