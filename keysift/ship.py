@@ -9,8 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # long texts fill a batch by bytes well before they fill it by rows
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the workers once for each Spark context, so a job needs no path set on the executors."""
+    """Sends the package to the workers once for each Spark context, so a job needs no path set on the executors.
+
+    Arrow batches get a bound in bytes where the session has none, so what a task holds at once doesn't grow with its texts.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_keysift_sent", False):
         return
