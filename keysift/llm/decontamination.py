@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.llm.encoding import ENTRY
+from keysift.llm.scratch import give_back
 from keysift.ship import ship
 
 K1, B = 1.2, 0.75
@@ -305,6 +306,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, threshold: float = T
             for b in batches:
                 clean = [not search(shared.value, term_of, t, threshold, overlap) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

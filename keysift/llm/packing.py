@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.llm.encoding import encoder
-from keysift.llm.scratch import blocks_for, hashed, number_within, stash
+from keysift.llm.scratch import blocks_for, give_back, hashed, number_within, stash
 from keysift.ship import ship
 
 CAPACITY = 1024
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, kind: str = "byte", end: int = EN
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()

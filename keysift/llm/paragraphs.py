@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.llm.scratch import components, remove, sifted, stash, tidy
+from keysift.llm.scratch import components, give_back, remove, sifted, stash, tidy
 from keysift.ship import ship
 
 SHINGLE = 5
@@ -290,7 +290,7 @@ def units(docs: DataFrame, *, whole: bool = False) -> DataFrame:
                 none = pa.nulls(len(begin) - n, pa.int64())  # of windows
                 profile = (pa.concat_arrays([x, none]) for x in (pa.array(np.array([len(x) for x in sets], np.int64)), *_parities(sets)))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *numbers, *hashes, lists, *profile], names=names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -331,7 +331,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([np.empty(0, np.uint64), *out])))
                 yield pa.RecordBatch.from_arrays([rows.field("class"), lists], names=["class", "s"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     ship(docs.sparkSession)
     key = F.struct("doc_id", "doc").alias("key")  # one column, so that the join's dealing serves the aggregate as well

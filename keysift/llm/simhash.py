@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm import paragraphs
-from keysift.llm.scratch import components, remove, sifted, stash, tidy
+from keysift.llm.scratch import components, give_back, remove, sifted, stash, tidy
 from keysift.ship import ship
 
 BITS = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
