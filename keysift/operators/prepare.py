@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysift.functions.text import collection_of, frame_id
 from keysift.functions.vector import half_even_ms
+from keysift.ship import ship
 from keysift.sources import dataset
 
 EXAMPLES = 1000  # rows of a kind that a report on the driver names; all are in its tables
@@ -38,6 +44,38 @@ def collections(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("collection_id").agg(F.sort_array(F.collect_set("video_id")).alias("videos"))
 
 
+def member_digests(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, n, md5): how many distinct members a key has, and the MD5 of those in order with a space between; a null counts and adds no text.
+
+    Members are dealt and sorted by Spark and digested as they pass, so a task holds a batch of them, whatever a key's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=[key, "n", "md5"])
+
+        n, now, digest, gap = 0, None, md5(), b""
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, same in groupby(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), itemgetter(0)):
+                if n and k != now:
+                    yield out()
+                    n = 0
+                if not n:
+                    now, digest, gap = k, md5(), b""
+                members = [m for _, m in same]
+                n += len(members)
+                if text := " ".join(m for m in members if m is not None):
+                    digest.update(gap + text.encode())
+                    gap = b" "
+        if n:
+            yield out()
+
+    ship(rows.sparkSession)
+    df = rows.select(key, member).distinct().repartition(key).sortWithinPartitions(key, member).select(key, F.col(member).cast("string"))
+    return df.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n bigint, md5 string")
+
+
 def compare_sets(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:
     """(key, only_left, only_right) of two tables of members, for each key that either has."""
     a = left.groupBy(key).agg(F.collect_set(member).alias("_l"))
