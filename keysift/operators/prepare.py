@@ -87,8 +87,8 @@ def compare_sets(left: DataFrame, right: DataFrame, key: str, member: str) -> Da
 
 def differences(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:
     """(key, member, side) of each member that one side alone has; one row each, so no key is gathered in one place."""
-    a, b = left.select(key, member).distinct(), right.select(key, member).distinct()
-    sides = [x.join(y, [key, member], "left_anti").withColumn("side", F.lit(name)) for x, y, name in ((a, b, "left"), (b, a, "right"))]
+    a, b = left.select(key, member), right.select(key, member)
+    sides = [x.subtract(y).withColumn("side", F.lit(name)) for x, y, name in ((a, b, "left"), (b, a, "right"))]  # nulls are equal
     return sides[0].unionByName(sides[1])
 
 

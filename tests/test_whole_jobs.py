@@ -25,3 +25,17 @@ def test_members_pass_by_in_order_over_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     text = " ".join(map(str, range(20)))
     assert rows == {None: (20, md5(text.encode()).hexdigest()), "k1": (20, md5(text.encode()).hexdigest()), "k2": (20, md5(text.replace(" 5 ", " ").encode()).hexdigest())}
+
+
+def test_set_compare_has_every_member_of_both_sides(spark, duck):
+    rows = catalog.queries()["set_compare_full_outer"](spark, DATA).collect()
+    held = {(r["source"], r["doc_id"]) for r in rows if r["side"] == "documents"}
+    assert held == set(duck.sql("select source, doc_id from documents where doc_id not in (select doc_id from labels)").fetchall())
+    mixed = {(r["source"], r["doc_id"]) for r in rows if r["side"] == "good"}
+    assert mixed == set(duck.sql("select source, doc_id from documents join labels using (doc_id) where quality = 1 and toxic <> 0").fetchall())
+
+
+def test_differences_hold_nulls_equal(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2), ("x", None)], "k string, m long")
+    b = spark.createDataFrame([(None, 1), ("x", 3), ("x", None)], "k string, m long")
+    assert {tuple(r) for r in prepare.differences(a, b, "k", "m").collect()} == {("x", 2, "left"), ("x", 3, "right")}
