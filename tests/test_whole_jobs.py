@@ -2,9 +2,13 @@
 
 from hashlib import md5
 
+import numpy as np
 from conftest import DATA
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from keysift.operators import prepare
+from keysift.functions import matching, text
+from keysift.operators import bow, domains, prepare
 from keysift.plans import catalog
 
 
@@ -39,3 +43,59 @@ def test_differences_hold_nulls_equal(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2), ("x", None)], "k string, m long")
     b = spark.createDataFrame([(None, 1), ("x", 3), ("x", None)], "k string, m long")
     assert {tuple(r) for r in prepare.differences(a, b, "k", "m").collect()} == {("x", 2, "left"), ("x", 3, "right")}
+
+
+def test_readings_of_one_text_equal_the_plan(spark, duck):
+    texts = [r[0] for r in duck.sql("select text from conversations where text is not null union all select text from documents limit 300").fetchall()]
+    texts += ["Đường phố", "İstanbul ŉ ﬀ Straße ß Å Kelvin", "nguowif ddi xe ddapj", "glass bus2 abc12 zzz aall", "", "  ", "á̂ b c　d", "x" * 50 + " ½ ² ﷺ"]
+    n = text.normalize(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", n.alias("n"), text.candidates(text.variants(n)).alias("c")).collect()
+    for r in rows:
+        assert text.plain(r["t"]) == r["n"] and text.phrases(r["n"]) == r["c"], r["t"]
+    null = domains.analyses(spark.createDataFrame([(None,)], "query string")).first()
+    assert null["normalized"] is None and null["candidates"] == []
+
+
+def test_terms_meet_in_tasks_and_by_keys_alike(spark, monkeypatch):
+    words = ["red", "bolt", "large", "ring", "hot", "gear", "blue", "widget", "large ring", "red hot bolt", "large red hot ring", "bolt bolt", "xe", "dap", "xe dap"]
+    phrases = [(i, f"{a} {b}") for i, a in enumerate(words) for b in words] + [(99, w) for w in words] + [(100, ""), (101, "smal ring"), (102, "widgett")]
+    df, terms = spark.createDataFrame(phrases, "k int, candidate string"), spark.createDataFrame([(w,) for w in [*words, ""]], "target string")
+    for fuzzy in (False, True):
+        got = []
+        for few in (matching.FEW, 3):
+            monkeypatch.setattr(matching, "FEW", few)
+            got.append(sorted((r["k"], r["target"], round(r["score"], 12)) for r in matching.join_terms(df, terms, ["k"], fuzzy_too=fuzzy).collect()))
+            monkeypatch.undo()
+        assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_few_terms_deal_no_phrase(spark):
+    df = spark.createDataFrame([(1, "red bolt")], "k int, candidate string")
+    plan = matching.join_terms(df, spark.createDataFrame([("bolt",)], "target string"), ["k"], fuzzy_too=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_bags_of_texts_equal_bags_of_detections(spark):
+    texts = [(1, "a a b c"), (2, None), (3, ""), (4, "B b É e e"), (1, "c c c d"), (None, "x y x"), (None, "x z"), (5, " ".join(f"w{i}" for i in range(40)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    words = df.select("doc_id", F.explode(text.tokens(text.normalize(F.coalesce("text", F.lit(""))))).alias("term"))
+    counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    want = bow.bags(counts.select("doc_id", "term", (F.col("n") / F.max("n").over(Window.partitionBy("doc_id"))).alias("score")), "doc_id")
+    rows = lambda d: sorted((str(r["doc_id"]), r["term"], r["weight"]) for r in d.collect())
+    assert rows(bow.text_bags(df, "doc_id")) == rows(want)
+
+
+def test_bags_deal_no_words(spark):
+    plan = catalog._text_bags(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_equal_prototypes_have_equal_scores(spark):
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(3, 64))
+    df = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(50)], "i int, vector array<double>")
+    got = domains.with_semantic_scores(df, [*own, own[1], own[0]]).join(df, "i").collect()
+    for r in got:
+        assert r["semantic"][3] == r["semantic"][1] and r["semantic"][4] == r["semantic"][0]
+        x = np.asarray(r["vector"])
+        assert np.allclose(r["semantic"][:3], (own @ x / np.linalg.norm(own, axis=1) / np.linalg.norm(x) + 1) / 2)
