@@ -3,12 +3,13 @@
 from hashlib import md5
 
 import numpy as np
+import pytest
 from conftest import DATA
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keysift.functions import matching, text
-from keysift.operators import bow, domains, prepare
+from keysift.operators import bow, domains, prepare, spatial
 from keysift.plans import catalog
 
 
@@ -99,3 +100,39 @@ def test_equal_prototypes_have_equal_scores(spark):
         assert r["semantic"][3] == r["semantic"][1] and r["semantic"][4] == r["semantic"][0]
         x = np.asarray(r["vector"])
         assert np.allclose(r["semantic"][:3], (own @ x / np.linalg.norm(own, axis=1) / np.linalg.norm(x) + 1) / 2)
+
+
+@pytest.mark.parametrize("pairs,block,asked,cells", [(40, 50_000, 50_000, 2_000_000), (40, 100, 3, 700), (10**9, 50, 7, 1)])
+def test_blocks_of_tiles_find_what_a_full_scan_finds(spark, tmp_path, monkeypatch, pairs, block, asked, cells):
+    for name, value in (("PAIRS", pairs), ("BLOCK", block), ("ASKS", asked), ("CELLS", cells)):
+        monkeypatch.setattr(spatial, name, value)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 4)) + rng.integers(0, 4, size=(1500, 1)) * 5
+    points[300:700] = points[0]  # one vector that many share
+    df = spark.createDataFrame([(i, "AB"[i % 5 == 0], p.tolist()) for i, p in enumerate(points)], "position long, collection_id string, reduced array<double>")
+    tree = spatial.fit_tree(points[::2], 1500, 20)
+    path = f"file://{tmp_path}/t"
+    spatial.tiled(df, ["collection_id"], tree, 20).write.partitionBy("collection_id", "tile").parquet(path)
+    held = spark.read.parquet(path)
+    tiles = spatial.boxes(held, ["collection_id"], 4).withColumn("grain", F.lit("frames")).withColumn("part", F.explode(F.array(F.lit("all"), F.col("collection_id"))))
+    table = held.select("collection_id", "tile", "position", F.col("tile").alias("home"), "reduced")
+    asks = [(a, ("all", "A", "B")[a % 3], points[(a * 41) % 1500].tolist(), (1, 7, 60, 5000)[a % 4]) for a in range(24)]
+    pairs_made = []
+    store = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda d, name: (pairs_made.append(store(d, name).count()) if name == "bounds" else None, store(d, name))[1])
+    found = spatial.nearest(spark.createDataFrame(asks, "ask int, part string, query array<double>, k int"), tiles, {"frames": (table, ["collection_id", "tile"])}).collect()
+    names = np.array([i % 5 == 0 for i in range(1500)])
+    for a, part, q, k in asks:
+        d = np.zeros(1500)
+        for i in range(4):
+            d += (points[:, i] - q[i]) ** 2
+        d = np.sqrt(np.where(np.ones(1500, bool) if part == "all" else names == (part == "B"), d, np.inf))
+        kth = np.sort(d)[k - 1] if k <= 1500 else np.inf
+        want = {int(i): float(d[i]) for i in np.flatnonzero((d <= kth) & np.isfinite(d))}
+        assert {r["position"]: r["distance"] for r in found if r["ask"] == a} == want
+    if block == 50_000:
+        assert pairs_made[0] <= 2 * pairs  # of 24 asks and over 70 tiles
+
+
+def test_an_index_has_a_bounded_number_of_tiles():
+    assert spatial.tile_size(1000, 64) == 64 and spatial.tile_size(10**6, 64) * spatial.TILES >= 10**6
