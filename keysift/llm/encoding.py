@@ -58,17 +58,37 @@ class _Memo(dict):
         mapped = (self.lead + piece).encode().decode("latin-1").translate(_ALPHABET)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
 
+    def _shared(self, piece: str) -> tuple[bytes | None, bool]:
+        """The ids of a piece that is another in capitals or with a mark behind, by way of that one; and whether it was known."""
+        mark = piece[-1] if piece[-1:] in self.marks else ""
+        base = piece[: len(piece) - len(mark)]
+        if self.kind == "word" and base.isascii():
+            base = base.lower()
+        if base == piece or not _LETTERS(base):
+            return None, False
+        if (ids := self.get(base)) is not None:
+            return ids + self.marks[mark] if mark else ids, True
+        if (ids := self._letters(base)) is not None:
+            self._keep(base, ids)
+            return ids + self.marks[mark] if mark else ids, False
+        return None, False
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= KEEP and self.room > 0:
+            self[piece] = ids
+            self.room -= getsizeof(piece) + getsizeof(ids) + ENTRY
+
     def __missing__(self, piece: str) -> bytes:
-        ids = None
+        ids, known = self._shared(piece)
+        if ids is not None:
+            if known:  # what comes but once in any form is kept once
+                self._keep(piece, ids)
+            return ids
         if _LETTERS(piece):
             ids = self._letters(piece)
-        elif piece[-1:] in self.marks and _LETTERS(piece[:-1]) and (ids := self._letters(piece[:-1])) is not None:
-            ids += self.marks[piece[-1]]
         if ids is None:
             ids = self._whole(self.lead + piece)
-        if len(piece) <= KEEP and self.room > 0:
-            self[piece] = ids
-            self.room -= getsizeof(piece) + getsizeof(ids) + ENTRY
+        self._keep(piece, ids)
         return ids
 
 
