@@ -3,23 +3,39 @@
 Both vocabularies cut a text before a space that is followed by another
 character than white space (whatever precedes it), so the ids of a text are the
 ids of its pieces one after another.  Each worker keeps the ids of the pieces it
-has met, up to a bound in bytes, and asks the library for all others.
+has met, up to a bound in bytes, and asks the library for all others.  Where white
+space is dropped, a batch of texts is cut as one: each distinct piece into the
+words, digits and marks that the pre-tokenizer makes of it, of which each distinct
+one is looked up once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 from sys import getsizeof
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 MEMO = 128 << 20  # bytes of pieces and ids that a worker remembers
 KEEP = 40  # characters of the longest piece that is worth it: longer ones, such as texts without spaces, hardly come again
 
 ENTRY = 100  # bytes of a dictionary's entry
 
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"  # none of these joins with a neighbour when normalized
+_LETTERS = re.compile(f"[{_LATIN}]+").fullmatch
+_LOWERED = "".join(c for c in map(chr, range(0x250)) if _LETTERS(c) and _LETTERS(c.lower()))  # those that stay letters in lower case (a dotted I doesn't)
+_PLAIN = re.compile(f"[ -~{_LOWERED}]*").fullmatch
+_CUT = re.compile(f" |'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^ {_LATIN}0-9]+").findall  # word_level's pre-tokenizer on plain text; spaces stay
+
+#: A batch of texts, null or not, to where each one's ids begin and the last one's end, and the ids of all.
+Batches = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 _known: dict[tuple[str, str], Callable[[str], bytes]] = {}
+_known_batches: dict[tuple[str, str], Batches] = {}
 
 
 def _alphabet() -> dict[int, str]:
@@ -36,41 +52,39 @@ class _Memo(dict):
     """The little-endian 32-bit ids of a piece after ``lead``.
 
     A piece of Latin letters alone is one token of the pre-tokenizer, so the model
-    itself gets it, and a mark after such a piece begins another; both hold only if it is of
-    letters alone when normalized (a lowered dotted I is not).  The whole tokenizer gets
-    every other piece.
+    itself gets it, and a mark after such a piece begins another.  The whole tokenizer gets
+    every other piece.  Of kind "word" the pieces are what :func:`word_batches` cuts: letters
+    are in lower case, and what follows a line break is for the whole tokenizer.
     """
 
     def __init__(self, tokenizer, lead: str, kind: str):
         super().__init__()
         self.tokenizer, self.lead, self.kind, self.room = tokenizer, lead, kind, MEMO
-        self.model, self.normalizer = tokenizer.model, tokenizer.normalizer
+        self.model = tokenizer.model
         self.marks = {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _letters(self, piece: str) -> bytes | None:
-        if self.kind == "word":
-            piece = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
         if not _LETTERS(piece):
             return None
-        mapped = (self.lead + piece).encode().decode("latin-1").translate(_ALPHABET)
+        mapped = self.lead + piece
+        if self.lead or not piece.isascii():
+            mapped = mapped.encode().decode("latin-1").translate(_ALPHABET)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
 
     def _shared(self, piece: str) -> tuple[bytes | None, bool]:
-        """The ids of a piece that is another in capitals or with a mark behind, by way of that one; and whether it was known."""
+        """The ids of a piece that is another with a mark behind, by way of that one; and whether it was known."""
         mark = piece[-1] if piece[-1:] in self.marks else ""
         base = piece[: len(piece) - len(mark)]
-        if self.kind == "word" and base.isascii():
-            base = base.lower()
-        if base == piece or not _LETTERS(base):
+        if not mark or not _LETTERS(base):
             return None, False
         if (ids := self.get(base)) is not None:
-            return ids + self.marks[mark] if mark else ids, True
+            return ids + self.marks[mark], True
         if (ids := self._letters(base)) is not None:
             self._keep(base, ids)
-            return ids + self.marks[mark] if mark else ids, False
+            return ids + self.marks[mark], False
         return None, False
 
     def _keep(self, piece: str, ids: bytes) -> None:
@@ -79,12 +93,14 @@ class _Memo(dict):
             self.room -= getsizeof(piece) + getsizeof(ids) + ENTRY
 
     def __missing__(self, piece: str) -> bytes:
-        ids, known = self._shared(piece)
-        if ids is not None:
-            if known:  # what comes but once in any form is kept once
-                self._keep(piece, ids)
-            return ids
-        if _LETTERS(piece):
+        if self.kind == "word":
+            ids = self._whole(piece[1:]) if piece[0] == "\n" else self._letters(piece)
+        else:
+            ids, known = self._shared(piece)
+            if ids is not None:
+                if known:  # what comes but once in any form is kept once
+                    self._keep(piece, ids)
+                return ids
             ids = self._letters(piece)
         if ids is None:
             ids = self._whole(self.lead + piece)
@@ -132,13 +148,70 @@ def byte_level(tokenizer) -> Callable[[str], bytes]:
     return run
 
 
-def word_level(tokenizer) -> Callable[[str], bytes]:
-    """For a vocabulary that drops white space."""
+class _Slots(dict):
+    """A number from 0 on for each distinct key."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def word_batches(tokenizer) -> Batches:
+    """For a vocabulary that drops white space.
+
+    Plain pieces are cut in lower case, all as one string; a piece that isn't plain or that may hold an added token is
+    left whole, after a line break, which no piece holds.
+    """
     memo = _Memo(tokenizer, "", "word")
-    get = memo.__getitem__
+    added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def parts(joined: str) -> list[str]:
+        lowered = joined.lower()
+        inside = [x for x in added if x in lowered]
+        if _PLAIN(joined) and not inside:
+            return _CUT(lowered)
+        pieces, odd = joined.split(" "), []
+        for i, p in enumerate(pieces):
+            if not _PLAIN(p) or (inside and any(x in p.lower() for x in inside)):
+                odd.append("\n" + p)
+                pieces[i] = "\n"
+        left = iter(odd)
+        return [next(left) if x == "\n" else x for x in _CUT(" ".join(pieces).lower())]
+
+    def cut(pieces: pa.Array) -> pa.ListArray:
+        """The ids of each piece."""
+        one = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+        slots = _Slots({" ": 0})
+        at = np.fromiter(map(slots.__getitem__, parts(pc.binary_join(one, " ")[0].as_py())), np.int32)
+        rows = [b"", *map(memo.__getitem__, islice(slots, 1, None))]
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        ids = pa.ListArray.from_arrays(ends.astype("<i4"), np.frombuffer(b"".join(rows), "<i4")).take(pa.array(at[at > 0]))
+        spaces = np.flatnonzero(at == 0)
+        edges = np.concatenate([[0], spaces - np.arange(len(spaces)), [len(at) - len(spaces)]])
+        return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[edges]), ids.values)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()).fill_null(""), "\n", " "), " ")
+        edges, found = words.offsets.to_numpy(), words.values.dictionary_encode()
+        del words
+        ids = cut(found.dictionary).take(found.indices)
+        return ids.offsets.to_numpy()[edges], ids.values.to_numpy()
 
-    def run(text: str) -> bytes:
-        return b"".join(map(get, text.replace("\n", " ").split(" ")))
+    return run
+
+
+def word_level(tokenizer) -> Callable[[str], bytes]:
+    """:func:`word_batches` for one text."""
+    batches = word_batches(tokenizer)
+    return lambda text: batches(pa.array([text]))[1].tobytes()
+
+
+def text_batches(get: Callable[[str], bytes]) -> Batches:
+    """Of texts one by one."""
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = [get(t or "") for t in texts.to_pylist()]
+        return np.cumsum([0, *map(len, rows)]) // 4, np.frombuffer(b"".join(rows), "<i4")
 
     return run
 
@@ -154,3 +227,12 @@ def encoder(kind: str, path: str) -> Callable[[str], bytes]:
         tokenizer = Tokenizer.from_file(path)
         _known[kind, path] = {"byte": byte_level, "word": word_level}[kind](tokenizer)
     return _known[kind, path]
+
+
+def batch_encoder(kind: str, path: str) -> Batches:
+    """The worker's encoder of batches, made once; ``kind`` as for :func:`encoder`."""
+    if (kind, path) not in _known_batches:
+        from tokenizers import Tokenizer
+
+        _known_batches[kind, path] = word_batches(Tokenizer.from_file(path)) if kind == "word" else text_batches(encoder(kind, path))
+    return _known_batches[kind, path]

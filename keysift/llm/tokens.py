@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.encoding import encoder
+from keysift.llm.encoding import batch_encoder
 from keysift.llm.scratch import place, running_total
 from keysift.ship import ship
 
@@ -34,13 +34,16 @@ PAGE_ROWS = 2_000
 def encode(docs: DataFrame, tokenizer: str, *, kind: str = "word", end: int = END) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document, the end id included."""
 
+    def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
+        edges, found = batch_encoder(kind, tokenizer)(b.column(1))
+        offsets = (edges + np.arange(len(edges))).astype("<i4")
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.insert(found, edges[1:], end)))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype("<i8")), ids], names=["doc_id", "n_tokens", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, get = end.to_bytes(4, "little"), encoder(kind, tokenizer)
         for b in batches:
-            rows = [get(t or "") + tail for t in b.column(1).to_pylist()]
-            offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype("<i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype("<i8")), ids], names=["doc_id", "n_tokens", "ids"])
+            yield encoded(b)
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
