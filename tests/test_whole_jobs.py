@@ -4,7 +4,7 @@ from hashlib import md5
 
 import numpy as np
 import pytest
-from conftest import DATA
+from conftest import DATA, same_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,6 +57,21 @@ def test_readings_of_one_text_equal_the_plan(spark, duck):
     assert null["normalized"] is None and null["candidates"] == []
 
 
+def test_a_text_has_no_more_candidates_than_asked_for(spark, duck, tmp_path):
+    rest = "bus python glass html iot clip sql css open day"  # with one more word 31 candidates of the first reading; the second one is the last, before its first run
+    texts = [f"{w} {rest}" for w in ("door1", "doorr", "doors", "ddoor", "door", "q1", "q")] + ["doors", "q1", None, ""]
+    texts += [" ".join(f"w{chr(97 + i % n)}{'sx1'[i % 3]}" for i in range(n + k)) for n in (3, 5, 9, 10, 11, 12) for k in (0, 1, 4)]
+    for t in filter(None, texts):
+        every = text.phrases(text.plain(t), 10**9)
+        for most in range(len(every) + 2):
+            assert text.phrases(text.plain(t), most) == every[:most], (t, most)
+    rows = spark.createDataFrame([(i // 3, i % 3, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    own = duck.cursor()
+    own.sql(f"create temp view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    same_rows(catalog.queries()["ngram_candidates"](spark, str(tmp_path)), own.sql(catalog.oracle_sql()["ngram_candidates"]).df())
+
+
 def test_terms_meet_in_tasks_and_by_keys_alike(spark, monkeypatch):
     words = ["red", "bolt", "large", "ring", "hot", "gear", "blue", "widget", "large ring", "red hot bolt", "large red hot ring", "bolt bolt", "xe", "dap", "xe dap"]
     phrases = [(i, f"{a} {b}") for i, a in enumerate(words) for b in words] + [(99, w) for w in words] + [(100, ""), (101, "smal ring"), (102, "widgett")]
